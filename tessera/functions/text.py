@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space as the body of a character class, for Java and Python patterns alike.
-WS = r"\t-\r\x20\x85\xa0  -     　"
+WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Anything that is neither a letter nor a digit.
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 

@@ -40,3 +40,19 @@ def broadcast_if_small(df: DataFrame, limit_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit_rows`` rows (counted, at most one row more is read per
     partition); otherwise ``df`` as it is, which Catalyst then joins by shuffle."""
     return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
+
+
+def lookup(left: DataFrame, key: str, right: DataFrame, hot_rows: int = 200_000) -> DataFrame:
+    """Left join on ``key``, of which ``right`` has at most one row per value, without gathering a hot key in one task.
+
+    The keys of more than ``hot_rows`` rows of ``left`` (there are at most rows / hot_rows of them, found by a count that is
+    combined before its shuffle) take their row of ``right`` by broadcast; only the others are shuffled. Null keys match
+    nothing. ``left`` should be cheap to read again.
+    """
+    hot = left.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
+    values = [r[0] for r in hot.collect()]
+    if not values:
+        return left.join(right, key, "left")
+    few = F.broadcast(left.sparkSession.createDataFrame([(v,) for v in values], hot.schema))
+    known = F.broadcast(few.join(right, key, "left"))
+    return left.join(known, key).unionByName(left.join(few, key, "left_anti").join(right, key, "left"))
