@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,42 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def _scratch(spark: SparkSession) -> str:
+    root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if root not in _KEPT:
+        _KEPT.add(root)
+        atexit.register(_remove, spark, root)
+    return root
+
+
+_KEPT: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended; what is left lies in the folder for temporary files
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and stored in the shared folder; later reads need neither its lineage nor its executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df``, computed once and stored as a table in the shared folder; later reads need neither its lineage nor its
+    executors. A stored table, unlike a checkpointed plan, also doesn't carry along the constraints the optimizer derived,
+    which grow with each round of a loop. The tables go when the application ends, or by ``drop``."""
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by ``cut`` that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_tessera_path", None):
+            _remove(t.sparkSession, path)
 
 
 def spread(hot: Column | str, *cols: Column | str, into: int = 64) -> Column:
@@ -42,13 +75,16 @@ def broadcast_if_small(df: DataFrame, limit_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
 
 
-def lookup(left: DataFrame, key: str, right: DataFrame, hot_rows: int = 200_000) -> DataFrame:
+def lookup(left: DataFrame, key: str, right: DataFrame, hot_rows: int = 200_000, rows: int | None = None) -> DataFrame:
     """Left join on ``key``, of which ``right`` has at most one row per value, without gathering a hot key in one task.
 
     The keys of more than ``hot_rows`` rows of ``left`` (there are at most rows / hot_rows of them, found by a count that is
     combined before its shuffle) take their row of ``right`` by broadcast; only the others are shuffled. Null keys match
-    nothing. ``left`` should be cheap to read again.
+    nothing. ``left`` should be cheap to read again. ``rows`` is a known bound of its rows;
+    without it they are counted first, as no key of a small table can be hot.
     """
+    if (left.count() if rows is None else rows) <= hot_rows:
+        return left.join(right, key, "left")
     hot = left.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
     values = [r[0] for r in hot.collect()]
     if not values:
