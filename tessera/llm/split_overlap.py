@@ -85,12 +85,13 @@ def _choices(k: int, size: int) -> np.ndarray:
     return np.array(list(combinations(range(k), size)), np.int64).reshape(-1, size)
 
 
-def digests(hashes: list[np.ndarray], common: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+def digests(hashes: list[np.ndarray], common: dict[int, int], size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(record number, digest) such that records with at least 80 % of their joint words in common share a digest, unless
     their word sets are equal.
 
     A record of n words must share m = ceil(0.8 n) of them. In an order that is the same for all records, rarest first, the
-    first n - m + s words of two such records have s words in common; so each combination of s of them is a digest.
+    first n - m + s words of two such records have s words in common; so each combination of s of them is a digest. ``seed``
+    keeps kinds apart.
     """
     by: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
     for i, h in enumerate(hashes):
@@ -107,7 +108,7 @@ def digests(hashes: list[np.ndarray], common: dict[int, int], size: int) -> tupl
     recs, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for (s, k), (rec, mat) in by.items():
         m, c = np.array(mat).astype(np.uint64), _choices(k, s)
-        sig = np.full((len(rec), len(c)), s, np.uint64)
+        sig = np.full((len(rec), len(c)), seed * 4 + s, np.uint64)
         for j in range(s):
             sig = _spread(sig * np.uint64(0x9E3779B97F4A7C15) + m[:, c[:, j]])
         recs.append(np.repeat(rec, len(c)))
@@ -115,10 +116,10 @@ def digests(hashes: list[np.ndarray], common: dict[int, int], size: int) -> tupl
     return np.concatenate(recs), np.concatenate(sigs)
 
 
-def _bitmap(h: np.ndarray) -> tuple[int, int]:
-    """128 parities; two sets differ in at least as many words as their bitmaps in bits."""
-    bits = np.bincount((h.astype(np.uint64) % np.uint64(128)).astype(np.int64), minlength=128) & 1
-    return tuple(int(np.packbits(bits[i : i + 64].astype(np.uint8)).view(">i8")[0]) for i in (0, 64))
+def _bitmap(h: np.ndarray) -> int:
+    """64 parities; two sets differ in at least as many words as their bitmaps in bits."""
+    bits = np.bincount((h.astype(np.uint64) % np.uint64(64)).astype(np.int64), minlength=64) & 1
+    return int(np.packbits(bits.astype(np.uint8)).view(">i8")[0])
 
 
 def near_pairs(records: DataFrame, most_common: int = 100_000, hot_rows: int = 200_000) -> DataFrame:
@@ -134,48 +135,40 @@ def near_pairs(records: DataFrame, most_common: int = 100_000, hot_rows: int = 2
     rows = records.filter(F.col("id").isNotNull() & F.col("split").isNotNull()).withColumn("w", F.array_sort(F.array_distinct(alnum_words("text")))).filter(F.size("w") > 0)
     rows = cut(rows.select("kind", "id", "split", "source", "w", F.sha2(F.concat_ws(" ", "w"), 256).alias("c")))
     is_train = F.col("split") == "train"
-    classes = cut(
-        rows.groupBy("kind", "c").agg(F.max("w").alias("w"), F.max(is_train).alias("t"), F.max(~is_train).alias("e"))
-        .withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    )
-    size = {r.kind: (3 if r.n < 24 else 2, r.total) for r in classes.groupBy("kind").agg(F.avg(F.size("h")).alias("n"), F.sum(F.size("h")).alias("total")).collect()}
+    classes = cut(rows.groupBy("kind", "c").agg(F.max("w").alias("w"), F.max(is_train).alias("t"), F.max(~is_train).alias("e")))
+    # Digests carry 64 bits of a class. Two classes that share them meet their candidates together; words decide.
+    brief = F.xxhash64("kind", "c")
+    hashed = classes.select("kind", brief.alias("x"), "t", "e", F.array_sort(F.transform("w", lambda w: F.xxhash64(w))).alias("h"))
+    size = {r.kind: (3 if r.n < 24 else 2, r.total) for r in classes.groupBy("kind").agg(F.avg(F.size("w")).alias("n"), F.sum(F.size("w")).alias("total")).collect()}
     total = sum(t for _, t in size.values())
-    often = classes.select(F.explode("h").alias("h")).groupBy("h").count().filter(F.col("count") > max(8, total // most_common))
+    often = hashed.select(F.explode("h").alias("h")).groupBy("h").count().filter(F.col("count") > max(8, total // most_common))
     sent = records.sparkSession.sparkContext.broadcast({r.h: r["count"] for r in often.collect()})
-    sizes = {k: s for k, (s, _) in size.items()}
+    sizes = {k: (s, i) for i, (k, (s, _)) in enumerate(sorted(size.items()))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, c, t, e, h = (b.column(i) for i in range(5))
-            kinds = np.array(kinds.to_pylist(), object)
-            ends = h.offsets.to_numpy()
-            flat = h.values.to_numpy(zero_copy_only=False)
+            kinds, x, h = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(), b.column(2)
+            ends, flat = h.offsets.to_numpy(), h.values.to_numpy(zero_copy_only=False)
             sets = [flat[a:z] for a, z in zip(ends[:-1], ends[1:])]
             for kind in set(kinds.tolist()):
                 at = np.flatnonzero(kinds == kind)
                 for part in np.array_split(at, len(at) // 1000 + 1):
                     own = [sets[i] for i in part]
-                    rec, sig = digests(own, sent.value, sizes[kind])
-                    if not len(rec):
-                        continue
-                    bits = np.array([_bitmap(s) for s in own], np.int64)
-                    idx = pa.array(part[rec])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(rec)), c.take(idx), t.take(idx), e.take(idx), pa.array(sig), pa.array(np.array([len(s) for s in own], np.int32)[rec]), pa.array(bits[rec, 0]), pa.array(bits[rec, 1])],
-                        ["kind", "c", "t", "e", "sig", "n", "b0", "b1"],
-                    )
-
-    signed = classes.select("kind", "c", "t", "e", "h").mapInArrow(run, "kind string, c string, t boolean, e boolean, sig bigint, n int, b0 bigint, b1 bigint")
-    # One shuffle by digest serves both sides; a digest that only one side has goes no further.
-    x = signed.filter("t").select("kind", "sig", F.col("c").alias("ct"), F.col("n").alias("nt"), F.col("b0").alias("t0"), F.col("b1").alias("t1"))
-    y = signed.filter("e").select("kind", "sig", F.col("c").alias("ce"), F.col("n").alias("ne"), F.col("b0").alias("e0"), F.col("b1").alias("e1"))
-    apart = F.bit_count(F.col("t0").bitwiseXOR(F.col("e0"))) + F.bit_count(F.col("t1").bitwiseXOR(F.col("e1")))
-    close = (F.col("ct") != F.col("ce")) & (9 * apart <= F.col("nt") + F.col("ne")) & (5 * F.least("nt", "ne") >= 4 * F.greatest("nt", "ne"))
-    met = cut(x.join(y, ["kind", "sig"]).filter(close).select("kind", "ct", "ce").distinct())
-    words = lambda end: classes.select("kind", F.col("c").alias(end), F.col("w").alias(f"w{end}"))
-    both = met.join(words("ct"), ["kind", "ct"]).join(words("ce"), ["kind", "ce"])
-    shared = F.size(F.array_intersect("wct", "wce"))
-    similar = both.filter(5 * shared >= 4 * (F.size("wct") + F.size("wce") - shared)).select("kind", "ct", "ce")
+                    rec, sig = digests(own, sent.value, *sizes[kind])
+                    bits, n = np.array([_bitmap(s) for s in own], np.int64), np.array([len(s) for s in own], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (sig, x[part][rec], n[rec], bits[rec])], ["sig", "x", "n", "b"])
+
+    def signed(side: str) -> DataFrame:
+        of = hashed.filter(side).select("kind", "x", "h").mapInArrow(run, "sig bigint, x bigint, n int, b bigint")
+        return of.select("sig", *(F.col(c).alias(side + c) for c in ("x", "n", "b")))
+
+    apart = F.bit_count(F.col("tb").bitwiseXOR(F.col("eb")))
+    close = (F.col("tx") != F.col("ex")) & (9 * apart <= F.col("tn") + F.col("en")) & (5 * F.least("tn", "en") >= 4 * F.greatest("tn", "en"))
+    met = cut(signed("t").join(signed("e"), "sig").filter(close).select("tx", "ex").distinct())
+    words = lambda side: classes.filter(side).select(*(F.col(c).alias(side + c) for c in ("kind", "c", "w")), brief.alias(side + "x"))
+    both = met.join(words("t"), "tx").join(words("e"), "ex").filter((F.col("tkind") == F.col("ekind")) & (F.col("tc") != F.col("ec")))
+    shared = F.size(F.array_intersect("tw", "ew"))
+    similar = both.filter(5 * shared >= 4 * (F.size("tw") + F.size("ew") - shared)).select(F.col("tkind").alias("kind"), F.col("tc").alias("ct"), F.col("ec").alias("ce"))
     linked = similar.unionByName(classes.filter("t and e").select("kind", F.col("c").alias("ct"), F.col("c").alias("ce")))
     end = lambda which, c, p: rows.filter(which).select("kind", F.col("c").alias(c), *(F.col(x).alias(p + x) for x in ("id", "split", "source")))
     out = linked.join(end(is_train, "ct", "t_"), ["kind", "ct"]).join(end(~is_train, "ce", "e_"), ["kind", "ce"]).filter("t_id <> e_id")
