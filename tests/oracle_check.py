@@ -15,7 +15,7 @@ DATA = "/root/testdata"
 
 
 def norm(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(norm(x) for x in v)
