@@ -90,13 +90,13 @@ def tied_groups(records: DataFrame, ties: list[str], seed: int = 42, hot_rows: i
     """(id, group_id, n) for distinct non-null ids: records with the same non-null value in any column of ``ties`` are tied,
     ties carry over, group_id is the smallest id of the group and n its number of ids. A record without ties is alone.
 
-    ``records`` has one row per id; other columns are ignored.
+    ``records`` has one row per id, repeated rows count once; other columns are ignored.
     """
     tagged = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{ties.index(c)}:"), F.col(c)))
     rows = cut(
         records.filter(F.col("id").isNotNull()).select(
             "id", F.filter(F.array(*(tagged(c) for c in ties)), lambda t: t.isNotNull()).alias("t")
-        ).select("id", F.coalesce(F.get("t", F.lit(0)), F.concat(F.lit("i:"), "id")).alias("v"), "t")
+        ).distinct().select("id", F.coalesce(F.get("t", F.lit(0)), F.concat(F.lit("i:"), "id")).alias("v"), "t")
     )
     edges = rows.select(F.col("v").alias("a"), F.explode("t").alias("b"))
     named = lookup(rows.select("id", "v"), "v", contract(edges, seed, hot_rows), hot_rows)
