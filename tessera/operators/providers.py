@@ -17,13 +17,13 @@ from . import gate, graph, retrieve
 DIM = 384
 
 
-def hashed_vectors(texts: pd.Series, dim: int = DIM) -> pd.Series:
+def hashed_vectors(texts: pd.Series) -> pd.Series:
     """Unit vectors of hashed word counts; zeros for texts without words."""
     out = []
     for t in texts:
-        v = np.zeros(dim, np.float32)
+        v = np.zeros(DIM, np.float32)
         for w in (t or "").lower().split():
-            v[zlib.crc32(w.encode()) % dim] += 1.0
+            v[zlib.crc32(w.encode()) % DIM] += 1.0
         n = float(np.linalg.norm(v))
         out.append((v / n if n else v).tolist())
     return pd.Series(out)
