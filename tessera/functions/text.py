@@ -15,6 +15,12 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once. An expression that a lambda mentions is otherwise computed anew for each
+    element, and the optimizer inlines columns into lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def key(c: Column | str) -> Column:
     """Lower case, letters and digits only; null stays null."""
     return F.regexp_replace(F.lower(_c(c)), NOT_ALNUM, "")

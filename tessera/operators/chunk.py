@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.parse import fingerprint, lower_words, numbered_id, sentences
-from ..functions.text import ws_count, ws_words
+from ..functions.text import let, ws_count, ws_words
 
 
 @dataclass(frozen=True)
@@ -27,14 +27,15 @@ def word_chunks(text: Column, c: Chunking = Chunking()) -> Column:
 
     A text that fits one window is given verbatim, a longer one with its words joined by single blanks.
     """
-    w, step = ws_words(text), c.words - c.overlap
-    last = F.ceil((F.size(w) - c.words) / step).cast("int")
-    many = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda k: F.struct(k.alias("chunk_idx"), (last + 1).alias("total_chunks"), F.array_join(F.slice(w, k * step + 1, c.words), " ").alias("text")),
-    )
-    one = F.array(F.struct(F.lit(0).alias("chunk_idx"), F.lit(1).alias("total_chunks"), text.alias("text")))
-    return F.when(F.size(w) > c.words, many).otherwise(one)
+    step = c.words - c.overlap
+
+    def cut(w: Column) -> Column:
+        last = F.ceil((F.size(w) - c.words) / step).cast("int")
+        window = lambda k: F.struct(k.alias("chunk_idx"), (last + 1).alias("total_chunks"), F.array_join(F.slice(w, k * step + 1, c.words), " ").alias("text"))
+        one = F.array(F.struct(F.lit(0).alias("chunk_idx"), F.lit(1).alias("total_chunks"), text.alias("text")))
+        return F.when(F.size(w) > c.words, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)).otherwise(one)
+
+    return let(ws_words(text), cut)
 
 
 def needs_chunking(source: Column, words: Column, c: Chunking = Chunking()) -> Column:
@@ -47,21 +48,17 @@ def needs_chunking(source: Column, words: Column, c: Chunking = Chunking()) -> C
 def sentence_chunks(text: Column, c: Chunking = Chunking()) -> Column:
     """ARRAY<STRING>: sentences packed greedily up to ``words`` words; each chunk after the first begins with the last
     ``carry`` sentences of the one before. A sentence longer than the limit makes a chunk of its own beginnings."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+    counted = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), ws_count(s).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<struct<s:string,n:int>>").alias("now"), F.lit(0).alias("n"))
+    joined = lambda now: F.array_join(F.transform(now, lambda x: x["s"]), " ")
 
     def step(acc: Column, s: Column) -> Column:
-        n = ws_count(s)
-        full = (acc["n"] + n > c.words) & (F.size(acc["now"]) > 0)
-        kept = F.slice(acc["now"], F.greatest(F.size(acc["now"]) - c.carry + 1, F.lit(1)), c.carry) if c.carry else F.array().cast("array<string>")
-        kept_n = F.aggregate(kept, F.lit(0), lambda a, x: a + ws_count(x))
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(kept, F.array(s))).otherwise(F.concat(acc["now"], F.array(s))).alias("now"),
-            F.when(full, kept_n + n).otherwise(acc["n"] + n).alias("n"),
-        )
+        more = F.struct(acc["done"].alias("done"), F.array_append(acc["now"], s).alias("now"), (acc["n"] + s["n"]).alias("n"))
+        kept = F.slice(acc["now"], F.greatest(F.size(acc["now"]) - c.carry + 1, F.lit(1)), c.carry) if c.carry else F.slice(acc["now"], 1, 0)
+        next_ = let(F.array_append(kept, s), lambda now: F.struct(F.array_append(acc["done"], joined(acc["now"])).alias("done"), now.alias("now"), F.aggregate(now, F.lit(0), lambda a, x: a + x["n"]).alias("n")))
+        return F.when((acc["n"] + s["n"] > c.words) & (F.size(acc["now"]) > 0), next_).otherwise(more)
 
-    end = lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"])
-    return F.aggregate(sentences(text), start, step, end)
+    return F.aggregate(counted, start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.array_append(acc["done"], joined(acc["now"]))).otherwise(acc["done"]))
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -124,12 +121,10 @@ def multi_kb(ctx: DataFrame, c: Chunking = Chunking(), least_words: int = 5) ->
 def compress(query: Column, texts: Column, most: int = 3) -> Column:
     """For each text its ``most`` sentences with the most of the query's words, ties to the earlier, in their order; a sentence
     that equals a kept one is kept too. A text of at most ``most`` sentences keeps them all."""
-    q = F.array_distinct(lower_words(query))
 
-    def one(t: Column) -> Column:
-        s = sentences(t)
+    def one(q: Column, s: Column) -> Column:
         scored = F.transform(s, lambda x, i: F.struct((-F.size(F.array_intersect(q, lower_words(x)))).alias("a"), i.alias("i"), x.alias("x")))
         top = F.transform(F.slice(F.array_sort(scored), 1, most), lambda r: r["x"])
-        return F.array_join(F.filter(s, lambda x: F.array_contains(top, x)), " ")
+        return let(top, lambda t: F.array_join(F.filter(s, lambda x: F.array_contains(t, x)), " "))
 
-    return F.transform(texts, one)
+    return let(F.array_distinct(lower_words(query)), lambda q: F.transform(texts, lambda t: let(sentences(t), lambda s: one(q, s))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.parse import lower_words
+from ..functions.text import WS
 from ..runtime import cut
 
 
@@ -57,6 +60,99 @@ def bm25_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, que
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+_WORD = re.compile(f"[^{WS}]+")
+
+
+def _lower_words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def frequencies(docs: DataFrame, text: str, most: int = 500_000) -> DataFrame:
+    """(term, df, words): document frequencies of all terms; the row with a null term has the number of documents that have
+    words, and their words.
+
+    Tasks count before anything is shuffled, so what moves are a task's distinct terms (``most`` at a time), not its words.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, n, words = Counter(), 0, 0
+        flush = lambda: pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "df": pd.Series(list(seen.values()), dtype="int64"), "words": 0})
+        for pdf in batches:
+            for t in pdf["t"]:
+                if w := _lower_words(t):
+                    seen.update(set(w))
+                    n, words = n + 1, words + len(w)
+                if len(seen) > most:
+                    yield flush()
+                    seen.clear()
+        yield flush()
+        yield pd.DataFrame({"term": [None], "df": [n], "words": [words]})
+
+    return docs.select(F.col(text).alias("t")).mapInPandas(run, "term string, df bigint, words bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+
+
+def idf_of(freq: DataFrame, n_docs: int, p: Bm25 = Bm25()) -> DataFrame:
+    """(term, df, idf) from ``frequencies``."""
+    raw = freq.filter(F.col("term").isNotNull()).select("term", "df", (F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return raw.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean")))).select("term", "df", F.when(F.col("raw") < 0, p.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def bm25_top_k(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, p: Bm25 = Bm25(), block: int = 2048) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best ``k`` documents of each query, as ``bm25_scores`` scores them; ties by doc_id.
+
+    Two passes over the corpus, neither of which shuffles its words: one for document frequencies, one that scores batches of
+    documents against a block of queries and keeps each batch's best ``k``. Blocks have a bounded number of queries.
+    """
+    freq = cut(frequencies(docs, text))
+    total = freq.filter(F.col("term").isNull()).select("df", "words").collect()
+    n, words = (total[0].df, total[0].words) if total else (0, 0)
+    q = queries.select(F.col(query_id).alias("q"), F.col(query).alias("t")).filter(F.col("t").isNotNull())
+    source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    kinds = dict(q.dtypes)["q"], dict(source.dtypes)["d"]
+    adl = words / n if n else 1.0
+    terms_of = idf_of(freq, max(n, 1), p).join(F.broadcast(q.select(F.explode(lower_words("t")).alias("term")).distinct()), "term")
+    weight = {r.term: r.idf for r in terms_of.select("term", "idf").toLocalIterator()}
+    blocks, rows = [], []
+    for r in q.toLocalIterator():
+        rows.append((r.q, Counter(_lower_words(r.t))))
+        if len(rows) == block:
+            blocks.append(rows)
+            rows = []
+    out = None
+    for part in [*blocks, rows]:
+        by: dict[str, tuple[list[int], list[float]]] = {}
+        for i, (_, c) in enumerate(part):
+            for w, m in c.items():
+                if w in weight:
+                    at, val = by.setdefault(w, ([], []))
+                    at.append(i)
+                    val.append(m * weight[w] * (p.k1 + 1))
+        sent = docs.sparkSession.sparkContext.broadcast(([i for i, _ in part], {w: (np.array(a), np.array(v)) for w, (a, v) in by.items()}))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, by = sent.value
+            for pdf in batches:
+                for a in range(0, len(pdf) if ids else 0, 1000):
+                    some = pdf.iloc[a : a + 1000].sort_values("d", kind="stable")
+                    score, hit = np.zeros((len(some), len(ids))), np.zeros((len(some), len(ids)), bool)
+                    for j, t in enumerate(some["t"]):
+                        w = _lower_words(t)
+                        norm = p.k1 * (1 - p.b + p.b * len(w) / adl)
+                        for term, tf in Counter(x for x in w if x in by).items():
+                            at, val = by[term]
+                            score[j, at] += val * (tf / (tf + norm))
+                            hit[j, at] = True
+                    keep = np.where(hit, np.round(score, 6), -np.inf)
+                    top = np.argsort(-keep, axis=0, kind="stable")[:k]
+                    doc, qi = top.ravel(), np.tile(np.arange(len(ids)), len(top))
+                    ok = hit[doc, qi]
+                    yield pd.DataFrame({"query_id": np.array(ids, object)[qi[ok]], "doc_id": some["d"].to_numpy()[doc[ok]], "score": score[doc[ok], qi[ok]]})
+
+        hits = source.mapInPandas(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out, k)
+
+
 def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:
     """``scores`` with rank 1 to k per ``by``: rounded score descending, then ``tie``. Task-local limits come first."""
     r = F.row_number().over(Window.partitionBy(by).orderBy(F.round(score, digits).desc(), F.col(tie)))

@@ -73,7 +73,7 @@ def route(spark: SparkSession, sf_dir: str, p: Providers = Providers(), k: int =
     items = table(spark, sf_dir, "eval_items").select("item_id", p.rewrite(F.col("query")).alias("query"))
     subs = items.select("item_id", "query", F.when(p.is_multihop(F.col("query")), p.decompose(F.col("query"))).otherwise(F.array("query")).alias("s"))
     subs = cut(subs.select("item_id", "query", F.size("s").alias("n_sub"), F.posexplode("s").alias("sub", "q")).withColumn("sid", F.concat_ws(":", "item_id", "sub")))
-    hits = R.top_k(R.bm25_scores(docs, "doc_id", "text", subs, "sid", "q"), k).withColumnRenamed("query_id", "sid")
+    hits = R.bm25_top_k(docs, "doc_id", "text", subs, "sid", "q", k).withColumnRenamed("query_id", "sid")
     fan = R.fan_out(hits.join(subs.select("sid", F.col("item_id").alias("query_id"), "sub", "n_sub"), "sid"), k)
     ranked = fan.join(docs, "doc_id").join(items.select(F.col("item_id").alias("query_id"), "query"), "query_id")
     top = R.rerank(ranked, p.rerank(F.col("query"), F.col("text")), k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("rerank_score").alias("score"), "text"))).alias("h"))

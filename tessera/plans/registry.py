@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..runtime import widened
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +28,13 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables whose rows are texts, so that work on a row outweighs moving it.
+TEXTS = ("documents", "unified_samples", "kb", "ft_samples", "raw_records", "eval_items")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widened(df) if name in TEXTS else df
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

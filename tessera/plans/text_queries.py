@@ -102,8 +102,8 @@ f AS (
 SELECT doc_id, len(done)::INTEGER + 1 AS n, md5(array_to_string(list_append(done, array_to_string(list_transform(now, lambda x: x.s), ' ')), '|')) AS h FROM f WHERE i = len(s)""")
 def sentence_chunks(spark, d):
     """Sentences packed up to 350 words, two carried over."""
-    c = C.sentence_chunks(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", c.alias("c")).filter(F.size("c") > 0).select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|")).alias("h"))
+    told = X.let(C.sentence_chunks(F.col("text")), lambda c: F.struct(F.size(c).alias("n"), F.md5(F.array_join(c, "|")).alias("h")))
+    return table(spark, d, "documents").filter(F.size(P.sentences("text")) > 0).select("doc_id", F.inline(F.array(told)))
 
 
 @query(f"""
@@ -153,14 +153,14 @@ _TOP5 = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(f"WITH {_bm25('documents', 'doc_id', 'text')} SELECT term, df, round(idf, 4) AS idf FROM idf")
 def bm25_idf(spark, d):
-    tf = cut(R.terms(table(spark, d, "documents"), "doc_id", "text"))
-    return R.idf(tf, tf.select("doc_id").distinct().count()).select("term", "df", F.round("idf", 4).alias("idf"))
+    freq = cut(R.frequencies(table(spark, d, "documents"), "text"))
+    return R.idf_of(freq, freq.filter("term IS NULL").collect()[0].df).select("term", "df", F.round("idf", 4).alias("idf"))
 
 
 @query(f"WITH {_bm25('documents', 'doc_id', 'text')}, {_scores(_ITEMS)} SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 4) AS score FROM ({_TOP5}) WHERE rank <= 5")
 def bm25_top5(spark, d):
-    s = R.bm25_scores(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "query")
-    return R.top_k(s, 5).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    s = R.bm25_top_k(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "query", 5)
+    return s.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query(f"""
@@ -169,9 +169,9 @@ SELECT query_id, doc_id AS chunk, rank::INTEGER AS rank, round(score, 4) AS scor
 def bm25_chunks(spark, d):
     """Flagship: documents are chunked, equal chunks dropped, and each evaluation query gets its five best chunks."""
     once = C.first_by(_chunks(spark, d).withColumn("hash", P.fingerprint("text")), ["hash"], "doc_id", "chunk_idx")
-    u = once.select((F.col("doc_id") * 1000 + F.col("chunk_idx")).alias("cid"), "text")
-    s = R.bm25_scores(u, "cid", "text", table(spark, d, "eval_items"), "item_id", "query")
-    return R.top_k(s, 5).select("query_id", F.col("doc_id").alias("chunk"), "rank", F.round("score", 4).alias("score"))
+    u = cut(once.select((F.col("doc_id") * 1000 + F.col("chunk_idx")).alias("cid"), "text"))
+    s = R.bm25_top_k(u, "cid", "text", table(spark, d, "eval_items"), "item_id", "query", 5)
+    return s.select("query_id", F.col("doc_id").alias("chunk"), "rank", F.round("score", 4).alias("score"))
 
 
 _VEC = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -239,7 +239,7 @@ SELECT item AS query_id, doc_id, (row_number() OVER (PARTITION BY item ORDER BY
 def subquery_fanout(spark, d):
     """Each sub-query's share of six hits, together without repetition."""
     subs = table(spark, d, "eval_items").select("item_id", F.size(R.decompose("query")).alias("n_sub"), F.posexplode(R.decompose("query")).alias("sub", "q")).withColumn("sid", F.col("item_id") * 100 + F.col("sub"))
-    hits = R.top_k(R.bm25_scores(table(spark, d, "documents"), "doc_id", "text", subs, "sid", "q"), 6)
+    hits = R.bm25_top_k(table(spark, d, "documents"), "doc_id", "text", subs, "sid", "q", 6)
     named = hits.withColumnRenamed("query_id", "sid").join(subs.select("sid", F.col("item_id").alias("query_id"), "sub", "n_sub"), "sid")
     return R.fan_out(named, 6).select("query_id", "doc_id", "rank")
 
@@ -256,7 +256,7 @@ g AS (SELECT i.item_id, i.query, list(round(h.score / 10, 6) ORDER BY rank) FILT
 def _hits(spark, d):
     """Items with scores (scaled to about 0 to 1) and texts of their five best documents, in rank order."""
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items")
-    top = R.top_k(R.bm25_scores(docs, "doc_id", "text", items, "item_id", "query"), 5).join(docs, "doc_id")
+    top = R.bm25_top_k(docs, "doc_id", "text", items, "item_id", "query", 5).join(docs, "doc_id")
     g = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", (F.round(F.col("score") / 10, 6)).alias("score"), "text"))).alias("h"))
     none = F.array().cast("array<double>"), F.array().cast("array<string>")
     return items.select("item_id", "query", "gt_action").join(g.withColumnRenamed("query_id", "item_id"), "item_id", "left").select(

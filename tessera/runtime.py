@@ -92,3 +92,10 @@ def lookup(left: DataFrame, key: str, right: DataFrame, hot_rows: int = 200_000,
     few = F.broadcast(left.sparkSession.createDataFrame([(v,) for v in values], hot.schema))
     known = F.broadcast(few.join(right, key, "left"))
     return left.join(known, key).unionByName(left.join(few, key, "left_anti").join(right, key, "left"))
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """A scanned table over as many partitions as there are cores. A file of one row group is one task, however many cores
+    wait; a table of fewer splits than cores is small, so moving it costs little. Larger tables stay as they were read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
