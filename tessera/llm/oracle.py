@@ -57,6 +57,23 @@ pairs AS (SELECT x.kind, x.id AS tid, y.id AS eid, y.split, y.source FROM shared
 """
 
 
+_FORMS = f"""
+WITH {_LATEST},
+texts AS (
+  SELECT 'kb' AS tbl, kb_id AS id, {_key("text")} AS form, {_key("text")} AS q FROM kb
+  UNION ALL
+  SELECT 'unified_samples', id, {_key("query")} || chr(2) || coalesce(array_to_string(list_sort(list_transform(context.documents,
+    lambda d: 'k' || coalesce({_key("d.text")}, ''))), chr(1)), ''), {_key("query")} FROM u),
+valid AS (SELECT raw_id AS id, payload::JSON AS j FROM raw_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+tree AS (SELECT v.id, t.fullkey, t.type, t.value FROM valid v, json_tree(v.j) t),
+payloads AS (
+  SELECT id, string_agg(fullkey || chr(3) || CASE WHEN type = 'VARCHAR' THEN 's' || {_key("(value ->> '$')")} WHEN type IN ('OBJECT', 'ARRAY') THEN type
+    WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (value::VARCHAR::DOUBLE)::VARCHAR ELSE coalesce(value::VARCHAR, 'null') END, chr(1) ORDER BY fullkey, value::VARCHAR) AS form
+  FROM tree GROUP BY id),
+f AS (SELECT tbl, id, form FROM texts WHERE q <> '' UNION ALL SELECT 'raw_records', id, form FROM payloads)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""
@@ -73,22 +90,10 @@ t AS (SELECT id, 'd' || dk AS tie FROM k WHERE dk <> ''
 e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM t a JOIN t b USING (tie)),
 reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
 SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a HAVING count(*) > 1""",
-        "p4_found": f"""
-WITH {_LATEST},
-texts AS (
-  SELECT 'kb' AS tbl, kb_id AS id, {_key("text")} AS form, {_key("text")} AS q FROM kb
-  UNION ALL
-  SELECT 'unified_samples', id, {_key("query")} || chr(2) || coalesce(array_to_string(list_sort(list_transform(context.documents,
-    lambda d: 'k' || coalesce({_key("d.text")}, ''))), chr(1)), ''), {_key("query")} FROM u),
-valid AS (SELECT raw_id AS id, payload::JSON AS j FROM raw_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
-tree AS (SELECT v.id, t.fullkey, t.type, t.value FROM valid v, json_tree(v.j) t),
-payloads AS (
-  SELECT id, string_agg(fullkey || chr(3) || CASE WHEN type = 'VARCHAR' THEN 's' || {_key("(value ->> '$')")} WHEN type IN ('OBJECT', 'ARRAY') THEN type
-    WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (value::VARCHAR::DOUBLE)::VARCHAR ELSE coalesce(value::VARCHAR, 'null') END, chr(1) ORDER BY fullkey, value::VARCHAR) AS form
-  FROM tree GROUP BY id),
-f AS (SELECT tbl, id, form FROM texts WHERE q <> '' UNION ALL SELECT 'raw_records', id, form FROM payloads),
-m AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, form) AS first_id FROM f)
+        "p4_found": _FORMS
+        + """, m AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, form) AS first_id FROM f)
 SELECT tbl, first_id, id AS other_id FROM m WHERE id <> first_id""",
+        "p4_copies": _FORMS + "SELECT tbl, min(id) AS first_id, count(*) AS copies FROM f GROUP BY tbl, form",
         "p5_found": _HOLDS + "SELECT r.dialogue_key, (turn_id - first_turn + 1)::INTEGER AS turn_pos, id FROM r JOIN ok USING (dialogue_key)",
         "p5_messages": _HOLDS
         + """SELECT r.dialogue_key, (2 * (turn_id - first_turn) + p)::INTEGER AS message_pos, CASE p WHEN 1 THEN 'user' ELSE 'assistant' END AS role,
