@@ -101,13 +101,13 @@ def features(text: str) -> list[float]:
 
 @dataclass(frozen=True)
 class Boosting:
-    trees: int = 80
-    depth: int = 3
+    trees: int = 120
+    depth: int = 4
     rate: float = 0.1
     bins: int = 48
     least: int = 8
     #: Labelled documents that the model is fitted on at most, those with the smallest hashes. Levels are given to all.
-    most_labelled: int = 6_000
+    most_labelled: int = 20_000
     seed: int = 42
 
 
@@ -150,24 +150,30 @@ def fit(x: np.ndarray, y: np.ndarray, p: Boosting = Boosting()) -> Trees:
         at = np.zeros(n, np.int64)
         value[0] = g.mean()
         for level in range(p.depth):
-            for node in range(2**level - 1, 2 ** (level + 1) - 1):
-                rows = np.flatnonzero(at == node)
-                if len(rows) < 2 * p.least:
-                    continue
-                where = flat[rows].ravel()
-                c = np.bincount(where, minlength=m * width).reshape(m, width).cumsum(axis=1)
-                s = np.bincount(where, weights=np.repeat(g[rows], m), minlength=m * width).reshape(m, width).cumsum(axis=1)
-                cl, sl, call, sall = c[:, :-1], s[:, :-1], len(rows), float(g[rows].sum())
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where((cl >= p.least) & (call - cl >= p.least), sl**2 / cl + (sall - sl) ** 2 / (call - cl), -np.inf) - sall**2 / call
-                k = int(np.argmax(gain))
-                f, q = divmod(k, width - 1)
-                if not gain[f, q] > 1e-9:
-                    continue
-                feat[node], cutp[node] = f, q
-                right = b[rows, f] > q
-                at[rows] = 2 * node + 1 + right
-                value[2 * node + 1], value[2 * node + 2] = g[rows[~right]].mean(), g[rows[right]].mean()
+            first, k = 2**level - 1, 2**level
+            where = (flat + ((at - first) * (m * width))[:, None]).ravel()  # the histograms of a level's nodes in one pass
+            if level and len(open_) < n:
+                where = where.reshape(n, m)[open_].ravel()
+            rows_g = g if not level or len(open_) == n else g[open_]
+            c = np.bincount(where, minlength=k * m * width).reshape(k, m, width).cumsum(axis=2)
+            s = np.bincount(where, weights=np.repeat(rows_g, m), minlength=k * m * width).reshape(k, m, width).cumsum(axis=2)
+            cl, sl, call, sall = c[:, :, :-1], s[:, :, :-1], c[:, :1, -1:], s[:, :1, -1:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where((cl >= p.least) & (call - cl >= p.least), sl**2 / cl + (sall - sl) ** 2 / (call - cl) - sall**2 / call, -np.inf).reshape(k, -1)
+            best = gain.argmax(axis=1)
+            splits = gain[np.arange(k), best] > 1e-9
+            f, q = best // (width - 1), best % (width - 1)
+            for i in np.flatnonzero(splits).tolist():
+                node, left_n, left_s = first + i, c[i, f[i], q[i]], s[i, f[i], q[i]]
+                feat[node], cutp[node] = f[i], q[i]
+                value[2 * node + 1], value[2 * node + 2] = left_s / left_n, (s[i, 0, -1] - left_s) / (c[i, 0, -1] - left_n)
+            here = np.flatnonzero((at >= first) & (at < first + k))
+            here = here[splits[at[here] - first]]
+            node = at[here] - first
+            at[here] = 2 * at[here] + 1 + (b[here, f[node]] > q[node])
+            open_ = here
+            if not len(open_):
+                break
         t.splits.append((feat, cutp, value))
         pred += p.rate * value[at]
     return t
