@@ -13,7 +13,7 @@ from ..operators.providers import rule_planner
 from ..operators.similarity import similar_hubs
 from ..runtime import cut
 from . import pipeline
-from .registry import S_SAMPLES, query, s_action, s_key, s_split, samples, table
+from .registry import S_SAMPLES, query, s_action, s_key, s_split, s_strip, samples, table
 
 # ---------------------------------------------------------------- build
 
@@ -279,7 +279,17 @@ def ft_build(spark, d):
     return pipeline.build_ft(spark, d).select("ft_id", "source_id", "action", "split", "reason", F.md5(F.to_json("messages")).alias("messages_hash"))
 
 
-@query()
+_SAID = "list_filter(messages, lambda m: m.role = 'assistant')[1].content"
+
+
+@query(f"""
+WITH t AS (SELECT ft_id, upper({s_strip("action")}) AS action, {_USER} AS u, {_SAID} AS a FROM ft_samples),
+f AS (SELECT ft_id, action, u, a, CASE WHEN regexp_matches(a, '(?s)<decision>.*?</decision>') THEN {s_strip("regexp_extract(a, '(?s)<decision>(.*?)</decision>', 1)")} ELSE '' END AS d,
+  CASE WHEN regexp_matches(u, '(?s)<graph_context>.*?</graph_context>') THEN regexp_extract(u, '(?s)<graph_context>(.*?)</graph_context>', 1) ELSE '' END AS g FROM t),
+l AS (SELECT ft_id, unnest([CASE WHEN d NOT IN ('ANSWER', 'ASK', 'ABSTAIN') THEN 'no_decision' END, CASE WHEN d = 'ANSWER' AND contains(g, '?unknown') THEN 'answer_with_placeholder' END,
+  CASE WHEN d = 'ASK' AND NOT contains(coalesce(a, ''), '?') THEN 'ask_without_question' END, CASE WHEN d IN ('ANSWER', 'ASK', 'ABSTAIN') AND d <> action THEN 'decision_differs' END,
+  CASE WHEN coalesce({s_strip("u")}, '') = '' THEN 'empty_user' END, CASE WHEN coalesce({s_strip("a")}, '') = '' THEN 'empty_assistant' END]) AS flag FROM f)
+SELECT ft_id, flag FROM l WHERE flag IS NOT NULL""")
 def ft_quality_flags(spark, d):
     return B.quality_flags(table(spark, d, "ft_samples"))
 

@@ -209,14 +209,15 @@ pool AS (SELECT query_id, doc_id FROM dp UNION SELECT query_id, doc_id FROM sp),
 mx AS (SELECT query_id, max(score) AS best FROM sc GROUP BY 1),
 fu AS (SELECT query_id, doc_id, coalesce(dense_score, 0) AS dense_score, coalesce(score, 0) AS bm25, 0.5 * coalesce(dense_score, 0) + 0.5 * CASE WHEN best > 0 THEN coalesce(score, 0) / best ELSE 0 END AS fused
   FROM pool LEFT JOIN dp USING (query_id, doc_id) LEFT JOIN sc USING (query_id, doc_id) LEFT JOIN mx USING (query_id))
-SELECT query_id, doc_id, round(dense_score, 4) AS dense_score, round(bm25, 4) AS bm25_score, round(fused, 4) AS fused_score FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 6) DESC, doc_id) <= 5""")
+SELECT query_id, doc_id, round(dense_score + 1e-9, 4) AS dense_score, round(bm25 + 1e-9, 4) AS bm25_score, round(fused + 1e-9, 4) AS fused_score FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 6) DESC, doc_id) <= 5""")
 def hybrid_top5(spark, d):
-    """Dense and sparse lists fused; item and document numbers pair with vector numbers as stand-ins."""
+    """Dense and sparse lists fused; item and document numbers pair with vector numbers as stand-ins. Halves of six-digit scores
+    are often ties of the last digit shown, so all are lifted a little before they are rounded."""
     e, items = table(spark, d, "embeddings"), table(spark, d, "eval_items")
     known = items.join(e.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
     dense = R.dense_top_k(e, "vec_id", "embedding", known, "item_id", "embedding", 200)
     sparse = cut(R.bm25_scores(table(spark, d, "documents"), "doc_id", "text", known, "item_id", "query"))
-    return R.fuse(dense, sparse, 5).select("query_id", "doc_id", *(F.round(c, 4).alias(c) for c in ("dense_score", "bm25_score", "fused_score")))
+    return R.fuse(dense, sparse, 5).select("query_id", "doc_id", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("dense_score", "bm25_score", "fused_score")))
 
 
 _HOP = " OR ".join(f"contains(lower(query), '{w}')" for w in R.HOP_WORDS)
