@@ -174,7 +174,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, model = _reading(spark, sf_dir)
-    return levels(docs.filter(X.ws_count("text") >= 80), model).filter(F.col("level").isin(1, 5)).select("doc_id", "level")
+    return levels(docs, model, 80).filter(F.col("level").isin(1, 5)).select("doc_id", "level")
 
 
 def p10_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WS
+
 _SENTENCE = re.compile(r"[.!?。！？…]+(?=\s|$)|\n\s*\n|(?<=[。！？])")
+_WS_WORD = re.compile(rf"[^{WS}]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NUMBERS = re.compile(r"\d+")
 _VOWELS = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûëïœæ]+")
@@ -244,13 +247,16 @@ def train(sample: DataFrame, p: Boosting = Boosting()) -> ReadingModel:
     return ReadingModel(fit(x, y, p), cuts, report)
 
 
-def levels(docs: DataFrame, model: ReadingModel) -> DataFrame:
-    """(doc_id, level INT, score DOUBLE) of every row of ``docs`` (doc_id, text); both null for a text without words."""
+def levels(docs: DataFrame, model: ReadingModel, least_words: int = 0) -> DataFrame:
+    """(doc_id, level INT, score DOUBLE) of every row of ``docs`` (doc_id, text); both null for a text without words. With
+    ``least_words``, only of texts with so many white-space words, counted where the features are made."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for pdf in batches:
+            if least_words:
+                pdf = pdf[[bool(t) and len(_WS_WORD.findall(t)) >= least_words for t in pdf["text"]]]
             rows = [features(t) if t else None for t in pdf["text"]]
             some = [i for i, r in enumerate(rows) if r and any(r)]
             grade, raw = m.grade(np.array([rows[i] for i in some]).reshape(-1, len(FEATURES)))
