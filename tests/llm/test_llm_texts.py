@@ -153,6 +153,8 @@ def test_reading_levels(spark):
     model = train(labelled(d, lab, "source"), Boosting(trees=30))
     got = {r.doc_id: r.level for r in levels(d, model).collect()}
     assert len(got) == 303 and got[900] is None and got[901] is None and got[902] is None
+    some = {r.doc_id: r.level for r in levels(d, model, 3).collect()}
+    assert some == {i: got[i] for i in range(300)}
     ends = [i for i in range(300) if i % 5 in (0, 4)]
     assert sum(got[i] == 1 + i % 5 for i in ends) / len(ends) > 0.9
     assert set(model.report) == {"s0", "s1", "s2"}
