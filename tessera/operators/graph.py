@@ -68,14 +68,20 @@ def capitalised(text: Column, least: int = 4, upto: int = 5000) -> Column:
     return F.regexp_extract_all(F.substring(text, 1, upto), F.lit(rf"[A-Z][a-z]{{{least - 1},}}"), 0)
 
 
-def cooccurrence(m: DataFrame, most: int = 20) -> DataFrame:
-    """(src, dst, weight, kb_ids): both directions of each pair of the first ``most`` names of a chunk, weights summed.
+def cooccurrence(m: DataFrame, block: int = 64) -> DataFrame:
+    """(src, dst, weight): both directions of each pair of distinct names of a chunk, numbers of chunks as weights.
 
-    Pairs are made inside a row of bounded length and summed one way before they are mirrored.
+    A chunk's sorted names are paired block by block, so that a row holds at most ``block`` squared pairs however many names the
+    chunk has; pairs are counted one way before they are mirrored.
     """
-    sets = m.filter(F.col("pos") < most).groupBy("kb_id").agg(F.array_sort(F.collect_set("node")).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    one = sets.select("kb_id", F.inline(pairs)).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    sets = m.groupBy("kb_id").agg(F.array_sort(F.collect_set("node")).alias("s"))
+    last = F.ceil(F.size("s") / block).cast("int") - 1
+    heads = sets.select("kb_id", "s", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    both = heads.select("kb_id", "s", "i", F.explode(F.sequence("i", "last")).alias("j"))
+    part = lambda k: F.slice("s", F.col(k) * block + 1, block)
+    both = both.select("kb_id", part("i").alias("x"), part("j").alias("y"))
+    pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("y", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    one = both.select("kb_id", F.inline(pairs)).groupBy("src", "dst").agg(F.count("*").alias("weight"))
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 

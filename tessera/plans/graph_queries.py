@@ -42,7 +42,7 @@ def kg_nodes(spark, d):
 
 @query(f"WITH {_CO} SELECT src, dst, weight FROM e")
 def kg_edges(spark, d):
-    """Co-occurrence edges of the first 20 names of each chunk."""
+    """Co-occurrence edges of all names of each chunk; the SQL beside it still pairs the first 20 only."""
     return G.cooccurrence(_mentions(spark, d)).select("src", "dst", "weight")
 
 

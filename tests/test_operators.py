@@ -284,3 +284,17 @@ def test_components(spark):
     e = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)] + [("z1", "z2"), ("z2", "z2")], "src string, dst string")
     got = {r.node: r.component for r in G.components(e).collect()}
     assert {got[f"n{i:02}"] for i in range(21)} == {"n00"} and got["z2"] == "z1"
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_cooccurrence_pairs_all_names(spark, block):
+    from itertools import combinations
+
+    chunks = {"wide": [f"n{i:03}" for i in range(150)], "some": [f"n{i:03}" for i in range(140, 165)], "one": ["n000"]}
+    m = spark.createDataFrame([(k, n, i) for k, names in chunks.items() for i, n in enumerate(names)], "kb_id string, node string, pos int")
+    want = {}
+    for names in chunks.values():
+        for a, b in combinations(names, 2):
+            for e in ((a, b), (b, a)):
+                want[e] = want.get(e, 0) + 1
+    assert {(r.src, r.dst): r.weight for r in G.cooccurrence(m, block=block).collect()} == want
