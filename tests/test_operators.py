@@ -298,3 +298,30 @@ def test_cooccurrence_pairs_all_names(spark, block):
             for e in ((a, b), (b, a)):
                 want[e] = want.get(e, 0) + 1
     assert {(r.src, r.dst): r.weight for r in G.cooccurrence(m, block=block).collect()} == want
+
+
+def test_graph_searches_start_at_every_node(spark, tmp_path):
+    from tessera.plans.catalog import QUERIES
+
+    pairs = [("Alpha", "Beta"), ("Beta", "Gamma"), ("Gamma", "Kilo"), ("Kilo", "Omega"), ("Delta", "Alpha"), ("Sigma", "Theta")]
+    rows = [(f"kb_{i}", f"{a} goes to {b}.", "x") for i, (a, b) in enumerate(pairs)]
+    spark.createDataFrame(rows, "kb_id string, text string, source string").write.parquet(f"{tmp_path}/kb.parquet")
+    near = {}
+    for a, b in [(a.lower(), b.lower()) for a, b in pairs]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    paths = {(s, s): [s] for s in near}
+    front = [[s] for s in near]
+    for _ in range(3):
+        front = sorted([*p, n] for p in front for n in near[p[-1]] if n not in p)
+        for p in front:
+            paths.setdefault((p[0], p[-1]), p)
+    got = QUERIES["kg_paths3"](spark, str(tmp_path)).collect()
+    assert {(r.seed, r.node): r.path.split(">") for r in got} == paths and len(got) == len(paths)
+    egos = {s: {n for (a, n), p in paths.items() if a == s and len(p) <= 3} for s in near}
+    assert {r.seed: (r.nodes, r.first_node, r.last_node) for r in QUERIES["kg_ego2"](spark, str(tmp_path)).collect()} == {s: (len(e), min(e), max(e)) for s, e in egos.items()}
+    triples = {s: sorted((f"{a.lower()} | goes | {b.lower()}" for a, b in pairs if {a.lower(), b.lower()} <= e), reverse=True) for s, e in egos.items()}
+    out = {}
+    for r in sorted(QUERIES["kg_seed_triples"](spark, str(tmp_path)).collect(), key=lambda r: r.rank):
+        out.setdefault(r.seed, []).append(r.triple)
+    assert out == triples
