@@ -3,7 +3,8 @@
 Method: spaced seeds. A seed is a fixed mask over ``run`` consecutive words of which some positions don't count. Masked hashes
 of all windows of the evaluation texts are joined with those of all windows of the corpus; around each hit the overlap is
 verified, with substituted words allowed. A window that agrees in every word agrees under every mask, so no exact passage of
-``run`` words is missed, and one with substitutions is found if a mask ignores them.
+``run`` words is missed. The masks are all choices of a few groups of positions to ignore, as many as there may be substitutions,
+so that whatever the places of those, one mask ignores them all, and no passage with substitutions is missed either.
 """
 
 from __future__ import annotations
@@ -11,15 +12,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the word counts. Masks of 12 positions and weight 8; any two substitutions are ignored together by one of them or
-#: leave a window beside them. Fixed values.
-MASKS = ("110110011011", "101011110101", "011101101110")
 _RUN = re.compile(r"[^\W_]+")
 
 
@@ -28,9 +27,22 @@ class Seeds:
     run: int = 12
     #: Share of equal words that an overlap with substitutions must have.
     same: float = 0.8
-    #: Evaluation words per block, each of which is sent to all tasks (8 bytes a word and 12 a seed: under 60 MB a block).
+    #: Evaluation words per block, each of which is sent to all tasks (16 bytes a word and 16 a seed, 15 seeds a word: about 260 MB a block).
     block_words: int = 1_000_000
 
+    @property
+    def least(self) -> int:
+        """Equal words that ``run`` words in a row must have."""
+        return int(np.ceil(self.same * self.run))
+
+
+def masks(seeds: Seeds) -> list[np.ndarray]:
+    """Positions that count, for each mask. The positions are dealt into four groups more than there may be substitutions (15
+    masks of eight of 12 positions for two), and each mask ignores another choice of as many groups as there may be."""
+    off = seeds.run - seeds.least
+    groups = np.array_split(np.arange(seeds.run), min(seeds.run, off + 4))
+    return [np.concatenate([g for k, g in enumerate(groups) if k not in out]) for out in combinations(range(len(groups)), off)]
+
 
 def words_of(text: str | None) -> list[str]:
     """Maximal runs of letters and digits, lower-cased."""
@@ -47,6 +59,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hashes(words: np.ndarray) -> np.ndarray:
+    return _mix(words.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
 class _Block:
     """Evaluation texts as one row of word numbers, and their seeds in hash order. Words of no evaluation text are number 0."""
 
@@ -63,8 +79,9 @@ class _Block:
         inside = np.lib.stride_tricks.sliding_window_view(self.words, seeds.run).all(axis=1) if len(starts) else np.zeros(0, bool)
         starts = starts[inside]
         at, h = [], []
-        for m in range(len(MASKS)):
-            h.append(self.hashes(self.words, m)[starts] if len(starts) else np.zeros(0, np.uint64))
+        self.masks = masks(seeds)
+        for m in range(len(self.masks)):
+            h.append(self.hashes(_word_hashes(self.words), starts, m))
             at.append(starts)
         self.h, self.at = np.concatenate(h), np.concatenate(at)
         order = np.argsort(self.h, kind="stable")
@@ -72,19 +89,17 @@ class _Block:
         self.filter = np.zeros(1 << self.FILTER_BITS, bool)
         self.filter[self.h >> np.uint64(64 - self.FILTER_BITS)] = True
 
-    def mask(self, m: int) -> str:
-        return (MASKS[m] * (self.seeds.run // len(MASKS[m]) + 1))[: self.seeds.run]
-
-    def hashes(self, words: np.ndarray, m: int) -> np.ndarray:
-        """Of each window of ``run`` words, under mask ``m``."""
-        n = len(words) - self.seeds.run + 1
-        v = _mix(words.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        h = np.full(n, m + 1, np.uint64)
-        for j, bit in enumerate(self.mask(m)):
-            if bit == "1":
-                h += v[j : j + n] * np.uint64(2 * (j * 0x9E3779B97F4A7C15 % (1 << 62)) + 1)
+    def hashes(self, v: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+        """Of the windows of ``run`` words at ``starts``, under mask ``m``; v: hashes of the words."""
+        h = np.full(len(starts), m + 1, np.uint64)
+        for j in self.masks[m].tolist():
+            h += v[starts + j] * np.uint64(2 * (j * 0x9E3779B97F4A7C15 % (1 << 62)) + 1)
         return _mix(h)
 
+    def equal(self, doc: np.ndarray, p: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Equal words of the windows at ``p`` in doc and ``e`` in the evaluation texts."""
+        return sum((doc[p + j] == self.words[e + j]).astype(np.int64) for j in range(self.seeds.run))
+
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, longest run of equal words, words of the largest overlap, equal words in it) of each pair found."""
         get, parts, ends = self.number.get, [np.zeros(1, np.int64)], [1]
@@ -98,29 +113,31 @@ class _Block:
             return
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         spans: dict[tuple[int, int], tuple[int, int]] = {}  # (row, diagonal) -> where the last overlap on it lies
-        for m in range(len(MASKS)):
-            counts = np.array([j for j, bit in enumerate(self.mask(m)) if bit == "1"])
-            n = len(doc) - run + 1
-            known = np.ones(n, bool)  # only words of the evaluation texts can match
-            for j in counts:
-                known &= doc[j : j + n] > 0
-            pos = np.flatnonzero(known)
-            if not len(pos):
-                continue
-            h = self.hashes(doc, m)[pos]
+        # Windows inside a text in which enough words are known: only words of the evaluation texts can match.
+        starts = np.arange(len(doc) - run + 1)
+        row_of = np.searchsorted(ends, starts, side="right") - 1
+        known = np.concatenate(([0], np.cumsum(doc > 0)))
+        starts = starts[(row_of >= 0) & (starts + run < ends[row_of + 1]) & (known[run:] - known[:-run] >= self.seeds.least)]
+        v = _word_hashes(doc)
+        for m in range(len(self.masks)):
+            h = self.hashes(v, starts, m)
             hit = self.filter[h >> np.uint64(64 - self.FILTER_BITS)]
-            pos, h = pos[hit], h[hit]
+            pos, h = starts[hit], h[hit]
             lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-            rows = np.searchsorted(ends, pos, side="right") - 1
-            for p, row, a, b in zip(pos.tolist(), rows.tolist(), lo.tolist(), hi.tolist()):
-                for e in self.at[a:b].tolist():
+            for k in range(0, len(pos), 4096):  # hits of some windows at a time
+                a, n = lo[k : k + 4096], (hi - lo)[k : k + 4096]
+                p = np.repeat(pos[k : k + 4096], n)
+                e = self.at[np.arange(len(p)) + np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n)]
+                good = self.equal(doc, p, e) >= self.seeds.least
+                p, e = p[good], e[good]
+                for p, row, e in zip(p.tolist(), (np.searchsorted(ends, p, side="right") - 1).tolist(), e.tolist()):
                     begin, end = spans.get((row, e - p), (0, 0))
                     if begin <= p and p + run <= end:
                         continue
                     if (found := self._overlap(doc, int(ends[row]), int(ends[row + 1]) - 1, p, e)) is not None:
                         spans[(row, e - p)] = found[3:]
-                        k = (row, int(self.item[e]))
-                        best[k] = max(best.get(k, (0, 0, 0)), found[:3])
+                        key = (row, int(self.item[e]))
+                        best[key] = max(best.get(key, (0, 0, 0)), found[:3])
         for (row, item), (longest, size, same) in best.items():
             yield row, item, longest, size, same
 
@@ -129,7 +146,7 @@ class _Block:
 
         It reaches from the hit to both sides while, of every ``run`` words, at least ``same`` are equal.
         """
-        run, least = self.seeds.run, int(np.ceil(self.seeds.same * self.seeds.run))
+        run, least = self.seeds.run, self.seeds.least
         k = int(np.searchsorted(self.gaps, e))
         left, right = min(p - low, e - int(self.gaps[k - 1]) - 1), min(high - p, int(self.gaps[k]) - e)
         d, q = doc[p - left : p + right], self.words[e - left : e + right]

@@ -139,6 +139,28 @@ def test_leaks_with_substitutions(spark):
     assert [(x.overlap_words, x.equal_words, x.longest_run) for x in r] == [(24, 22, 10)]
 
 
+def test_leaks_with_any_substitutions(spark):
+    from itertools import combinations
+
+    v = [f"v{i}" for i in range(12)]
+    places = list(combinations(range(12), 2))
+    docs = [(d, " ".join("other" if i in p else w for i, w in enumerate(v))) for d, p in enumerate(places)]
+    long = [f"u{i}" for i in range(60)]
+    docs.append((100, " ".join("other" if i % 6 == 5 else w for i, w in enumerate(long))))
+    docs.append((101, " ".join("other" if i in (1, 5, 9) else w for i, w in enumerate(v))))
+    c = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, " ".join(v)), (8, " ".join(long))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.overlap_words, r.equal_words) for r in find_leaks(c, "doc_id", "text", i, "item_id", "text").collect()}
+    assert got == {(d, 7): (12, 10) for d in range(66)} | {(100, 8): (60, 50)}
+
+
+def test_leaks_at_the_first_word(spark):
+    v = [f"v{i}" for i in range(12)]
+    c = spark.createDataFrame([(1, " ".join(v[1:])), (2, None), (3, " ".join(v))], "doc_id bigint, text string").coalesce(1)
+    i = spark.createDataFrame([(7, " ".join(v))], "item_id bigint, text string")
+    assert [(r.doc_id, r.longest_run) for r in find_leaks(c, "doc_id", "text", i, "item_id", "text").collect()] == [(3, 12)]
+
+
 EASY = "The cat has the hat. The dog sees the box. The boy runs. "
 HARD = "Notwithstanding the irrevocable administrative disqualification, contemporaneous experimentation necessitates interdisciplinary proportionality; "
 
