@@ -63,9 +63,9 @@ def mentions(kb: DataFrame, entities: Column, kb_id: str = "kb_id") -> DataFrame
     return kb.select(F.col(kb_id).alias("kb_id"), F.posexplode(names).alias("pos", "node"))
 
 
-def capitalised(text: Column, least: int = 4, upto: int = 5000) -> Column:
-    """Offline entity names: capitalised runs of ASCII letters in the first ``upto`` characters."""
-    return F.regexp_extract_all(F.substring(text, 1, upto), F.lit(rf"[A-Z][a-z]{{{least - 1},}}"), 0)
+def capitalised(text: Column, least: int = 4) -> Column:
+    """Offline entity names: capitalised runs of ASCII letters."""
+    return F.regexp_extract_all(text, F.lit(rf"[A-Z][a-z]{{{least - 1},}}"), 0)
 
 
 def cooccurrence(m: DataFrame, block: int = 64) -> DataFrame:

@@ -33,10 +33,10 @@ def embed(text: Column) -> Column:
     return F.pandas_udf(hashed_vectors, "array<float>")(text)
 
 
-def overlap_score(query: Column, text: Column, upto: int = 512) -> Column:
-    """Share of the query's words that the first ``upto`` characters of a text have."""
+def overlap_score(query: Column, text: Column) -> Column:
+    """Share of the query's words that a text has."""
     q = F.array_distinct(lower_words(query))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, lower_words(F.substring(text, 1, upto)))) / F.size(q)).otherwise(0.0)
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, lower_words(text))) / F.size(q)).otherwise(0.0)
 
 
 def longest_words(text: Column, k: int = 3) -> Column:
@@ -49,7 +49,7 @@ def verb_triples(text: Column) -> Column:
     """ARRAY<STRUCT<s, r, o, conf>>: a capitalised word, a lower-case word ending like a verb, and up to four words on the next
     capitalised word; a stand-in for a parser."""
     pattern = r"([A-Z][a-z]{2,}) ([a-z]+(?:s|ed)) (?:[a-z]+ ){0,4}([A-Z][a-z]{2,})"
-    hits = F.regexp_extract_all(F.substring(text, 1, 5000), F.lit(pattern), 0)
+    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
     part = lambda h, i: F.regexp_extract(h, pattern, i)
     return F.transform(hits, lambda h: F.struct(F.lower(part(h, 1)).alias("s"), part(h, 2).alias("r"), F.lower(part(h, 3)).alias("o"), F.lit(0.8).alias("conf")))
 

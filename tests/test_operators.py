@@ -325,3 +325,10 @@ def test_graph_searches_start_at_every_node(spark, tmp_path):
     for r in sorted(QUERIES["kg_seed_triples"](spark, str(tmp_path)).collect(), key=lambda r: r.rank):
         out.setdefault(r.seed, []).append(r.triple)
     assert out == triples
+
+
+def test_texts_are_read_to_their_end(spark):
+    text = "x " * 3000 + "Omega sees the Theta"
+    assert val(spark, G.capitalised(F.lit(text))) == ["Omega", "Theta"]
+    assert [(t.s, t.r, t.o) for t in val(spark, L.verb_triples(F.lit(text)))] == [("omega", "sees", "theta")]
+    assert val(spark, L.overlap_score(F.lit("theta x"), F.lit(text))) == 1.0
