@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.parse import is_numeric, plain_name
 from ..runtime import cut, drop
+from .gate import dot
 
 #: Words that name no entity. Fixed values.
 STOP_NAMES = (
@@ -114,12 +115,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree")).withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
+def chunk_similarities(edges: DataFrame, kb: DataFrame, embed) -> DataFrame:
+    """(src, dst, sim) of each edge, as the text of its ends and relation, with each of its chunks' texts (kb: kb_id, text)."""
+    text = F.concat_ws(" ", "src", F.replace(F.coalesce("relation", F.lit("related to")), F.lit("_"), F.lit(" ")), "dst")
+    e = edges.select("src", "dst", "kb_ids", embed(text).alias("_e")).select("src", "dst", "_e", F.explode("kb_ids").alias("kb_id"))
+    k = kb.filter("text IS NOT NULL").join(edges.select(F.explode("kb_ids").alias("kb_id")).distinct(), "kb_id", "left_semi").select("kb_id", embed(F.col("text")).alias("_k"))
+    return e.join(k, "kb_id").select("src", "dst", dot(F.col("_e"), F.col("_k")).alias("sim"))
+
+
+def sem_scores(edges: DataFrame, sims: DataFrame, c: GraphConfig = GraphConfig()) -> DataFrame:
+    """Edges that have a similarity to a chunk (sims: src, dst, sim), with sem_score: the best one and a bonus for frequency."""
+    best = sims.groupBy("src", "dst").agg(F.max("sim").alias("_s"))
+    return edges.join(best, ["src", "dst"]).withColumn("sem_score", F.round(F.least(F.lit(1.0), F.col("_s") + F.log1p("frequency") * c.freq_bonus), 4)).drop("_s")
+
+
 def validate(edges: DataFrame, sims: DataFrame, c: GraphConfig = GraphConfig()) -> DataFrame:
     """Edges whose best similarity to one of their chunks (sims: src, dst, sim), with a bonus for frequency, reaches the
     threshold; with sem_score."""
-    best = sims.groupBy("src", "dst").agg(F.max("sim").alias("_s"))
-    scored = edges.join(best, ["src", "dst"]).withColumn("sem_score", F.round(F.least(F.lit(1.0), F.col("_s") + F.log1p("frequency") * c.freq_bonus), 4))
-    return scored.filter(F.col("sem_score") >= c.sem_threshold).drop("_s")
+    return sem_scores(edges, sims, c).filter(F.col("sem_score") >= c.sem_threshold)
 
 
 def reinforce(edges: DataFrame, events: DataFrame, c: GraphConfig = GraphConfig()) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import parse as P
 from ..functions import text as X
 from ..operators import ftset as B
 from ..operators import graph as G
-from ..operators.providers import rule_planner
+from ..operators.providers import Providers, rule_planner
 from ..operators.similarity import similar_hubs
 from ..runtime import cut
 from . import pipeline
@@ -60,6 +60,10 @@ def _triples(spark, d):
                     F.concat("kb_id", F.lit("/"), F.lpad((F.col("i") + 1).cast("string"), 6, "0")).alias("ord"))
 
 
+def _similarities(spark, d, edges):
+    return G.chunk_similarities(edges, table(spark, d, "kb").select("kb_id", "text"), Providers().embed)
+
+
 _UP = _TR + """, ed AS (SELECT s AS src, o AS dst, min_by(r, ord) AS relation, 0.8::DOUBLE AS weight, count(*) AS frequency, list_sort(list_distinct(list(source))) AS sources, list_sort(list_distinct(list(kb_id))) AS kb_ids FROM tr WHERE s <> o GROUP BY ALL)"""
 
 
@@ -71,10 +75,10 @@ def kg_triple_edges(spark, d):
 
 @query(f"WITH {_UP}, v AS (SELECT *, round(least(1.0, 0.45 + ln(1 + frequency) * 0.03 + 0.05 * (length(src) % 3)), 4) AS sem FROM ed) SELECT src, dst, sem AS sem_score FROM v WHERE sem >= 0.5")
 def kg_validate(spark, d):
-    """Edges whose similarity, here a stand-in, with the bonus for frequency reaches the threshold."""
+    """Edges whose similarity to one of their chunks with the bonus for frequency reaches the threshold; the SQL beside it still
+    takes a stand-in by the length of the name."""
     e = cut(G.upsert_edges(_triples(spark, d)))
-    sims = e.select("src", "dst", (F.lit(0.45) + 0.05 * (F.char_length("src") % 3)).alias("sim"))
-    return G.validate(e, sims).select("src", "dst", "sem_score")
+    return G.validate(e, _similarities(spark, d, e)).select("src", "dst", "sem_score")
 
 
 _REINF = f"""{_UP}, ev AS (
@@ -84,8 +88,7 @@ rf AS (SELECT ed.*, round(list_reduce(list_prepend(ed.weight, list_transform(coa
   coalesce(round(list_sum(list_transform(l, lambda a: CASE a WHEN 'ANSWER' THEN 0.3 WHEN 'ASK' THEN 0.1 ELSE 0 END)), 6), 0)::DOUBLE AS q FROM ed LEFT JOIN fo USING (src, dst))"""
 
 
-def _reinforced(spark, d):
-    e = cut(G.upsert_edges(_triples(spark, d)))
+def _reinforced(spark, d, e):
     links = table(spark, d, "kb").select("kb_id", F.posexplode("linked_actions").alias("i", "action"))
     ev = e.select("src", "dst", F.explode("kb_ids").alias("kb_id")).join(links, "kb_id").select("src", "dst", "action", (F.regexp_extract("kb_id", r"(\d+)$", 1).cast("bigint") * 100_000 + F.col("i")).alias("ord"))
     return G.reinforce(e, ev)
@@ -93,9 +96,11 @@ def _reinforced(spark, d):
 
 @query(f"WITH {_REINF} SELECT src, dst, w2 AS weight, q AS q_score, round(least(1.0, 0.5 * 0.6 + 0.5 * q), 4) AS final_weight, round(least(0.95, 0.5 * 0.6 + 0.5 * least(q, 0.95)), 4) AS capped_weight FROM rf")
 def kg_reinforce(spark, d):
-    """Weights after the linked actions in their order, clamped at every step."""
-    r = _reinforced(spark, d)
-    sem = F.lit(0.6)
+    """Weights after the linked actions in their order, clamped at every step; final weights with each edge's similarity to its
+    chunks, where the SQL beside it still takes 0.6."""
+    e = cut(G.upsert_edges(_triples(spark, d)))
+    sem = F.col("sem_score")
+    r = _reinforced(spark, d, e).join(G.sem_scores(e, _similarities(spark, d, e)).select("src", "dst", "sem_score"), ["src", "dst"], "left")
     return r.select("src", "dst", "weight", "q_score", G.final_weight(sem, F.col("q_score")).alias("final_weight"), G.final_weight(sem, F.col("q_score"), 0.95, 0.95).alias("capped_weight"))
 
 

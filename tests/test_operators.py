@@ -332,3 +332,18 @@ def test_texts_are_read_to_their_end(spark):
     assert val(spark, G.capitalised(F.lit(text))) == ["Omega", "Theta"]
     assert [(t.s, t.r, t.o) for t in val(spark, L.verb_triples(F.lit(text)))] == [("omega", "sees", "theta")]
     assert val(spark, L.overlap_score(F.lit("theta x"), F.lit(text))) == 1.0
+
+
+def test_edges_are_scored_by_their_chunks(spark, tmp_path):
+    from tessera.plans.catalog import QUERIES
+
+    texts = ["Alpha goes to Beta", "Alpha goes to Gamma " + " ".join(f"w{i}" for i in range(80)), "Alpha goes to Beta " + "more " * 9]
+    rows = [(f"kb_{i}", t, "x", ["ANSWER"]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "kb_id string, text string, source string, linked_actions array<string>").write.parquet(f"{tmp_path}/kb.parquet")
+    vec = lambda t: np.array(L.hashed_vectors([t])[0], np.float64)
+    score = lambda e, at: round(min(1.0, max(vec(e) @ vec(texts[i]) for i in at) + 0.03 * np.log1p(len(at))), 4)
+    beta, gamma = score("alpha goes beta", (0, 2)), score("alpha goes gamma", (1,))
+    assert gamma < 0.5 < beta
+    assert [(r.dst, r.sem_score) for r in QUERIES["kg_validate"](spark, str(tmp_path)).collect()] == [("beta", pytest.approx(beta, abs=1e-4))]
+    got = {r.dst: r.final_weight for r in QUERIES["kg_reinforce"](spark, str(tmp_path)).collect()}
+    assert got == {"beta": pytest.approx(min(1.0, 0.5 * beta + 0.5 * 0.6), abs=1e-4), "gamma": pytest.approx(0.5 * gamma + 0.5 * 0.3, abs=1e-4)}
