@@ -80,6 +80,13 @@ def conflict(hits: DataFrame, most: int = 4) -> DataFrame:
     return top.select("query_id", F.when(F.size("v") < 2, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - mean), 4)).alias("conflict"))
 
 
+def text_conflict(rows: DataFrame, key: str, texts: str, embed, most: int = 4) -> DataFrame:
+    """``rows`` with con, the conflict of the first ``most`` of ``texts``, arrays in rank order. ``rows`` are read twice."""
+    h = rows.select(F.col(key).alias("query_id"), F.posexplode(F.slice(texts, 1, most)).alias("p", "t")).select("query_id", (F.col("p") + 1).alias("rank"), embed(F.col("t")).alias("vec"))
+    c = conflict(h, most).select(F.col("query_id").alias(key), F.col("conflict").alias("con"))
+    return rows.join(c, key, "left").withColumn("con", F.coalesce("con", F.lit(0.0)))
+
+
 def _ladder(*rules: tuple[Column, str, str]) -> Column:
     out = None
     for when, action, reason in rules:

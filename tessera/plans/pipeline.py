@@ -79,8 +79,9 @@ def route(spark: SparkSession, sf_dir: str, p: Providers = Providers(), k: int =
     top = R.rerank(ranked, p.rerank(F.col("query"), F.col("text")), k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("rerank_score").alias("score"), "text"))).alias("h"))
     x = items.join(top.withColumnRenamed("query_id", "item_id"), "item_id", "left").withColumns({
         "scores": F.coalesce("h.score", F.array().cast("array<double>")), "texts": F.coalesce("h.text", F.array().cast("array<string>"))})
+    x = D.text_conflict(cut(x), "item_id", "texts", p.embed)
     x = x.withColumns({"ev": D.evidence(F.col("query"), F.col("scores"), F.col("texts")), "amb": D.ambiguity(F.col("query"))})
-    x = x.withColumn("g", D.gate(F.col("ev"), F.col("amb"), F.lit(0.0), p.answerability(F.col("ev"), F.col("amb"))))
+    x = x.withColumn("g", D.gate(F.col("ev"), F.col("amb"), F.col("con"), p.answerability(F.col("ev"), F.col("amb"))))
     none = F.array().cast("array<string>")
     best = F.get(C.compress(F.col("query"), F.slice("texts", 1, 1), 2), F.lit(0))
     prompt = F.concat(F.lit("Query: "), "query", F.lit("\nContext:\n"), F.array_join(F.transform("texts", lambda t: F.substring(t, 1, 800)), "\n"))

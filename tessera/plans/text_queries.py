@@ -12,7 +12,7 @@ from ..operators import gate as D
 from ..operators import metrics as E
 from ..operators import retrieve as R
 from ..operators.ingest import context_text
-from ..operators.providers import overlap_score
+from ..operators.providers import Providers, overlap_score
 from ..runtime import cut
 from .registry import S_CTX, S_SAMPLES, query, s_action, s_key, s_sentences, s_words, samples, table
 
@@ -301,8 +301,10 @@ l AS (SELECT *, CASE WHEN confidence >= 0.35 AND coverage >= 0.5 THEN 'ANSWERABL
 
 
 def _gated(spark, d):
-    h = _hits(spark, d).withColumns({"ev": D.evidence(F.col("query"), F.col("scores"), F.col("texts")), "amb": D.ambiguity(F.col("query"))})
-    return h.withColumns({"label": D.rule_label(F.col("ev"), F.col("amb")), "con": F.lit(0.0)})
+    """Hits with the signals of the gate. The conflict is that of the hits' texts; the SQL beside the queries still takes 0."""
+    h = D.text_conflict(cut(_hits(spark, d)), "item_id", "texts", Providers().embed)
+    h = h.withColumns({"ev": D.evidence(F.col("query"), F.col("scores"), F.col("texts")), "amb": D.ambiguity(F.col("query"))})
+    return h.withColumn("label", D.rule_label(F.col("ev"), F.col("amb")))
 
 
 @query(f"""WITH {_GATE} SELECT item_id,

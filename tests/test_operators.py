@@ -347,3 +347,17 @@ def test_edges_are_scored_by_their_chunks(spark, tmp_path):
     assert [(r.dst, r.sem_score) for r in QUERIES["kg_validate"](spark, str(tmp_path)).collect()] == [("beta", pytest.approx(beta, abs=1e-4))]
     got = {r.dst: r.final_weight for r in QUERIES["kg_reinforce"](spark, str(tmp_path)).collect()}
     assert got == {"beta": pytest.approx(min(1.0, 0.5 * beta + 0.5 * 0.6), abs=1e-4), "gamma": pytest.approx(0.5 * gamma + 0.5 * 0.3, abs=1e-4)}
+
+
+def test_gates_see_conflict(spark, tmp_path):
+    from tessera.plans.catalog import QUERIES
+
+    docs = [(i, f"it {' '.join(f'{w}{i}' for w in 'abcdefgh')}") for i in range(4)] + [(9, "same words"), (10, "same words")]
+    docs += [(20 + i, f"plain filler {i}") for i in range(20)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, "it something", "ASK"), (2, "same words", "ANSWER")]
+    spark.createDataFrame(items, "item_id bigint, query string, gt_action string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {r.item_id: r for r in QUERIES["hard_gate_strict"](spark, str(tmp_path)).collect()}
+    assert got[1].reason == "context_conflict" and got[2].reason != "context_conflict"
+    both = spark.createDataFrame([(1, ["a b", "c d"]), (2, ["a b", "a b"]), (3, ["a"]), (4, [])], "k int, t array<string>")
+    assert {r.k: r.con for r in D.text_conflict(both, "k", "t", L.embed).collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
