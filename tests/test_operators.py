@@ -361,3 +361,13 @@ def test_gates_see_conflict(spark, tmp_path):
     assert got[1].reason == "context_conflict" and got[2].reason != "context_conflict"
     both = spark.createDataFrame([(1, ["a b", "c d"]), (2, ["a b", "a b"]), (3, ["a"]), (4, [])], "k int, t array<string>")
     assert {r.k: r.con for r in D.text_conflict(both, "k", "t", L.embed).collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_turn_cap_keeps_short_dialogues_whole(spark, monkeypatch):
+    from tessera.plans import table_queries as Q
+
+    rows = [(f"{d}{t:02}", d, t, True) for d, n in (("a", 5), ("b", 7), ("c", 8), ("d", 20)) for t in range(n)]
+    monkeypatch.setattr(Q, "samples", lambda spark, d: spark.createDataFrame(rows, "id string, dialogue_id string, turn_id int, multi_turn boolean"))
+    assert {r.dialogue_id: r["count"] for r in Q.turn_cap(spark, "").groupBy("dialogue_id").count().collect()} == {"a": 5, "b": 7, "c": 8, "d": 15}
+    other = H.capped(spark.createDataFrame(rows, "id string, dialogue_id string, turn_id int, multi_turn boolean"), cap=lambda n: H.turn_cap(n, ((5, 2), (10, 4)), 2, 8))
+    assert {r.dialogue_id: r["count"] for r in other.groupBy("dialogue_id").count().collect()} == {"a": 2, "b": 4, "c": 4, "d": 8}
