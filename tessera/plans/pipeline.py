@@ -1,4 +1,4 @@
-"""Compositions: the corpus build up to supervised samples, and the routed answering of a batch of queries."""
+"""Compositions: supervised samples from a given knowledge base (the README lists the stages skipped), and the routed answering of a batch of queries."""
 
 from __future__ import annotations
 
