@@ -151,10 +151,12 @@ def reinforce(edges: DataFrame, events: DataFrame, c: GraphConfig = GraphConfig(
 
 
 def final_weight(sem: Column, q: Column, cap: float = 1.0, term_cap: float | None = None) -> Column:
+    """Half of the semantic score and half of the use, at most ``cap``. Halves of four-digit scores are often ties of the last
+    digit shown, so they are lifted a little before they are rounded."""
     s, u = F.coalesce(sem, F.lit(0.0)), F.coalesce(q, F.lit(0.0))
     if term_cap is not None:
         s, u = F.least(s, F.lit(term_cap)), F.least(u, F.lit(term_cap))
-    return F.round(F.least(F.lit(cap), 0.5 * s + 0.5 * u), 4)
+    return F.round(F.least(F.lit(cap), 0.5 * s + 0.5 * u) + 1e-9, 4)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,21 @@ from . import gate, graph, retrieve
 DIM = 384
 
 
+@lru_cache(maxsize=200_000)
+def _bucket(word: str) -> int:
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:6], 16) % DIM
+
+
 def hashed_vectors(texts: pd.Series) -> pd.Series:
-    """Unit vectors of hashed word counts; zeros for texts without words."""
+    """Unit vectors of hashed word counts (a word's bucket is given by the first six digits of its MD5); zeros for texts without
+    words."""
     out = []
     for t in texts:
-        v = np.zeros(DIM, np.float32)
+        v = np.zeros(DIM)
         for w in (t or "").lower().split():
-            v[zlib.crc32(w.encode()) % DIM] += 1.0
+            v[_bucket(w)] += 1.0
         n = float(np.linalg.norm(v))
-        out.append((v / n if n else v).tolist())
+        out.append((v / n if n else v).astype(np.float32))
     return pd.Series(out)
 
 

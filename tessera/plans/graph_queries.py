@@ -13,16 +13,16 @@ from ..operators.providers import Providers, rule_planner
 from ..operators.similarity import similar_hubs
 from ..runtime import cut
 from . import pipeline
-from .registry import S_SAMPLES, query, s_action, s_key, s_split, s_strip, samples, table
+from .registry import S_SAMPLES, query, s_action, s_key, s_split, s_strip, s_vectors, samples, table
 
 # ---------------------------------------------------------------- build
 
 #: Names of a chunk: capitalised words of four letters or more, valid, distinct, by first appearance.
 _STOP = ", ".join(f"'{w}'" for w in G.STOP_NAMES)
 _NAMES = f"""
-n AS (SELECT kb_id, {s_key("source")} AS source, list_filter(list_transform(regexp_extract_all(substr(text, 1, 5000), '[A-Z][a-z]{{3,}}'), lambda w: lower(w)), lambda w: w NOT IN ({_STOP})) AS w, linked_actions, linked_queries, linked_sample_ids FROM kb),
+n AS (SELECT kb_id, {s_key("source")} AS source, list_filter(list_transform(regexp_extract_all(text, '[A-Z][a-z]{{3,}}'), lambda w: lower(w)), lambda w: w NOT IN ({_STOP})) AS w, linked_actions, linked_queries, linked_sample_ids FROM kb),
 m AS (SELECT kb_id, source, node, (row_number() OVER (PARTITION BY kb_id ORDER BY pos) - 1)::INTEGER AS pos FROM (SELECT kb_id, source, node, min(pos) AS pos FROM (SELECT kb_id, source, unnest(w) AS node, unnest(range(1, len(w) + 1)) AS pos FROM n) GROUP BY ALL))"""
-_CO = f"""{_NAMES}, t AS (SELECT kb_id, node FROM m WHERE pos < 20),
+_CO = f"""{_NAMES}, t AS (SELECT kb_id, node FROM m),
 e AS (SELECT a.node AS src, b.node AS dst, count(*) AS weight FROM t a JOIN t b ON a.kb_id = b.kb_id AND a.node <> b.node GROUP BY ALL)"""
 
 
@@ -42,7 +42,7 @@ def kg_nodes(spark, d):
 
 @query(f"WITH {_CO} SELECT src, dst, weight FROM e")
 def kg_edges(spark, d):
-    """Co-occurrence edges of all names of each chunk; the SQL beside it still pairs the first 20 only."""
+    """Co-occurrence edges of all names of each chunk."""
     return G.cooccurrence(_mentions(spark, d)).select("src", "dst", "weight")
 
 
@@ -73,10 +73,15 @@ def kg_triple_edges(spark, d):
     return G.upsert_edges(_triples(spark, d)).select("src", "dst", "relation", "frequency", F.array_join("sources", "|").alias("sources"), F.array_join("kb_ids", "|").alias("kb_ids"))
 
 
-@query(f"WITH {_UP}, v AS (SELECT *, round(least(1.0, 0.45 + ln(1 + frequency) * 0.03 + 0.05 * (length(src) % 3)), 4) AS sem FROM ed) SELECT src, dst, sem AS sem_score FROM v WHERE sem >= 0.5")
+#: The best similarity of an edge's text to the texts of its chunks, with the bonus for frequency.
+_SEM = f"""{s_vectors("gv", "SELECT src || '|' || dst AS k, src || ' ' || replace(relation, '_', ' ') || ' ' || dst AS t FROM ed")}, {s_vectors("kv", "SELECT kb_id AS k, text AS t FROM kb WHERE kb_id IN (SELECT unnest(kb_ids) FROM ed)")},
+sm AS (SELECT src, dst, round(least(1.0, max(s) + ln(1 + any_value(frequency)) * 0.03), 4) AS sem FROM (
+  SELECT src, dst, kb_id, any_value(frequency) AS frequency, sum(gv.x * kv.x) AS s FROM (SELECT src, dst, frequency, unnest(kb_ids) AS kb_id FROM ed) JOIN gv ON gv.k = src || '|' || dst JOIN kv ON kv.k = kb_id AND kv.b = gv.b GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"WITH {_UP}, {_SEM} SELECT src, dst, sem AS sem_score FROM sm WHERE sem >= 0.5")
 def kg_validate(spark, d):
-    """Edges whose similarity to one of their chunks with the bonus for frequency reaches the threshold; the SQL beside it still
-    takes a stand-in by the length of the name."""
+    """Edges whose similarity to one of their chunks with the bonus for frequency reaches the threshold."""
     e = cut(G.upsert_edges(_triples(spark, d)))
     return G.validate(e, _similarities(spark, d, e)).select("src", "dst", "sem_score")
 
@@ -94,10 +99,10 @@ def _reinforced(spark, d, e):
     return G.reinforce(e, ev)
 
 
-@query(f"WITH {_REINF} SELECT src, dst, w2 AS weight, q AS q_score, round(least(1.0, 0.5 * 0.6 + 0.5 * q), 4) AS final_weight, round(least(0.95, 0.5 * 0.6 + 0.5 * least(q, 0.95)), 4) AS capped_weight FROM rf")
+@query(f"WITH {_REINF}, {_SEM} SELECT src, dst, w2 AS weight, q AS q_score, round(least(1.0, 0.5 * sem + 0.5 * q) + 1e-9, 4) AS final_weight, round(least(0.95, 0.5 * least(sem, 0.95) + 0.5 * least(q, 0.95)) + 1e-9, 4) AS capped_weight FROM rf JOIN sm USING (src, dst)")
 def kg_reinforce(spark, d):
     """Weights after the linked actions in their order, clamped at every step; final weights with each edge's similarity to its
-    chunks, where the SQL beside it still takes 0.6."""
+    chunks."""
     e = cut(G.upsert_edges(_triples(spark, d)))
     sem = F.col("sem_score")
     r = _reinforced(spark, d, e).join(G.sem_scores(e, _similarities(spark, d, e)).select("src", "dst", "sem_score"), ["src", "dst"], "left")
@@ -127,11 +132,11 @@ def kg_components(spark, d):
     return G.components(G.upsert_edges(_triples(spark, d)).select("src", "dst"))
 
 
-_SEEDS = "sd AS (SELECT node AS seed FROM (SELECT src AS node FROM u UNION SELECT dst FROM u) WHERE node[1:1] IN ('k', 'z'))"
+_SEEDS = "sd AS (SELECT node AS seed FROM (SELECT src AS node FROM u UNION SELECT dst FROM u))"
 
 
 def _seeds(edges):
-    """Every node; the SQL beside the queries still keeps those whose name begins with k or z."""
+    """Every node."""
     return G.endpoints(edges)
 
 

@@ -77,6 +77,12 @@ def s_action(c: str) -> str:
     return f"CASE WHEN {s} IN ('ANSWER','ASK','ABSTAIN') THEN {s} END"
 
 
+def s_vectors(name: str, rows: str) -> str:
+    """CTEs of the offline embedder's unit vectors ``name`` (k, b, x), one row per text and bucket, of ``rows`` (k, t)."""
+    return f"""{name}_n AS (SELECT k, ('0x' || substr(md5(w), 1, 6))::BIGINT % 384 AS b, count(*)::DOUBLE AS c FROM (SELECT k, unnest({s_words("lower(t)")}) AS w FROM ({rows})) GROUP BY ALL),
+{name} AS (SELECT k, b, c / sqrt(sum(c * c) OVER (PARTITION BY k)) AS x FROM {name}_n)"""
+
+
 #: A sentence list: stripped, non-blank.
 def s_sentences(c: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), '[^.!?]+[.!?]*'), lambda s: {s_strip('s')}), lambda s: s <> '')"

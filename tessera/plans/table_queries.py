@@ -240,9 +240,9 @@ def orders_by_nation(spark, d):
 
 @query(f"""
 WITH {S_SAMPLES}, m AS (SELECT *, count(*) OVER (PARTITION BY dialogue_id) AS n, row_number() OVER (PARTITION BY dialogue_id ORDER BY coalesce(turn_id, 0), id) AS r FROM s WHERE multi_turn AND dialogue_id IS NOT NULL)
-SELECT id, dialogue_id, turn_id FROM m WHERE r <= CASE WHEN n <= 2 THEN n WHEN n <= 5 THEN 2 WHEN n <= 10 THEN 4 WHEN n <= 15 THEN 6 ELSE 8 END""")
+SELECT id, dialogue_id, turn_id FROM m WHERE r <= CASE WHEN n <= 7 THEN n WHEN n <= 15 THEN 10 WHEN n <= 30 THEN 15 WHEN n <= 50 THEN 25 ELSE 35 END""")
 def turn_cap(spark, d):
-    """The first turns of dialogues, by the operator's own caps; the SQL beside it still has caps scaled to this data's lengths."""
+    """The first turns of dialogues; how many depends on their length."""
     multi, _ = H.multi_turn_rows(samples(spark, d))
     return H.capped(multi).select("id", "dialogue_id", "turn_id")
 

@@ -14,7 +14,7 @@ from ..operators import retrieve as R
 from ..operators.ingest import context_text
 from ..operators.providers import Providers, overlap_score
 from ..runtime import cut
-from .registry import S_CTX, S_SAMPLES, query, s_action, s_key, s_sentences, s_words, samples, table
+from .registry import S_CTX, S_SAMPLES, query, s_action, s_key, s_sentences, s_vectors, s_words, samples, table
 
 # ---------------------------------------------------------------- chunks
 
@@ -296,17 +296,28 @@ def conflict(spark, d):
     return D.conflict(_dense(spark, d, 4).join(e, "doc_id"))
 
 
-_GATE = f"""{_HITS}, {_EV}, a AS (SELECT *, round({_AMB}, 4) AS amb, 0.0 AS con FROM ev),
+#: 1 - the mean similarity of the pairs of the first four texts.
+_CON = f"""fx AS (SELECT item_id, unnest(list_transform(tx[1:4], lambda t, i: {{'t': t, 'i': i}}), recursive := true) FROM g), {s_vectors("fv", "SELECT item_id * 10 + i AS k, t FROM fx")},
+fs AS (SELECT p.k AS k, r.k AS k2, sum(p.x * r.x) AS s FROM fv p JOIN fv r ON p.b = r.b AND p.k // 10 = r.k // 10 AND p.k < r.k GROUP BY ALL),
+fp AS (SELECT o.item_id, o.i, v.i AS j, coalesce(s, 0) AS s FROM fx o JOIN fx v ON o.item_id = v.item_id AND o.i < v.i LEFT JOIN fs ON k = o.item_id * 10 + o.i AND k2 = v.item_id * 10 + v.i),
+cn AS (SELECT item_id, round(greatest(0, 1 - avg(s)), 4) AS con FROM fp GROUP BY 1)"""
+_GATE = f"""{_HITS}, {_EV}, {_CON}, a AS (SELECT ev.*, round({_AMB}, 4) AS amb, coalesce(con, 0) AS con FROM ev LEFT JOIN cn USING (item_id)),
 l AS (SELECT *, CASE WHEN confidence >= 0.35 AND coverage >= 0.5 THEN 'ANSWERABLE' WHEN amb >= 0.45 THEN 'NEEDS_CLARIFICATION' ELSE 'NOT_ANSWERABLE' END AS label FROM a)"""
 
 
 def _gated(spark, d):
-    """Hits with the signals of the gate. The conflict is that of the hits' texts; the SQL beside the queries still takes 0."""
+    """Hits with the signals of the gate; the conflict is that of the hits' texts."""
     h = D.text_conflict(cut(_hits(spark, d)), "item_id", "texts", Providers().embed)
     h = h.withColumns({"ev": D.evidence(F.col("query"), F.col("scores"), F.col("texts")), "amb": D.ambiguity(F.col("query"))})
     return h.withColumn("label", D.rule_label(F.col("ev"), F.col("amb")))
 
 
+@query(f"WITH {_HITS}, {_CON} SELECT item_id, coalesce(con, 0) AS conflict FROM g LEFT JOIN cn USING (item_id)")
+def hit_conflict(spark, d):
+    """How far the texts of an item's first four hits disagree."""
+    return D.text_conflict(cut(_hits(spark, d)), "item_id", "texts", Providers().embed).select("item_id", F.col("con").alias("conflict"))
+
+
 @query(f"""WITH {_GATE} SELECT item_id,
  CASE WHEN n = 0 THEN 'ABSTAIN' WHEN label = 'NOT_ANSWERABLE' AND confidence < 0.35 THEN 'ABSTAIN' WHEN con >= 0.7 AND amb >= 0.45 THEN 'ASK' WHEN coverage < 0.3 THEN 'ABSTAIN' WHEN amb >= 0.45 THEN 'ASK' WHEN label = 'NEEDS_CLARIFICATION' THEN 'ASK' WHEN confidence < 0.35 THEN 'ABSTAIN' ELSE 'ANSWER' END AS action,
  CASE WHEN n = 0 THEN 'no_context_retrieved' WHEN label = 'NOT_ANSWERABLE' AND confidence < 0.35 THEN 'low_confidence_not_answerable' WHEN con >= 0.7 AND amb >= 0.45 THEN 'high_conflict_and_ambiguity' WHEN coverage < 0.3 THEN 'low_coverage' WHEN amb >= 0.45 THEN 'ambiguous_query' WHEN label = 'NEEDS_CLARIFICATION' THEN 'llm_needs_clarification' WHEN confidence < 0.35 THEN 'low_confidence' ELSE 'sufficient_evidence' END AS reason FROM l""")
@@ -333,7 +344,7 @@ def compress_hits(spark, d):
 
 @query(f"""
 WITH {_HITS}, p AS (SELECT item_id, query, unnest(list_transform(tx, lambda t, i: {{'t': t, 'i': i}})) AS x FROM g),
-r AS (SELECT item_id, x.i AS i, round(len(list_intersect(list_distinct({_lower("query")}), list_distinct({_lower("substr(x.t, 1, 512)")}))) / len(list_distinct({_lower("query")})), 6) AS s FROM p)
+r AS (SELECT item_id, x.i AS i, round(len(list_intersect(list_distinct({_lower("query")}), list_distinct({_lower("x.t")}))) / len(list_distinct({_lower("query")})), 6) AS s FROM p)
 SELECT item_id, i::INTEGER AS old_rank, (row_number() OVER (PARTITION BY item_id ORDER BY s DESC, i))::INTEGER AS rank, round(s, 4) AS rerank_score FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, i) <= 3""")
 def rerank_top3(spark, d):
     h = _hits(spark, d).select(F.col("item_id").alias("query_id"), "query", F.posexplode("texts").alias("p", "text"))
