@@ -1,13 +1,17 @@
 """Problem 6: a sample that meets target proportions.
 
-Method: a min-cost flow on the counts of the cells (source, action). Arcs carry what a cell has, its floor and its target;
-slack arcs take what can't be met and so show the shortfalls. The integer quotas that the flow gives are drawn at random.
+Method: a min-cost flow on the cross-classified counts of the cells (source, action). Arcs carry what a cell has, its floor, its
+target and the margins of its source and action; slack arcs take what can't be met, so the shortfalls are read from them. The
+integer quotas that the flow gives are drawn at random.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,35 +19,51 @@ from pyspark.sql.window import Window
 
 
 class MinCostFlow:
-    """Successive cheapest paths with potentials, for graphs as small as a table of cells."""
+    """Cheapest paths one after the other, with potentials, for graphs as small as a table of cells. An arc has steps (room,
+    cost) of rising cost, so that its cost is convex in its flow; costs aren't negative."""
 
     def __init__(self, nodes: int):
-        self.arcs: list[list[int]] = []  # [to, room, cost]; the reverse arc is at the index with the last bit flipped
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        self.out[a].append(len(self.arcs))
-        self.arcs.append([b, room, cost])
-        self.out[b].append(len(self.arcs))
-        self.arcs.append([a, 0, -cost])
-        return len(self.arcs) - 2
-
-    def flow(self, i: int) -> int:
-        return self.arcs[i ^ 1][1]
+        self.out: list[list[tuple[int, int]]] = [[] for _ in range(nodes)]  # (arc, 1 forth or -1 back)
+        self.ends: list[tuple[int, int]] = []
+        self.upto: list[list[int]] = []
+        self.cost: list[list[int]] = []
+        self.flow: list[int] = []
+
+    def arc(self, a: int, b: int, *steps: tuple[int, int]) -> int:
+        steps = tuple(s for s in steps if s[0] > 0)
+        self.out[a].append((len(self.ends), 1))
+        self.out[b].append((len(self.ends), -1))
+        self.ends.append((a, b))
+        self.upto.append([0, *accumulate(s[0] for s in steps)])
+        self.cost.append([s[1] for s in steps])
+        self.flow.append(0)
+        return len(self.ends) - 1
+
+    def _next(self, arc: int, way: int) -> tuple[int, int]:
+        """(room, cost a unit) of an arc's present step."""
+        upto, f = self.upto[arc], self.flow[arc]
+        if way > 0:
+            k = bisect_right(upto, f) - 1
+            return (upto[k + 1] - f, self.cost[arc][k]) if k < len(upto) - 1 else (0, 0)
+        k = bisect_left(upto, f) - 1
+        return (f - upto[k], -self.cost[arc][k]) if f else (0, 0)
 
     def solve(self, s: int, t: int, amount: int) -> int:
+        """Sends up to ``amount`` from s to t as cheaply as possible and returns how much went."""
         pot, sent = [0] * len(self.out), 0
         while sent < amount:
             dist: list[float] = [math.inf] * len(self.out)
-            via, dist[s], heap = [-1] * len(self.out), 0, [(0, s)]
+            via: list[tuple[int, int]] = [(-1, 0)] * len(self.out)
+            dist[s], heap = 0, [(0, s)]
             while heap:
                 d, u = heapq.heappop(heap)
                 if d > dist[u]:
                     continue
-                for i in self.out[u]:
-                    v, room, cost = self.arcs[i]
+                for arc, way in self.out[u]:
+                    room, cost = self._next(arc, way)
+                    v = self.ends[arc][way > 0]
                     if room and (x := d + cost + pot[u] - pot[v]) < dist[v]:
-                        dist[v], via[v] = x, i
+                        dist[v], via[v] = x, (arc, way)
                         heapq.heappush(heap, (x, v))
             if dist[t] == math.inf:
                 break
@@ -51,74 +71,113 @@ class MinCostFlow:
             path, v = [], t
             while v != s:
                 path.append(via[v])
-                v = self.arcs[via[v] ^ 1][0]
-            push = min(amount - sent, *(self.arcs[i][1] for i in path))
-            for i in path:
-                self.arcs[i][1] -= push
-                self.arcs[i ^ 1][1] += push
+                v = self.ends[via[v][0]][via[v][1] < 0]
+            push = min(amount - sent, *(self._next(*hop)[0] for hop in path))
+            for arc, way in path:
+                self.flow[arc] += way * push
             sent += push
         return sent
 
 
-def quotas(cells: list[tuple[str, str, float, int]], have: dict[tuple[str, str], int], n: int) -> list[tuple[int, int]]:
-    """(quota, shortfall) of each cell (source, action, share, floor) of a sample of ``n``.
+@dataclass(frozen=True)
+class Quota:
+    """What a cell gives, and why it gives no more: what it hasn't got of its floor and target, what had to make room."""
+
+    quota: int
+    unavailable: int
+    displaced: int
+    floor_shortfall: int
+
+
+#: Steps in which a deviation of the size of a cell's target grows dearer; deviations are shared among cells to one step.
+STEPS = 64
+#: What going beyond the margin of a source, and of an action, costs in such steps.
+OTHER_SOURCE, OTHER_ACTION = 24, 12
 
-    Costs rank what the sample owes: a cell's floor before its target, its target before anything beyond it; what a cell
-    can't give is taken from other cells, first of the same source, and is its shortfall. Targets are share * n, rounded
-    by the largest remainder.
+
+def _rising(room: int, unit: int, base: int) -> list[tuple[int, int]]:
+    """Steps of a deviation of at most ``room``: dearer with each STEPS-th of ``unit``."""
+    unit = max(unit, 1)
+    width = -(-unit // STEPS)
+    whole = min(room // width, 4 * STEPS)
+    price = lambda k: base + k * width * STEPS // unit
+    return [*((width, price(k)) for k in range(whole)), (room - whole * width, price(whole))]
+
+
+def quotas(cells: list[tuple[str, str, float, int]], have: dict[tuple[str, str], int], n: int) -> list[Quota]:
+    """The quota of each cell (source, action, share, floor) of a sample of ``n``, and its shortfalls.
+
+    A cell needs its floor, and its target share * n rounded up. All needs are sent through the network. A unit that the cell
+    hasn't got takes the slack arc ``unavailable``. A unit that it has takes a place of the sample or, where there are too few,
+    leaves by the cheapest arc: the fraction by which a target was rounded up (so the fractions that stay are the largest),
+    then targets, then floors, each dearer the more of it goes, so that what is missing is shared. Places that stay free for
+    lack of records are filled beyond the needs, through the margins of source and action: cheaper where the source or the
+    action lacks records, and again shared among cells.
     """
     exact = [c[2] * n for c in cells]
-    want = [math.floor(x + 1e-9) for x in exact]
-    for i in sorted(range(len(cells)), key=lambda i: (want[i] - exact[i], i))[: max(0, round(sum(exact)) - sum(want))]:
-        want[i] += 1
-    sources = sorted({c[0] for c in cells})
+    need = [max(c[3], math.ceil(x), 0) for c, x in zip(cells, exact)]
+    has = [have.get((c[0], c[1]), 0) for c in cells]
+    sources, actions = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
     k = len(cells)
-    # 0 start, 1 end, then cells' demand, sources' pools, the common pool, cells' supply
-    g = MinCostFlow(3 + 2 * k + len(sources))
-    common, supply = 2 + k + len(sources), lambda i: 3 + k + len(sources) + i
-    slack = []
-    for i, (source, action, _, floor) in enumerate(cells):
-        pool, a = 2 + k + sources.index(source), have.get((source, action), 0)
-        need = max(want[i], floor)
-        g.arc(0, 2 + i, need, 0)
-        g.arc(2 + i, supply(i), min(floor, need), 0)
-        g.arc(2 + i, supply(i), max(0, need - floor), 1)
-        slack.append(g.arc(2 + i, pool, need, 100))
-        g.arc(supply(i), 1, a, 0)
-        g.arc(pool, supply(i), max(0, a), 10)
-        g.arc(pool, common, n + need, 50)
-        g.arc(common, supply(i), max(0, a), 10)
-    owed = sum(max(w, c[3]) for w, c in zip(want, cells))
-    g.solve(0, 1, min(owed, max(n, 0)) if owed > n else owed)
-    drawn = []
+    start, end, room, extra = range(4)
+    cell, own = (lambda i: 4 + i), (lambda i: 4 + k + i)
+    src, act = (lambda s: 4 + 2 * k + sources.index(s)), (lambda a: 4 + 2 * k + len(sources) + actions.index(a))
+    lacks = [max(0, w - h) for w, h in zip(need, has)]
+    free = max(0, n - sum(map(min, need, has)))
+    g = MinCostFlow(4 + 2 * k + len(sources) + len(actions))
+    unavailable, placed, beyond, target_out, floor_out = [], [], [], [], []
     for i, (source, action, _, floor) in enumerate(cells):
-        end = next(x for x in g.out[supply(i)] if not x & 1 and g.arcs[x][0] == 1)
-        drawn.append((g.flow(end), max(0, max(want[i], floor) - have.get((source, action), 0))))
-    return drawn
+        g.arc(start, cell(i), (need[i], 0))
+        g.arc(cell(i), own(i), (has[i], 0))
+        unavailable.append(g.arc(cell(i), end, (need[i], 10**12)))
+        placed.append(g.arc(own(i), room, (has[i], 0)))
+        whole = max(floor, math.floor(exact[i]))
+        g.arc(own(i), end, (need[i] - whole, 1 + int(1000 * (exact[i] - math.floor(exact[i])))))
+        target_out.append(g.arc(own(i), end, *_rising(max(0, whole - floor), whole, 10**6)))
+        floor_out.append(g.arc(own(i), end, *_rising(min(floor, need[i]), floor, 10**9)))
+        beyond.append(g.arc(src(source), act(action), *_rising(has[i] - min(need[i], has[i]), need[i], 1)))
+    for x in sources:
+        g.arc(extra, src(x), (sum(m for m, c in zip(lacks, cells) if c[0] == x), 0), (free, OTHER_SOURCE))
+    for x in actions:
+        g.arc(act(x), room, (sum(m for m, c in zip(lacks, cells) if c[1] == x), 0), (free, OTHER_ACTION))
+    g.arc(start, extra, (free, 0))
+    g.arc(extra, end, (free, 10**12))
+    g.arc(room, end, (max(n, 0), 0))
+    g.solve(start, end, sum(need) + free)
+    out = []
+    for i, c in enumerate(cells):
+        q = g.flow[placed[i]] + g.flow[beyond[i]]
+        out.append(Quota(q, g.flow[unavailable[i]], g.flow[target_out[i]] + g.flow[floor_out[i]], max(0, c[3] - q)))
+    return out
 
 
 def _plan(records: DataFrame, targets: DataFrame) -> list[tuple]:
-    """Rows of ``mixture_plan``; what is collected are the targets and one count for each of their cells."""
+    """Rows of ``mixture_plan``; what is collected are the targets, one count for each of their cells, and one for the rest."""
     cells = sorted({(r.source, r.action, float(r.target_share), int(r.min_rows or 0)) for r in targets.collect() if r.source and r.action and r.target_share is not None})
-    pairs = targets.select("source", "action").distinct()
-    counts = records.filter(F.col("id").isNotNull()).groupBy("source", "action").count()
-    have = {(r.source, r.action): r["count"] for r in counts.join(F.broadcast(pairs), ["source", "action"]).collect()}
-    n = (counts.agg(F.sum("count")).collect()[0][0] or 0) // 2
+    pairs = targets.select("source", "action", F.lit(True).alias("listed")).distinct()
+    counts = records.filter(F.col("id").isNotNull()).groupBy("source", "action").count().join(F.broadcast(pairs), ["source", "action"], "left")
+    own = lambda c: F.when(F.col("listed"), F.col(c)).alias(c)
+    rows = counts.groupBy(own("source"), own("action")).agg(F.sum("count").alias("n")).collect()
+    have, n = {(r.source, r.action): r.n for r in rows}, sum(r.n for r in rows) // 2
     return [
-        (s, a, share, floor, share * n, have.get((s, a), 0), q, short, have.get((s, a), 0) >= max(floor, share * n))
-        for (s, a, share, floor), (q, short) in zip(cells, quotas(cells, have, n))
+        (s, a, share, floor, share * n, have.get((s, a), 0), q.quota, q.unavailable, q.displaced, q.floor_shortfall, q.unavailable == 0)
+        for (s, a, share, floor), q in zip(cells, quotas(cells, have, n))
     ]
 
 
-_SCHEMA = "source string, action string, target_share double, min_rows int, target double, available bigint, quota bigint, shortfall bigint, met boolean"
+_SCHEMA = (
+    "source string, action string, target_share double, min_rows int, target double, available bigint, quota bigint, unavailable bigint, displaced bigint, floor_shortfall bigint, met boolean"
+)
 
 
 def mixture_plan(records: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per cell of ``targets`` (source, action, target_share, min_rows) for a sample of half of ``records``
     (id, source, action), one row per id, rounded down.
 
-    A cell is met if its records number at least min_rows and at least target_share times the sample. Records with a null
-    or unlisted source or action count in the sample's size but in no cell. No targets give no rows.
+    ``unavailable`` is what the cell lacks of the greater of min_rows and target_share times the sample, by the flow's slack
+    arc; a cell is met if that is nothing. ``displaced`` is what it has but had to give up because all floors and targets
+    together exceed the sample, ``floor_shortfall`` what its quota lacks of min_rows. Records with a null or unlisted source or
+    action count in the sample's size but in no cell. No targets give no rows.
     """
     return records.sparkSession.createDataFrame(_plan(records, targets), _SCHEMA)
 

@@ -73,6 +73,14 @@ payloads AS (
 f AS (SELECT tbl, id, form FROM texts WHERE q <> '' UNION ALL SELECT 'raw_records', id, form FROM payloads)
 """
 
+_HAVE = rf"""
+WITH {_LATEST},
+c AS (SELECT {_key("metadata.source")} AS sk, upper(regexp_replace(action, '^\s+|\s+$', '', 'g')) AS action, count(*) AS n FROM u GROUP BY ALL),
+total AS (SELECT count(*) // 2 AS half FROM u),
+have AS (SELECT t.source, t.action, t.target_share, t.min_rows, coalesce(sum(c.n), 0) AS n FROM mix_targets t
+         LEFT JOIN c ON c.sk = {_key("t.source")} AND c.action = t.action GROUP BY ALL)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -98,13 +106,10 @@ SELECT tbl, first_id, id AS other_id FROM m WHERE id <> first_id""",
         "p5_messages": _HOLDS
         + """SELECT r.dialogue_key, (2 * (turn_id - first_turn) + p)::INTEGER AS message_pos, CASE p WHEN 1 THEN 'user' ELSE 'assistant' END AS role,
 CASE p WHEN 1 THEN query ELSE response END AS content FROM r JOIN ok USING (dialogue_key), (VALUES (1), (2)) AS v(p)""",
-        "p6_found": rf"""
-WITH {_LATEST},
-c AS (SELECT {_key("metadata.source")} AS sk, upper(regexp_replace(action, '^\s+|\s+$', '', 'g')) AS action, count(*) AS n FROM u GROUP BY ALL),
-total AS (SELECT count(*) // 2 AS half FROM u),
-have AS (SELECT t.source, t.action, t.target_share, t.min_rows, coalesce(sum(c.n), 0) AS n FROM mix_targets t
-         LEFT JOIN c ON c.sk = {_key("t.source")} AND c.action = t.action GROUP BY ALL)
-SELECT source, action FROM have, total WHERE n < min_rows OR n < target_share * half""",
+        "p6_found": _HAVE + "SELECT source, action FROM have, total WHERE n < min_rows OR n < target_share * half",
+        "p6_availability": _HAVE
+        + """SELECT source, action, target_share * half AS target, n::BIGINT AS available, greatest(0, greatest(min_rows, ceil(target_share * half)::BIGINT) - n)::BIGINT AS unavailable,
+n >= min_rows AND n >= target_share * half AS met FROM have, total""",
         "p7_found": _PAIRS + "SELECT DISTINCT kind, least(tid, eid) AS left_id, greatest(tid, eid) AS right_id FROM pairs",
         "p7_counts": _PAIRS + "SELECT kind, split, source, count(*) AS pairs, count(DISTINCT eid) AS records FROM pairs GROUP BY ALL",
         "p9_found": f"""

@@ -114,10 +114,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pair's target, availability, quota and shortfall."""
+    """Each pair's target, availability, quota and shortfalls."""
     return mixture_plan(*_mixture(spark, sf_dir))
 
 
+def p6_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair's target, what there is, and what it lacks by the flow's slack arcs."""
+    return p6_plan(spark, sf_dir).select("source", "action", "target", "available", "unavailable", "met")
+
+
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawn ids."""
     return draw_mixture(*_mixture(spark, sf_dir))
@@ -185,4 +190,4 @@ def p10_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p5_found, p5_messages, p3_token_budget, p8_ids, p9_found, p9_leaks, p4_found, p4_copies, p6_found, p6_plan, p6_sample, p7_found, p7_counts, p7_overlap, p10_found, p10_levels, p10_calibration)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p5_found, p5_messages, p3_token_budget, p8_ids, p9_found, p9_leaks, p4_found, p4_copies, p6_found, p6_plan, p6_availability, p6_sample, p7_found, p7_counts, p7_overlap, p10_found, p10_levels, p10_calibration)}

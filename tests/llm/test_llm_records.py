@@ -1,4 +1,6 @@
+import itertools
 import json
+import math
 import random
 from collections import defaultdict
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.conversations import fold_events, messages, whole_conversations
 from tessera.llm.format_copies import canonical_payload, class_counts, class_members
 from tessera.llm.grouped_split import contract, deal, origin_key, tied_groups
-from tessera.llm.mixture import draw_mixture, mixture_plan, quotas
+from tessera.llm.mixture import Quota, draw_mixture, mixture_plan, quotas
 from tessera.llm.split_overlap import chunk_overlap, near_pairs
 
 
@@ -121,11 +123,45 @@ def test_events_fold(spark):
 
 def test_quotas():
     cells = [("a", "X", 0.5, 2), ("a", "Y", 0.3, 2), ("b", "X", 0.2, 5)]
-    assert quotas(cells, {("a", "X"): 100, ("a", "Y"): 100, ("b", "X"): 100}, 50) == [(25, 0), (15, 0), (10, 0)]
-    short = quotas(cells, {("a", "X"): 10, ("a", "Y"): 100, ("b", "X"): 100}, 50)
-    assert short[0] == (10, 15) and sum(q for q, _ in short) == 50 and short[1][0] > short[2][0] - 10
-    assert quotas(cells, {}, 50) == [(0, 25), (0, 15), (0, 10)]
+    full = {("a", "X"): 100, ("a", "Y"): 100, ("b", "X"): 100}
+    assert quotas(cells, full, 50) == [Quota(25, 0, 0, 0), Quota(15, 0, 0, 0), Quota(10, 0, 0, 0)]
+    short = quotas(cells, full | {("a", "X"): 10}, 50)
+    assert short[0] == Quota(10, 15, 0, 0) and sum(q.quota for q in short) == 50 and short[1].quota > 15 and short[2].quota > 10
+    assert quotas(cells, {}, 50) == [Quota(0, 25, 0, 2), Quota(0, 15, 0, 2), Quota(0, 10, 0, 5)]
     assert quotas([], {}, 0) == []
+    # Floors beyond the sample: what is missing is shared and told.
+    two = quotas([("s", "a", 0.5, 40), ("s", "b", 0.5, 80)], {("s", "a"): 100, ("s", "b"): 100}, 100)
+    assert sum(q.quota for q in two) == 100 and sum(q.floor_shortfall for q in two) == 20 and all(q.unavailable == 0 and q.displaced for q in two)
+    # What two cells lack is shared by those that have it.
+    four = quotas([("a", "x", 0.25, 0), ("a", "y", 0.25, 0), ("b", "x", 0.25, 0), ("b", "y", 0.25, 0)], {("a", "x"): 5, ("a", "y"): 5, ("b", "x"): 999, ("b", "y"): 999}, 100)
+    assert [q.quota for q in four] == [5, 5, 45, 45]
+    # Targets that aren't whole: the largest fractions are rounded up.
+    third = quotas([("a", "x", 0.33, 0), ("a", "y", 0.335, 0), ("b", "x", 0.335, 0)], {("a", "x"): 9, ("a", "y"): 9, ("b", "x"): 9}, 10)
+    assert [(q.quota, q.displaced) for q in third] == [(3, 0), (4, 0), (3, 0)] or [(q.quota, q.displaced) for q in third] == [(3, 0), (3, 0), (4, 0)]
+
+
+def test_quotas_equal_brute_force():
+    """Least floors missed, then least targets missed, of all integer quotas of the sample's size."""
+    rnd = random.Random(11)
+    for _ in range(150):
+        names = [(s, a) for s in "pq" for a in "xy"][: rnd.randint(2, 4)]
+        n, weight = rnd.randint(0, 12), [rnd.randint(1, 5) for _ in names]
+        cells = [(*k, w / sum(weight), rnd.choice([0, 0, 1, 3, 6])) for k, w in zip(names, weight)]
+        has = {k: rnd.choice([0, 1, 2, 4, 9]) for k in names}
+        got = quotas(cells, has, n)
+        need = [max(c[3], math.ceil(c[2] * n)) for c in cells]
+        assert [q.unavailable for q in got] == [max(0, m - has[k]) for m, k in zip(need, names)]
+        size = min(n, sum(has.values()))
+
+        def missed(q):
+            floors = sum(max(0, min(c[3], has[k]) - x) for c, k, x in zip(cells, names, q))
+            wholes = sum(max(0, min(max(c[3], math.floor(c[2] * n)), has[k]) - x) for c, k, x in zip(cells, names, q))
+            return floors, wholes - floors
+
+        best = min(missed(q) for q in itertools.product(*(range(has[k] + 1) for k in names)) if sum(q) == size)
+        quota = [q.quota for q in got]
+        assert sum(quota) == size and all(x <= has[k] for x, k in zip(quota, names)) and missed(quota) == best
+        assert sum(q.displaced for q in got) == sum(best)
 
 
 def test_mixture(spark):
