@@ -132,9 +132,9 @@ def quotas(cells: list[tuple[str, str, float, int]], have: dict[tuple[str, str],
         unavailable.append(g.arc(cell(i), end, (need[i], 10**12)))
         placed.append(g.arc(own(i), room, (has[i], 0)))
         whole = max(floor, math.floor(exact[i]))
-        g.arc(own(i), end, (need[i] - whole, 1 + int(1000 * (exact[i] - math.floor(exact[i])))))
-        target_out.append(g.arc(own(i), end, *_rising(max(0, whole - floor), whole, 10**6)))
-        floor_out.append(g.arc(own(i), end, *_rising(min(floor, need[i]), floor, 10**9)))
+        g.arc(own(i), end, (min(need[i], has[i]) - whole, 1 + int(1000 * (exact[i] - math.floor(exact[i])))))
+        target_out.append(g.arc(own(i), end, *_rising(min(whole, has[i]) - min(floor, has[i]), whole, 10**6)))
+        floor_out.append(g.arc(own(i), end, *_rising(min(floor, has[i]), floor, 10**9)))
         beyond.append(g.arc(src(source), act(action), *_rising(has[i] - min(need[i], has[i]), need[i], 1)))
     for x in sources:
         g.arc(extra, src(x), (sum(m for m, c in zip(lacks, cells) if c[0] == x), 0), (free, OTHER_SOURCE))
