@@ -15,13 +15,9 @@ from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import regex
 
-try:
-    import tiktoken
-except ImportError:
-    tiktoken = None
-
 #: Where the vocabulary files lie, unless a query is told otherwise.
 TOKENIZER_DIR = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
 #: The published pre-tokenizer pattern of the rank files. Fixed value.
@@ -112,44 +108,68 @@ def forced_pairs(ranks: dict[bytes, int]) -> set[bytes]:
     return {t[i : i + 2] for t in ranks for i in range(len(t) - 1)}
 
 
+#: White-space characters of more than one byte, as byte patterns of their last three bytes (None: any). Fixed values.
+_WIDE_BLANKS = (
+    [(None, 0xC2, x) for x in (0x85, 0xA0)] + [(0xE1, 0x9A, 0x80), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80)] + [(0xE2, 0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)]
+)
+_BLANKS = (*range(0x09, 0x0E), *range(0x1C, 0x21))
+_APOSTROPHE = 0x27
+
+
 class CutEncoder:
-    """Encodes text as it is, without special tokens.
+    """Encodes text as it is, without special tokens: bytes are cut at forced boundaries, the fragments are encoded independently
+    by the merges, and their ids are joined.
 
-    Certain cuts: (1) before white space that follows something else (see ``FRAGMENT``); (2) inside a long piece, between two
-    bytes that are neighbours in no token of the vocabulary. Fragments are encoded independently, remembered, and joined.
+    Between two bytes that are neighbours in no token of the vocabulary there is a token boundary in every encoding. Such a
+    boundary is used as a cut where the pre-tokenizer's pattern, too, gives the parts the pieces it gives the whole: before a
+    character, not after white space (whose pieces depend on what follows), and not at or within two bytes after an apostrophe
+    (whose contractions do). All cuts come from one look-up of all byte pairs; no text is cut by a pattern.
     """
 
-    #: Bytes from which a piece is cut; a shorter one is encoded as cheaply as a whole.
-    LONG = 48
-
     def __init__(self, ranks: dict[bytes, int]):
-        inside = forced_pairs(ranks)
-        self.cuts = [[bytes((a, b)) not in inside for b in range(256)] for a in range(256)]
-        if tiktoken:
-            self.encode_part = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        else:
-            self.encode_part = HeapBPE(ranks).encode
+        inside = np.zeros((256, 256), bool)
+        for pair in forced_pairs(ranks):
+            inside[pair[0], pair[1]] = True
+        may = ~inside
+        may[:, 0x80:0xC0] = False  # inside a character
+        may[:, _APOSTROPHE] = may[_APOSTROPHE, :] = False
+        may[list(_BLANKS), :] = False
+        self.may = may.ravel()
+        self.bpe = HeapBPE(ranks)
         self.memory = _Memory(self._fragment)
 
-    def forced(self, piece: bytes) -> list[bytes]:
-        """The piece, cut at its forced boundaries."""
-        at = [i + 1 for i in range(len(piece) - 1) if self.cuts[piece[i]][piece[i + 1]]]
-        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)])]
-
-    def _fragment(self, fragment: str) -> bytes:
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Positions in UTF-8 ``data`` before which a cut is certain."""
+        at = np.flatnonzero(self.may[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]) + 1
+        at = at[(at < 2) | (data[at - 2] != _APOSTROPHE)]
+        wide = np.flatnonzero(data[at - 1] >= 0x80)
+        if len(wide):
+            last, mid, first = (data[np.maximum(at[wide] - k, 0)] for k in (1, 2, 3))
+            blank = np.zeros(len(wide), bool)
+            for x, y, z in _WIDE_BLANKS:
+                blank |= (last == z) & (mid == y) & (True if x is None else first == x)
+            at = np.delete(at, wide[blank])
+        return at
+
+    def _fragment(self, fragment: bytes) -> bytes:
         ids = array("i")
-        for p in pieces(fragment):
-            b = p.encode()
-            for part in self.forced(b) if len(b) >= self.LONG else (b,):
-                ids.extend(self.encode_part(part))
+        for p in pieces(fragment.decode()):
+            ids.extend(self.bpe.encode(p.encode()))
         return ids.tobytes()
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as native 32-bit integers."""
-        return b"".join(map(self.memory.__getitem__, FRAGMENT.findall(text)))
+    def encode_all(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends of each text's ids) of the texts in UTF-8 ``data`` that end at ``ends``."""
+        if not len(ends) or not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
+        at = np.union1d(self.cuts(np.frombuffer(data, np.uint8)), np.concatenate(([0], ends)))
+        places = at.tolist()
+        coded = [self.memory[data[a:b]] for a, b in zip(places, places[1:])]
+        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))))) // 4
+        return np.frombuffer(b"".join(coded), np.int32), upto[np.searchsorted(at, ends)]
 
     def encode(self, text: str) -> list[int]:
-        return array("i", self.encode_bytes(text)).tolist()
+        data = text.encode()
+        return self.encode_all(data, np.array([len(data)]))[0].tolist()
 
 
 @lru_cache(maxsize=2)

@@ -36,10 +36,11 @@ def token_totals(df: DataFrame, text_col: str, groups: list[str], tokenizer: str
     return totals.select(*(F.col(n).alias(g) for n, g in zip(names, groups)), "n_texts", "n_tokens")
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe_50k", folder: str | None = None, slice_bytes: int = 4_000_000) -> DataFrame:
     """(id_col, ids ARRAY<INT>): the ids of every text, without special tokens; an empty list for null and empty texts.
 
-    One narrow pass over id and text, no shuffle. Repeated rows stay repeated, a null id stays null.
+    One narrow pass over id and text, no shuffle. Repeated rows stay repeated, a null id stays null. Texts of ``slice_bytes``
+    together are cut and encoded at a time, a longer text alone.
     """
     path = rank_file(tokenizer, folder) if folder else rank_file(tokenizer)
     source = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
@@ -48,10 +49,15 @@ def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = cut_encoder(path)
         for b in batches:
-            coded = [enc.encode_bytes(t) if t else b"" for t in b.column(1).to_pylist()]
-            ends = np.zeros(len(coded) + 1, np.int32)
-            np.cumsum([len(c) // 4 for c in coded], out=ends[1:])
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["i", "ids"])
+            texts = b.column(1).fill_null("").cast(pa.large_string())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+            data = memoryview(texts.buffers()[2] or b"")
+            row = 0
+            while row < len(texts):  # some rows at a time, so that the memory for a batch doesn't depend on its texts
+                upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + slice_bytes, side="right")) - 1)
+                ids, ends = enc.encode_all(bytes(data[offsets[row] : offsets[upto]]), offsets[row + 1 : upto + 1] - offsets[row])
+                made = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, upto - row), made], ["i", "ids"])
+                row = upto
 
     return source.mapInArrow(run, f"i {kind}, ids array<int>").select(F.col("i").alias(id_col), "ids")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.functions.text import WS
@@ -75,10 +76,21 @@ def test_encoding_equals_the_library():
 def test_forced_boundaries_never_lie_inside_a_token():
     ranks = bpe.load_ranks(PATH)
     c = bpe.CutEncoder(ranks)
-    for t in list(ranks)[::500]:
-        assert len(c.forced(t)) == 1
-    piece = "漢字漢字".encode() * 20
-    assert [i for p in c.forced(piece) for i in c.encode_part(p)] == bpe.HeapBPE(ranks).encode(piece)
+    for t in list(ranks)[::50]:
+        assert len(c.cuts(np.frombuffer(t, np.uint8))) == 0
+    cut = lambda s: c.cuts(np.frombuffer(s.encode(), np.uint8)).tolist()
+    assert cut("two words  here") == [3, 9] and cut("") == [] and cut("a") == []
+    assert cut("x\u3000\u3000y") == [1] and cut("!'s") == []  # not after white space, not at an apostrophe
+    # Rare letters that are neighbours in no token are parted, and give what the whole gives.
+    piece = "漢字漢字" * 20
+    assert cut(piece) and c.encode(piece) == bpe.HeapBPE(ranks).encode(piece.encode())
+
+
+def test_encoding_in_slices(spark):
+    rows = [(k, t) for k, t in enumerate([None, "", "hello world", "a" * 50, None, "", "漢字 漢字", "x"])]
+    df = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    c = bpe.CutEncoder(bpe.load_ranks(PATH))
+    assert sorted((r.doc_id, r.ids) for r in encode(df, "doc_id", "text", slice_bytes=10).collect()) == [(k, c.encode(t) if t else []) for k, t in rows]
 
 
 def test_encode_table(spark):
