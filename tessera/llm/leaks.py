@@ -10,15 +10,20 @@ so that whatever the places of those, one mask ignores them all, and no passage
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 _RUN = re.compile(r"[^\W_]+")
 
 
@@ -169,33 +174,49 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
     with the longest stretch.
 
     Items that share a text all count. Null, empty and short texts match nothing. A repeated document row gives its rows
-    again; null ids are kept as they are. The corpus is read once per block of items and isn't shuffled; blocks have a
-    bounded number of words, so what a task receives doesn't grow with the items.
+    again; null ids are kept as they are. The corpus is read once per block of items and isn't shuffled. Blocks have a bounded
+    number of words, so what a task receives doesn't grow with the items; the driver holds one block at a time, and the pairs of
+    all but the last are stored in the shared folder.
     """
     rows = items.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).toLocalIterator()
-    blocks, block, size = [], [], 0
+    source = corpus.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    stored, block, size = [], [], 0
     for r in rows:
         n = len(words_of(r.t))
         if size and size + n > seeds.block_words:
-            blocks.append(block)
+            hits, sent = _hits(source, block, seeds)
+            stored.append(cut(hits))
+            sent.unpersist()
             block, size = [], 0
         block.append((r.i, r.t))
         size += n
-    source = corpus.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    kind = dict(source.dtypes)["d"]
-    out = None
-    for part in [*blocks, block]:
-        sent = corpus.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = _Block(sent.value, seeds)
-            for pdf in batches:
-                for at in range(0, len(pdf), 500):
-                    some = pdf.iloc[at : at + 500]
-                    found = list(index.search(some["t"].tolist()))
-                    ids = some["d"].tolist()
-                    yield pd.DataFrame([(ids[r], *rest) for r, *rest in found], columns=["d", "i", "longest_run", "overlap_words", "equal_words"])
-
-        hits = source.mapInPandas(run, f"d {kind}, i bigint, longest_run int, overlap_words int, equal_words int")
-        out = hits if out is None else out.unionByName(hits)
+    out = reduce(DataFrame.unionByName, [*stored, _hits(source, block, seeds)[0]])
     return out.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "longest_run", "overlap_words", "equal_words")
+
+
+def _hits(source: DataFrame, block: list[tuple[int, str]], seeds: Seeds) -> tuple[DataFrame, Broadcast]:
+    """The pairs of one block of items, and the block as it is sent."""
+    sent, name = source.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = _index(name, sent, seeds)
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                some = pdf.iloc[at : at + 500]
+                found = list(index.search(some["t"].tolist()))
+                ids = some["d"].tolist()
+                yield pd.DataFrame([(ids[r], *rest) for r, *rest in found], columns=["d", "i", "longest_run", "overlap_words", "equal_words"])
+
+    kind = dict(source.dtypes)["d"]
+    return source.mapInPandas(run, f"d {kind}, i bigint, longest_run int, overlap_words int, equal_words int"), sent
+
+
+#: The index a worker made last, by its block's name; a worker's later tasks use it again.
+_MADE: dict[str, _Block] = {}
+
+
+def _index(name: str, sent: Broadcast, seeds: Seeds) -> _Block:
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = _Block(sent.value, seeds)
+    return _MADE[name]
