@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, counted while they are written; counted afterwards where the optimizer finds a part of
+    the plan empty and drops the counter with it."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = seen.get.get("rows")
+    return out, out.count() if rows is None else rows
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by ``cut`` that nothing will read again."""
     for t in tables:
