@@ -59,38 +59,53 @@ def text_form(raw: Column) -> Column:
 
 
 def _collapsed(tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Members (tbl, id, rd) and distinct raw records (tbl, rd, rep, n, form); rd is the SHA-256 of the raw record."""
-    rows = reduce(DataFrame.unionByName, tables).filter(F.col("id").isNotNull())
+    """Members (tbl, id, rd), stored, and distinct raw records (tbl, rd, rep, n, form, fd); rd and fd are the SHA-256 of the raw
+    record and of its canonical form.
+
+    Which delivery of an id counts is decided by digests, and copies are counted by them; a raw text crosses the network
+    once, when equal ones are collapsed, and reaches canonical form only if a member has it.
+    """
+    rows = reduce(DataFrame.unionByName, (t if "v" in t.columns else t.withColumn("v", F.lit(None).cast("timestamp")) for t in tables))
+    rows = rows.filter(F.col("id").isNotNull())
     #: Lengths before the strings: two arrays can't be written alike. A null string has length -1.
     written = F.concat_ws("\u0001", F.transform("raw", lambda t: F.concat(F.coalesce(F.octet_length(t), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(t, F.lit("")))))
-    rows = rows.withColumn("rd", F.sha2(written, 256))
-    survivors = rows.groupBy("tbl", "rd", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    rows = rows.select("tbl", "id", "v", "raw", F.unhex(F.sha2(written, 256)).alias("rd"))
+    members = cut(rows.groupBy("tbl", "id").agg(F.max(F.struct("v", "rd")).alias("r")).select("tbl", "id", F.col("r.rd").alias("rd")))
+    counts = members.groupBy("tbl", "rd").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    survivors = rows.groupBy("tbl", "rd").agg(F.first("raw").alias("raw")).join(counts, ["tbl", "rd"])
     texts = survivors.filter("tbl <> 'raw_records'").withColumn("form", text_form(F.col("raw")))
     payloads = survivors.filter("tbl = 'raw_records'").withColumn("form", F.pandas_udf(_forms, "string")(F.get("raw", F.lit(0))))
     formed = texts.unionByName(payloads).filter(F.col("form").isNotNull())
-    return rows.select("tbl", "id", "rd"), formed.select("tbl", "rd", "rep", "n", "form")
+    return members, formed.select("tbl", "rd", "rep", "n", "form", F.unhex(F.sha2("form", 256)).alias("fd"))
+
+
+def _classes(formed: DataFrame) -> DataFrame:
+    """Grouped on the full canonical text; fd stands for it afterwards."""
+    return formed.groupBy("tbl", "form").agg(F.first("fd").alias("fd"), F.min("rep").alias("first_id"), F.sum("n").alias("copies"), F.count("*").alias("variants")).drop("form")
 
 
 def class_counts(tables: list[DataFrame]) -> DataFrame:
-    """(tbl, first_id, copies BIGINT, variants BIGINT) of every distinct record in ``tables`` (tbl, id, raw ARRAY<STRING>).
+    """(tbl, first_id, copies BIGINT, variants BIGINT) of every distinct record in ``tables`` (tbl, id, raw ARRAY<STRING> and
+    perhaps v TIMESTAMP).
 
-    Records of tbl ``raw_records`` are JSON payloads, all others texts (see ``text_form``). Ids are distinct within a
-    table. Records without canonical form (blank, broken, null) are no class; rows without id are left out. Both groupings
-    combine before they shuffle, so a record that makes up a third of all rows costs a row per task.
+    Rows of one id in a table are deliveries of one record; the one with the greatest v counts, of equals the one with the
+    greatest digest. Records of tbl ``raw_records`` are JSON payloads, all others texts (see ``text_form``). Records without
+    canonical form (blank, broken, null) are no class; rows without id are left out. All groupings combine before they
+    shuffle, so a record that makes up a third of all rows costs a row per task.
     """
-    _, formed = _collapsed(tables)
-    return formed.groupBy("tbl", "form").agg(F.min("rep").alias("first_id"), F.sum("n").alias("copies"), F.count("*").alias("variants")).drop("form")
+    return _classes(_collapsed(tables)[1]).drop("fd")
 
 
 def class_members(tables: list[DataFrame], hot_rows: int = 200_000) -> DataFrame:
     """(tbl, first_id, other_id): each record that isn't the first of its class, beside the first.
 
-    Classes are made as in ``class_counts``. Members then find their class by the digest of their raw record, in joins of
-    narrow rows; a digest with a great many members is looked up by broadcast.
+    Classes are made as in ``class_counts``. Members then find their class by digests, of their raw record and of its form, in
+    joins of narrow rows; a digest with a great many members is looked up by broadcast.
     """
     members, formed = _collapsed(tables)
-    members, formed = cut(members), cut(formed)
-    classes = formed.groupBy("tbl", "form").agg(F.min("rep").alias("first_id"), F.sum("n").alias("copies")).filter("copies > 1")
-    firsts = formed.join(classes, ["tbl", "form"]).select(F.concat("tbl", "rd").alias("_k"), "first_id")
-    named = lookup(members.select("tbl", "id", F.concat("tbl", "rd").alias("_k")), "_k", firsts, hot_rows)
+    formed = cut(formed)
+    classes = _classes(formed).filter("copies > 1").select(F.concat("tbl", F.hex("fd")).alias("_f"), "first_id")
+    forms = formed.select(F.concat("tbl", F.hex("fd")).alias("_f"), F.concat("tbl", F.hex("rd")).alias("_k"))
+    firsts = lookup(forms, "_f", classes, hot_rows).filter(F.col("first_id").isNotNull()).select("_k", "first_id")
+    named = lookup(members.select("tbl", "id", F.concat("tbl", F.hex("rd")).alias("_k")), "_k", firsts, hot_rows)
     return named.filter(F.col("first_id").isNotNull() & (F.col("first_id") != F.col("id"))).select("tbl", "first_id", F.col("id").alias("other_id"))

@@ -95,9 +95,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _copy_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     kb = D.table(spark, sf_dir, "kb").select(F.col("kb_id").alias("id"), F.array("text").alias("raw"))
-    samples = D.samples(spark, sf_dir, raw=F.concat(F.array("query"), D.context_texts()))
+    samples = D.table(spark, sf_dir, "unified_samples").select("id", F.col("ingested_at").alias("v"), F.concat(F.array("query"), D.context_texts()).alias("raw"))
     records = D.table(spark, sf_dir, "raw_records").select(F.col("raw_id").alias("id"), F.array("payload").alias("raw"))
-    return [t.select(F.lit(n).alias("tbl"), "id", "raw") for n, t in (("kb", kb), ("unified_samples", samples), ("raw_records", records))]
+    return [t.select(F.lit(n).alias("tbl"), *t.columns) for n, t in (("kb", kb), ("unified_samples", samples), ("raw_records", records))]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
