@@ -8,13 +8,16 @@ cumulative weight.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import cut, drop, lookup
+from ..runtime import cut, cut_counted, drop, lookup
 
 
 def origin_key(c: str = "id") -> Column:
@@ -54,39 +57,73 @@ def _rename(edges: DataFrame, end: str, mates: DataFrame, hot_rows: int, rows: i
     return edges.filter(_heads(end)).select(end, other).unionByName(found)
 
 
-def contract(edges: DataFrame, seed: int = 42, hot_rows: int = 200_000, most_rounds: int = 300) -> DataFrame:
+def mate(a: np.ndarray, b: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The root of each of ``n`` vertices by random-mate contraction of the edges (a, b), in memory."""
+    up, rng = np.arange(n), np.random.default_rng(seed)
+    while len(a):
+        heads = rng.random(n) < 0.5
+        x, y = np.concatenate((a, b)), np.concatenate((b, a))
+        joins = ~heads[x] & heads[y]
+        p = np.full(n, n)
+        np.minimum.at(p, x[joins], y[joins])
+        tails = np.flatnonzero(p < n)
+        up[tails] = p[tails]
+        a, b = up[a], up[b]
+        a, b = np.divmod(np.unique((np.minimum(a, b) * n + np.maximum(a, b))[a != b]), n)
+    while (up[up] != up).any():
+        up = up[up]
+    return up
+
+
+def _finish(edges: DataFrame, seed: int) -> DataFrame:
+    """(v, p) of the last, few edges, contracted by one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = pd.concat([pd.DataFrame({"a": [], "b": []}, dtype=object), *batches])
+        names, at = np.unique(np.concatenate((some["a"].to_numpy(object), some["b"].to_numpy(object))), return_inverse=True)
+        if len(names):
+            root = mate(*np.split(at, 2), len(names), seed)
+            moved = root != np.arange(len(names))
+            yield pd.DataFrame({"v": names[moved], "p": names[root[moved]]})
+
+    return edges.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).coalesce(1).mapInPandas(run, "v string, p string")
+
+
+def contract(edges: DataFrame, seed: int = 42, hot_rows: int = 200_000, most_rounds: int = 300, few: int = 20_000) -> DataFrame:
     """(v, root): the component of every vertex that isn't the root of its own, for edges (a STRING, b STRING).
 
     Loops, repeated edges and nulls are allowed and carry no meaning; no edges give no rows. A round halves the expected
     number of edges between lone pairs and removes at least a quarter of the vertices that have edges, so rounds grow with
-    the logarithm of the input. Each round is stored in the shared checkpoint folder. Vertices with a great many edges are
-    renamed by broadcast (see ``lookup``); minima are combined before the shuffle. The coins are bits of a vertex's hash,
-    shifted on each round, so that all rounds run the same compiled plan.
+    the logarithm of the input. Each round is stored in the shared checkpoint folder, and the one before is deleted. Vertices
+    with a great many edges are renamed by broadcast (see ``lookup``); minima are combined before the shuffle. The coins are
+    bits of a vertex's hash, shifted on each round, so that all rounds run the same compiled plan. The last ``few`` edges
+    are contracted in the same way by one task, which saves the rounds that would move next to nothing.
     """
-    left = cut(_tidy(_toss(edges.select(F.struct(F.col("a").alias("v")).alias("a"), F.struct(F.col("b").alias("v")).alias("b")), seed)))
-    parents, rows = [], left.count()
-    for turn in range(1, most_rounds + 1):
+    left, rows = cut_counted(_tidy(_toss(edges.select(F.struct(F.col("a").alias("v")).alias("a"), F.struct(F.col("b").alias("v")).alias("b")), seed)))
+    parents, stored, turn = [], [], 0
+    while rows > few:
+        turn += 1
+        if turn > most_rounds:
+            raise RuntimeError(f"edges are left after {most_rounds} rounds")
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         mates = cut(both.filter(~_heads("a") & _heads("b")).groupBy(F.col("a.v").alias("v")).agg(F.min("b").alias("p")))
         renamed = _rename(_rename(left, "a", mates, hot_rows, rows), "b", mates, hot_rows, rows)
-        left = _next_coins(renamed) if turn % _COINS else _toss(renamed, seed + turn)
-        before, left = left, cut(_tidy(left))
-        drop(before)
+        last, (left, rows) = left, cut_counted(_tidy(_next_coins(renamed) if turn % _COINS else _toss(renamed, seed + turn)))
+        drop(last)
+        stored.append(mates)
         parents.append(mates.select("v", F.col("p.v").alias("p")))
-        if not (rows := left.count()):
-            break
-    else:
-        raise RuntimeError(f"edges are left after {most_rounds} rounds")
-    forest = cut(reduce(DataFrame.unionByName, parents))
-    rows = forest.count()
+    parents.append(_finish(left, seed))
+    forest, rows = cut_counted(reduce(DataFrame.unionByName, parents))
+    drop(left, *stored)
     while True:
-        step = cut(lookup(forest, "p", forest.select(F.col("v").alias("p"), F.col("p").alias("_up")), hot_rows, rows))
-        if step.filter(F.col("_up").isNotNull()).isEmpty():
+        step = cut(lookup(forest, "p", forest.select(F.col("v").alias("p"), F.col("p").alias("_up")), hot_rows, rows).select("v", F.coalesce("_up", "p").alias("p"), F.col("_up").isNotNull().alias("moved")))
+        drop(forest)
+        if step.filter("moved").isEmpty():
             return step.select("v", F.col("p").alias("root"))
-        forest = step.select("v", F.coalesce("_up", "p").alias("p"))
+        forest = step
 
 
-def tied_groups(records: DataFrame, ties: list[str], seed: int = 42, hot_rows: int = 200_000) -> DataFrame:
+def tied_groups(records: DataFrame, ties: list[str], seed: int = 42, hot_rows: int = 200_000, few: int = 20_000) -> DataFrame:
     """(id, group_id, n) for distinct non-null ids: records with the same non-null value in any column of ``ties`` are tied,
     ties carry over, group_id is the smallest id of the group and n its number of ids. A record without ties is alone.
 
@@ -99,7 +136,7 @@ def tied_groups(records: DataFrame, ties: list[str], seed: int = 42, hot_rows: i
         ).distinct().select("id", F.coalesce(F.get("t", F.lit(0)), F.concat(F.lit("i:"), "id")).alias("v"), "t")
     )
     edges = rows.select(F.col("v").alias("a"), F.explode("t").alias("b"))
-    named = lookup(rows.select("id", "v"), "v", contract(edges, seed, hot_rows), hot_rows)
+    named = lookup(rows.select("id", "v"), "v", contract(edges, seed, hot_rows, few=few), hot_rows)
     placed = cut(named.select("id", F.coalesce("root", "v").alias("root")))
     groups = placed.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n"))
     return lookup(placed, "root", groups, hot_rows).select("id", "group_id", "n")
@@ -110,12 +147,12 @@ def deal(groups: DataFrame, shares: dict[str, float], seed: int = 42, buckets: i
 
     A group goes where its weight begins, so a split misses its share by less than one group. Groups heavier than the
     smallest share come first and so fall to the first split named. Sums run within hash buckets, of which only the
-    totals meet in one task.
+    totals meet in one task; there is one more bucket for every 100,000 groups beyond ``buckets`` times that.
     """
-    total = groups.agg(F.sum("n").alias("_all"))
+    total = groups.agg(F.sum("n").alias("_all"), F.greatest(F.lit(buckets), F.floor(F.count("*") / 100_000)).alias("_n"))
     low = min(shares.values())
     h = F.xxhash64(F.lit(seed), F.col("group_id"))
-    g = groups.crossJoin(F.broadcast(total)).withColumns({"_h": h, "_b": F.when(F.col("n") > low * F.col("_all"), -1).otherwise(F.pmod(h, F.lit(buckets)))})
+    g = groups.crossJoin(F.broadcast(total)).withColumns({"_h": h, "_b": F.when(F.col("n") > low * F.col("_all"), -1).otherwise(F.pmod(h, F.col("_n")))})
     sums = g.groupBy("_b").agg(F.sum("n").alias("_s"))
     before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_base"))
     within = Window.partitionBy("_b").orderBy("_h", "group_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
