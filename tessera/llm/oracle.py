@@ -111,6 +111,9 @@ CASE p WHEN 1 THEN query ELSE response END AS content FROM r JOIN ok USING (dial
         + """SELECT source, action, target_share * half AS target, n::BIGINT AS available, greatest(0, greatest(min_rows, ceil(target_share * half)::BIGINT) - n)::BIGINT AS unavailable,
 n >= min_rows AND n >= target_share * half AS met FROM have, total""",
         "p7_found": _PAIRS + "SELECT DISTINCT kind, least(tid, eid) AS left_id, greatest(tid, eid) AS right_id FROM pairs",
+        "p7_links": _PAIRS
+        + """, ends AS (SELECT kind, tid AS id FROM pairs UNION ALL SELECT kind, eid FROM pairs), n AS (SELECT kind, id, count(*) AS links FROM ends GROUP BY ALL)
+SELECT s.kind, s.id, min(s.id) OVER (PARTITION BY s.kind, list_sort(s.w)) AS class_id, coalesce(links, 0) AS links FROM sets s LEFT JOIN n USING (kind, id) WHERE len(s.w) > 0""",
         "p7_counts": _PAIRS + "SELECT kind, split, source, count(*) AS pairs, count(DISTINCT eid) AS records FROM pairs GROUP BY ALL",
         "p9_found": f"""
 WITH i AS (SELECT item_id, {_words("text")} AS w FROM eval_items),

@@ -17,7 +17,7 @@ from .leaks import find_leaks
 from .mixture import draw_mixture, mixture_plan
 from .reading import labelled, levels, train
 from .split_items import is_oversized, split_oversized
-from .split_overlap import chunk_overlap, near_pairs
+from .split_overlap import chunk_overlap, near_links, near_pairs
 from .tokens import encode, token_totals
 
 
@@ -148,12 +148,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(_split_records(spark, sf_dir)).select("kind", "left_id", "right_id").distinct()
 
 
+def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the class of those that have the same words, and its number of links across the border of train."""
+    return near_links(_split_records(spark, sf_dir)).select("kind", "id", "class_id", "links")
+
+
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each split and source that isn't train: the pairs with train, and the records that have any."""
-    pairs = near_pairs(_split_records(spark, sf_dir))
-    left = F.col("right_split") == "train"
-    held = pairs.select("kind", *(F.when(left, F.col(f"left_{c}")).otherwise(F.col(f"right_{c}")).alias(c) for c in ("id", "split", "source")))
-    per_record = held.groupBy("kind", "split", "source", "id").agg(F.count("*").alias("n"))
+    held = near_links(_split_records(spark, sf_dir)).filter("split <> 'train' AND links > 0")
+    per_record = held.groupBy("kind", "split", "source", "id").agg(F.sum("links").alias("n"))
     return per_record.groupBy("kind", "split", F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.sum("n").alias("pairs"), F.count("*").alias("records"))
 
 
@@ -190,4 +193,4 @@ def p10_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p5_found, p5_messages, p3_token_budget, p8_ids, p9_found, p9_leaks, p4_found, p4_copies, p6_found, p6_plan, p6_availability, p6_sample, p7_found, p7_counts, p7_overlap, p10_found, p10_levels, p10_calibration)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_split, p5_found, p5_messages, p3_token_budget, p8_ids, p9_found, p9_leaks, p4_found, p4_copies, p6_found, p6_plan, p6_availability, p6_sample, p7_found, p7_links, p7_counts, p7_overlap, p10_found, p10_levels, p10_calibration)}

@@ -1,9 +1,11 @@
 import itertools
 import json
 import math
+import os
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from tessera.llm.conversations import fold_events, messages, whole_conversations
 from tessera.llm.format_copies import canonical_payload, class_counts, class_members
 from tessera.llm.grouped_split import contract, deal, origin_key, tied_groups
 from tessera.llm.mixture import Quota, draw_mixture, mixture_plan, quotas
-from tessera.llm.split_overlap import chunk_overlap, near_pairs
+from tessera.llm.split_overlap import chunk_overlap, digests, near_links, near_pairs
+from tessera.runtime import shared_dir
 
 
 def union_find(pairs):
@@ -38,11 +41,17 @@ def test_contraction_equals_union_find(spark, hot):
     pairs = [("hub", f"leaf{i}") for i in range(40)] + [(f"c{i}", f"c{i + 1}") for i in range(30)]
     pairs += [(f"r{rnd.randrange(60)}", f"r{rnd.randrange(60)}") for _ in range(40)]
     edges = spark.createDataFrame(pairs + pairs[:5] + [("x", "x"), (None, "x")], "a string, b string")
-    got = defaultdict(set)
-    for r in contract(edges, hot_rows=hot).collect():
-        got[r.root] |= {r.root, r.v}
-    assert {frozenset(s) for s in got.values()} == {s for s in union_find(pairs) if len(s) > 1}
-    assert contract(edges.limit(0)).count() == 0
+    for few in (0, 20_000):
+        got = defaultdict(set)
+        for r in contract(edges, hot_rows=hot, few=few).collect():
+            got[r.root] |= {r.root, r.v}
+        assert {frozenset(s) for s in got.values()} == {s for s in union_find(pairs) if len(s) > 1}
+        assert contract(edges.limit(0), few=few).count() == 0
+    # The rounds' tables are deleted; what is left is the labelled forest.
+    folder = os.path.join(shared_dir(spark), f"tessera-{spark.sparkContext.applicationId}")
+    before = set(os.listdir(folder))
+    contract(edges, few=0)
+    assert len(set(os.listdir(folder)) - before) == 1
 
 
 def test_origin_keys(spark):
@@ -51,9 +60,10 @@ def test_origin_keys(spark):
     assert got[0] == got[1] == got[6] and got[2] is not None and got[3:6] == [None] * 3 and got[2] != got[0]
 
 
-def test_tied_groups_and_deal(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_tied_groups_and_deal(spark, few):
     rows = [("a1", "x", None), ("a2", "x", "k"), ("b", None, "k"), ("c", None, None), ("d", None, None), (None, "x", None), ("c", None, None)]
-    got = {r.id: (r.group_id, r.n) for r in tied_groups(spark.createDataFrame(rows, "id string, t string, n string"), ["t", "n"]).collect()}
+    got = {r.id: (r.group_id, r.n) for r in tied_groups(spark.createDataFrame(rows, "id string, t string, n string"), ["t", "n"], few=few).collect()}
     assert got == {"a1": ("a1", 3), "a2": ("a1", 3), "b": ("a1", 3), "c": ("c", 1), "d": ("d", 1)}
     groups = spark.createDataFrame([(f"g{i}", 1 + i % 4) for i in range(2000)] + [("big", 1500)], "group_id string, n bigint")
     dealt = deal(groups, {"train": 0.7, "validation": 0.15, "test": 0.15}).collect()
@@ -193,7 +203,7 @@ def brute_pairs(rows):
 def test_pairs_equal_brute_force(spark):
     rnd = random.Random(4)
     rows = []
-    for n, size in enumerate([1, 2, 3, 4, 5, 6, 9, 13, 16, 30, 45, 78, 95, 99, 104, 121, 140] * 4):
+    for n, size in enumerate([1, 2, 3, 4, 5, 6, 9, 13, 16, 30, 45, 78, 95, 99, 104, 121, 140, 260] * 4):
         vocab = [f"w{rnd.randrange(400)}" for _ in range(size)] + ["the"]
         for m in range(3):
             w = list(vocab)
@@ -207,6 +217,26 @@ def test_pairs_equal_brute_force(spark):
     assert len(want) > 30
     assert {(r.kind, r.left_id, r.right_id) for r in near_pairs(df).collect()} == want
     assert near_pairs(df.limit(0)).count() == 0
+    links = defaultdict(int)
+    for k, *ends in want:
+        for i in ends:
+            links[(k, i)] += 1
+    assert {(r.kind, r.id): r.links for r in near_links(df, hot_rows=5).collect() if r.links} == links
+
+
+def test_similar_records_share_a_digest():
+    """Whatever the sizes, and wherever the words that differ stand in the order."""
+    rnd = np.random.default_rng(7)
+    for n in [*range(80, 130, 3), 150, 233, 400]:
+        for _ in range(20):
+            most = n // 4  # words that only one of two records has
+            every = np.unique(rnd.integers(-(2**62), 2**62, n + most))
+            both, others = np.split(rnd.permutation(every), [n])
+            order = {w: k for k, w in enumerate(rnd.permutation(every).tolist())}
+            a = rnd.integers(0, len(others) + 1)
+            x, y = np.concatenate((both, others[:a])), np.concatenate((both, others[a:]))
+            rec, sig = digests([np.sort(x), np.sort(y)], order, 2)
+            assert set(sig[rec == 0]) & set(sig[rec == 1])
 
 
 def test_copies_meet_by_class(spark):
