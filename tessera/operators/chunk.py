@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.parse import fingerprint, lower_words, numbered_id, sentences
 from ..functions.text import let, ws_count, ws_words
+from ..runtime import numbered_rows
 
 
 @dataclass(frozen=True)
@@ -67,40 +68,44 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 
 def contexts(samples: DataFrame, text: Column, order: Column) -> DataFrame:
-    """(parent_ctx_hash, ctx, source, ord, linked_sample_ids, linked_actions, linked_queries, action_distribution, num_linked):
-    one row per distinct non-blank context text, with what is linked to it in the order of ``order`` and id."""
-    s = samples.select(
-        fingerprint(text).alias("parent_ctx_hash"), text.alias("ctx"), F.col("source"), order.alias("ord"), "id", "action", "query"
-    ).filter(ws_count("ctx") > 0)
-    link = F.array_sort(F.collect_list(F.struct("ord", "id", "action", "query")))
-    g = s.groupBy("parent_ctx_hash").agg(F.min_by("ctx", F.struct("ord", "id")).alias("ctx"), F.min_by("source", F.struct("ord", "id")).alias("source"), F.min("ord").alias("ord"), link.alias("l"))
-    return g.select(
-        "parent_ctx_hash", "ctx", "source", "ord", F.col("l.id").alias("linked_sample_ids"), F.col("l.action").alias("linked_actions"), F.col("l.query").alias("linked_queries"),
-        action_distribution(F.col("l.action")).alias("action_distribution"), F.size("l").alias("num_linked"),
-    )
+    """(parent_ctx_hash, ctx, source, ord, action_distribution, num_linked): one row per distinct non-blank context text, with
+    the source and order of the first sample linked to it. Samples are counted by action before the shuffle, so a text that a
+    third of all samples have costs a row per task and action."""
+    s = _linked_rows(samples, text, order)
+    g = s.groupBy("parent_ctx_hash", "action").agg(F.min(F.struct("ord", "id", "source", "ctx")).alias("f"), F.count("*").cast("int").alias("n"))
+    g = g.groupBy("parent_ctx_hash").agg(
+        F.min("f").alias("f"), F.array_sort(F.collect_list(F.when(F.col("action").isNotNull(), F.struct("action", "n")))).alias("d"), F.sum("n").cast("int").alias("num_linked"))
+    return g.select("parent_ctx_hash", "f.ctx", "f.source", "f.ord", F.map_from_entries("d").alias("action_distribution"), "num_linked")
+
+
+def _linked_rows(samples: DataFrame, text: Column, order: Column) -> DataFrame:
+    s = samples.select(text.alias("ctx"), F.col("source"), order.alias("ord"), "id", "action", "query").filter(ws_count("ctx") > 0)
+    return s.withColumn("parent_ctx_hash", fingerprint("ctx"))
+
 
+def context_links(samples: DataFrame, text: Column, order: Column) -> DataFrame:
+    """(parent_ctx_hash, ord, id, action, query): a row per sample and context, so that links of a text are never gathered."""
+    return _linked_rows(samples, text, order).select("parent_ctx_hash", "ord", "id", "action", "query")
 
-def action_distribution(actions: Column) -> Column:
-    """MAP<STRING,INT> of an array of labels, keys in order; nulls are left out."""
-    known = F.filter(actions, lambda a: a.isNotNull())
-    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(known)), lambda a: F.struct(a, F.size(F.filter(known, lambda x: x == a)))))
+
+def with_links(rows: DataFrame, links: DataFrame, key: str = "parent_ctx_hash") -> DataFrame:
+    """``rows`` with the arrays linked_sample_ids, linked_actions, linked_queries in the order of ord and id: the nested form for
+    export. A row then holds all its links; plans that only count or filter them take ``context_links``."""
+    g = links.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "action", "query"))).alias("l"))
+    arrays = g.select(key, F.col("l.id").alias("linked_sample_ids"), F.col("l.action").alias("linked_actions"), F.col("l.query").alias("linked_queries"))
+    return rows.join(arrays, key, "left")
 
 
 def flat_kb(ctx: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     """The knowledge base: contexts chunked where their source and length ask for it, each distinct chunk once, with the
-    links of the first context it occurs in."""
+    figures of the first context it occurs in, numbered in its order. Links are joined on by parent_ctx_hash (``with_links``)."""
     words = ws_count("ctx")
     whole = F.array(F.struct(F.lit(0).alias("chunk_idx"), F.lit(1).alias("total_chunks"), F.col("ctx").alias("text")))
     parts = F.when(needs_chunking(F.col("source"), words, c), word_chunks(F.col("ctx"), c)).otherwise(whole)
     rows = ctx.withColumn("p", F.explode(parts)).select("*", "p.*").drop("p", "ctx").withColumn("chunk_hash", fingerprint("text"))
     once = first_by(rows, ["chunk_hash"], "ord", "parent_ctx_hash", "chunk_idx")
-    return once.withColumns({"word_count": ws_count("text"), "kb_id": numbered("kb", once, ["ord", "parent_ctx_hash", "chunk_idx"], 7)}).drop("ord")
-
-
-def numbered(prefix: str, df: DataFrame, order: list[str], width: int = 6) -> Column:
-    """Ids without a global sort: a hash of the ordering columns would do for uniqueness; for readable dense numbers the rank
-    within the whole table is taken, which Spark sorts in one task. Use it on deduplicated, narrow tables only."""
-    return numbered_id(prefix, F.row_number().over(Window.orderBy(*order)) - 1, width)
+    placed = numbered_rows(once.withColumn("word_count", ws_count("text")), ["ord", "parent_ctx_hash", "chunk_idx"], "_i")
+    return placed.withColumn("kb_id", numbered_id("kb", F.col("_i"), 7)).drop("ord", "_i")
 
 
 def multi_kb(ctx: DataFrame, c: Chunking = Chunking(), least_words: int = 5) -> DataFrame:
@@ -113,7 +118,7 @@ def multi_kb(ctx: DataFrame, c: Chunking = Chunking(), least_words: int = 5) ->
     once = first_by(rows, ["hash"], "ord", "parent_ctx_hash", "granularity", "pos")
     return once.select(
         "granularity", "parent_ctx_hash", F.when(F.col("granularity") == "coarse", F.col("pos")).alias("chunk_idx"), F.when(F.col("granularity") == "fine", F.col("pos")).alias("sent_idx"),
-        "source", "text", ws_count("text").alias("word_count"), "linked_sample_ids", "linked_actions", "linked_queries", "action_distribution",
+        "source", "text", ws_count("text").alias("word_count"), "action_distribution", "num_linked",
         F.concat(F.lit("mg_"), F.substring("hash", 1, 12)).alias("mg_id"),
     )
 

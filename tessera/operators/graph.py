@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.parse import is_numeric, plain_name
-from ..runtime import cut, drop
+from ..runtime import cut, cut_counted, drop, lookup
 from .gate import dot
 
 #: Words that name no entity. Fixed values.
@@ -135,19 +135,31 @@ def validate(edges: DataFrame, sims: DataFrame, c: GraphConfig = GraphConfig())
     return sem_scores(edges, sims, c).filter(F.col("sem_score") >= c.sem_threshold)
 
 
-def reinforce(edges: DataFrame, events: DataFrame, c: GraphConfig = GraphConfig()) -> DataFrame:
+def reinforce(edges: DataFrame, events: DataFrame, c: GraphConfig = GraphConfig(), ranges: int = 64) -> DataFrame:
     """Edges with weight and q_score after ``events`` (src, dst, action, ord): ANSWER and ASK raise the weight up to ``high``,
-    ABSTAIN lowers it down to ``low``, one after the other in the order of ord, as clamping makes order matter. An edge's events
-    are three kinds of step, so they are gathered as (ord, step) only."""
+    ABSTAIN lowers it down to ``low``, one after the other in the order of ord, as clamping makes order matter.
+
+    A clamped step is w -> min(h, max(l, w + d)), and so are two of them one after the other. So the steps of an edge are first
+    put together within ``ranges`` ranges of ord, and then those; no array holds all events of an edge that many have."""
     step = F.when(F.col("action") == "ANSWER", c.up_answer).when(F.col("action") == "ASK", c.up_ask).when(F.col("action") == "ABSTAIN", -c.down_abstain)
     gain = F.when(F.col("action") == "ANSWER", c.q_answer).when(F.col("action") == "ASK", c.q_ask).otherwise(0.0)
     per = events.withColumns({"_d": step, "_q": gain}).filter(F.col("_d").isNotNull())
-    g = per.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("ord", "_d"))).alias("_l"), F.round(F.sum("_q"), 6).alias("_q"))
-    clamp = lambda w, e: F.when(e["_d"] > 0, F.least(F.lit(c.high), w + e["_d"])).otherwise(F.greatest(F.lit(c.low), w + e["_d"]))
+    span = per.agg(F.min("ord").alias("_from"), (F.max("ord") - F.min("ord") + 1).alias("_span"))
+    inf = F.lit(float("inf"))
+    one = F.struct("ord", F.col("_d").alias("d"), F.when(F.col("_d") > 0, -inf).otherwise(c.low).alias("l"), F.when(F.col("_d") > 0, c.high).otherwise(inf).alias("h"))
+    per = per.crossJoin(F.broadcast(span)).select("src", "dst", "_q", F.floor((F.col("ord") - F.col("_from")) * ranges / F.col("_span")).alias("_r"), one.alias("_s"))
+    within = lambda a, l, h: F.least(h, F.greatest(l, a))
+    then = lambda a, b: F.struct((a["d"] + b["d"]).alias("d"), within(a["l"] + b["d"], b["l"], b["h"]).alias("l"), within(a["h"] + b["d"], b["l"], b["h"]).alias("h"))
+    nothing = F.struct(F.lit(0.0).alias("d"), (-inf).alias("l"), inf.alias("h"))
+    together = lambda steps: F.aggregate(steps, nothing, then)
+    part = per.groupBy("src", "dst", "_r").agg(F.array_sort(F.collect_list("_s")).alias("_l"), F.sum("_q").alias("_q")).select("src", "dst", "_r", "_q", together(F.col("_l")).alias("_s"))
+    g = part.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("_r", "_s.d", "_s.l", "_s.h"))).alias("_l"), F.round(F.sum("_q"), 6).alias("_q"))
+    g = g.select("src", "dst", "_q", together(F.col("_l")).alias("_s"))
     out = edges.join(g, ["src", "dst"], "left")
     q0 = F.coalesce(F.col("q_score"), F.lit(0.0)) if "q_score" in edges.columns else F.lit(0.0)
-    folded = F.aggregate(F.coalesce("_l", F.array().cast("array<struct<ord:bigint,_d:double>>")), F.col("weight").cast("double"), clamp)
-    return out.withColumns({"weight": F.round(folded, 6), "q_score": q0 + F.coalesce("_q", F.lit(0.0))}).drop("_l", "_q")
+    w = F.col("weight").cast("double")
+    moved = F.when(F.col("_s").isNull(), w).otherwise(within(w + F.col("_s.d"), F.col("_s.l"), F.col("_s.h")))
+    return out.withColumns({"weight": F.round(moved, 6), "q_score": q0 + F.coalesce("_q", F.lit(0.0))}).drop("_s", "_q")
 
 
 def final_weight(sem: Column, q: Column, cap: float = 1.0, term_cap: float | None = None) -> Column:
@@ -177,21 +189,21 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFra
     return reduce(DataFrame.unionByName, levels)
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 300, hot_rows: int = 200_000) -> DataFrame:
     """(node, component): weakly connected components, named by their least node. Each round a node takes the least label among
-    its neighbours' and that label's own label, so that labels run ahead along chains; rounds end when nothing changes."""
-    adj = cut(undirected(edges))
-    labels = cut(adj.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    its neighbours' and that label's own label, so that labels run ahead along chains; rounds end when nothing changes. Labels
+    of hubs, and of components that many nodes have, are looked up by broadcast; each round's table goes with the next."""
+    adj, n_edges = cut_counted(undirected(edges).select(F.col("src"), F.col("dst").alias("node")))
+    labels, n_nodes = cut_counted(adj.groupBy("src").agg(F.min("node").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
     for _ in range(most_rounds):
-        near = adj.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m"))
+        near = lookup(adj, "node", labels, hot_rows, n_edges).groupBy("src").agg(F.min("component").alias("m"))
         low = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("up"))
-        new = cut(low.join(jump, "c", "left").select("node", "old", F.least("c", F.coalesce("up", "c")).alias("component")))
-        changed = not new.filter("component <> old").isEmpty()
-        drop(labels)
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+        up = lookup(cut(low), "c", jump, hot_rows, n_nodes)
+        last, labels = labels, cut(up.select("node", F.least("c", F.coalesce("up", "c")).alias("component"), "old"))
+        drop(last)
+        if labels.filter("component <> old").isEmpty():
+            return labels.select("node", "component")
     raise RuntimeError("labels still change")
 
 

@@ -1,7 +1,7 @@
 """Four raw sources, each of another shape, as unified samples.
 
 Every builder is one select over the parsed source: unnesting by posexplode, look-ups inside a row by map, labels by CASE.
-Ordinals come from the position in the source, so ids don't depend on partitions.
+Ordinals come from the position in the source, by ranges of it, so ids don't depend on partitions.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schemas as S
 from ..functions.parse import numbered_id
 from ..functions.text import strip
+from ..runtime import numbered_rows
 
 
 @dataclass(frozen=True)
@@ -112,11 +112,6 @@ def _document(doc_id: Column, text: Column, url: Column | None = None, file_name
     return F.struct(doc_id.alias("doc_id"), text.alias("text"), null(url, "string").alias("url"), null(file_name, "string").alias("file_name"), null(spans, "array<string>").alias("spans"))
 
 
-def _ordinal(*order: str) -> Column:
-    """0-based position; the window has one partition because the source's order is one order. Sources are curated files."""
-    return F.row_number().over(Window.orderBy(*order)) - 1
-
-
 def dialogues(raw: DataFrame, replies: Replies = Replies()) -> DataFrame:
     """Articles -> paragraphs -> questions, one sample a question. A missing follow-up flag is "n", no answer is NO_ANSWER."""
     q = (
@@ -125,8 +120,8 @@ def dialogues(raw: DataFrame, replies: Replies = Replies()) -> DataFrame:
         .select("a", "p", F.col("para.context").alias("ctx"), F.coalesce("para.id", F.md5(F.coalesce("para.context", F.lit("")))).alias("did"), F.posexplode("para.qas").alias("k", "qa"))
         .withColumn("answer", F.coalesce(F.get("qa.answers", F.lit(0))["text"], F.lit(NO_ANSWER)))
         .withColumn("followup", F.coalesce("qa.followup", F.lit("n")))
-        .withColumn("n", _ordinal("a", "p", "k"))
     )
+    q = numbered_rows(q, ["a", "p", "k"], "n")
     action = label_of_dialogue(F.col("answer"), F.col("followup"))
     missing = F.when(action == "ANSWER", 0).otherwise(1)
     response = F.when(action == "ABSTAIN", replies.cannot).when(action == "ASK", replies.more).otherwise(F.col("answer"))
@@ -140,7 +135,8 @@ def dialogues(raw: DataFrame, replies: Replies = Replies()) -> DataFrame:
 def conditional(raw: DataFrame, replies: Replies = Replies(), order: str = "utterance_id") -> DataFrame:
     """One sample a row; a non-blank scenario is appended to the snippet; evidence questions are what is missing."""
     none = F.array().cast("array<struct<follow_up_question:string,follow_up_answer:string>>")
-    r = raw.withColumns({"ev": F.coalesce("evidence", none), "hi": F.coalesce("history", none), "sc": strip(F.coalesce("scenario", F.lit(""))), "n": _ordinal(order)})
+    r = raw.withColumns({"ev": F.coalesce("evidence", none), "hi": F.coalesce("history", none), "sc": strip(F.coalesce("scenario", F.lit("")))})
+    r = numbered_rows(r, [order], "n")
     action = label_of_conditional(F.col("answer"))
     asked = F.transform("ev", lambda e: e["follow_up_question"])
     missing = F.when(action == "ASK", F.size("ev")).when(action == "ABSTAIN", 1).otherwise(0)
@@ -157,7 +153,7 @@ def multi_hop(raw: DataFrame, order: str = "question") -> DataFrame:
     """One ANSWER a row, its documents the supporting sentences; an unknown level is medium."""
     docs = supporting(F.col("supporting_facts.title"), F.col("supporting_facts.sent_id"), F.col("context.title"), F.col("context.sentences"))
     return _unified(
-        raw.withColumn("n", _ordinal(order)), "hotpot", F.col("n"), "hotpotqa", query=F.col("question"), documents=F.transform(docs, lambda d: _document(d["doc_id"], d["text"])),
+        numbered_rows(raw, [order], "n"), "hotpot", F.col("n"), "hotpotqa", query=F.col("question"), documents=F.transform(docs, lambda d: _document(d["doc_id"], d["text"])),
         action=F.lit("ANSWER"), response=F.col("answer"), num_missing=F.lit(0), hardness=F.when(F.col("level").isin("easy", "medium", "hard"), F.col("level")).otherwise("medium"),
         mode=F.lit("COMPLETE"), requires_reasoning=F.coalesce(F.col("type") == "bridge", F.lit(False)), question_type=F.coalesce("type", F.lit("")),
         level=F.coalesce("level", F.lit("")), num_supporting_facts=F.size("supporting_facts.title"),
@@ -170,10 +166,10 @@ def contracts(raw: DataFrame, replies: Replies = Replies()) -> DataFrame:
         raw.select("labels", F.posexplode("documents").alias("d", "doc"))
         .select("labels", "d", "doc", F.posexplode("doc.annotation_sets").alias("s", "aset"))
         .select("labels", "d", "doc", "s", F.explode("aset.annotations").alias("label_id", "ann"))
-        .withColumn("n", _ordinal("d", "s", "label_id"))
         .withColumn("short", F.element_at("labels", F.col("label_id"))["short_description"])
         .withColumn("hyp", F.element_at("labels", F.col("label_id"))["hypothesis"])
     )
+    a = numbered_rows(a.drop("labels"), ["d", "s", "label_id"], "n")
     choice = F.col("ann.choice")
     action = label_of_contract(choice)
     missing, hops = F.when(action == "ANSWER", 0).otherwise(1), F.size("ann.spans")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -97,11 +98,51 @@ def idf_of(freq: DataFrame, n_docs: int, p: Bm25 = Bm25()) -> DataFrame:
     return raw.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean")))).select("term", "df", F.when(F.col("raw") < 0, p.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_top_k(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, p: Bm25 = Bm25(), block: int = 2048) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best ``k`` documents of each query, as ``bm25_scores`` scores them; ties by doc_id.
+class _Best:
+    """The best ``k`` documents of each query so far by score of six digits, of equal ones those with the least ids; fed by batches."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.doc = k, np.full((queries, 0), -np.inf), None
+
+    def add(self, score: np.ndarray, doc: np.ndarray) -> None:
+        """``score``: a row per query, a column per document of ``doc``; -inf where there is no hit."""
+        docs = np.broadcast_to(doc, score.shape)
+        both = np.concatenate((self.score, score), axis=1)
+        ids = docs if self.doc is None else np.concatenate((self.doc, docs), axis=1)
+        down = -np.round(both, 6)
+        if both.shape[1] > self.k:  # no more than the k greatest and what ties with the least of them need be sorted
+            least = np.partition(down, self.k - 1, axis=1)[:, self.k - 1]
+            width = max(self.k, int(((down <= least[:, None]) & (down < np.inf)).sum(axis=1).max()))
+            some = np.argpartition(down, min(width, both.shape[1]) - 1, axis=1)[:, :width]
+            both, ids, down = (np.take_along_axis(x, some, 1) for x in (both, ids, down))
+        order = np.lexsort((ids, down))[:, : self.k] if both.shape[1] else np.zeros(both.shape, int)
+        self.score, self.doc = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+
+    def rows(self, names: list) -> pd.DataFrame:
+        if self.doc is None:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        q, c = np.nonzero(self.score > -np.inf)
+        return pd.DataFrame({"query_id": np.array(names, object)[q], "doc_id": self.doc[q, c], "score": self.score[q, c]})
+
+
+def _in_blocks(rows: DataFrame, block: int, hits: Callable[[list], DataFrame]) -> DataFrame:
+    """The union of ``hits`` of ``rows``, ``block`` at a time. The driver holds one block; what all but the last give is stored."""
+    stored, part = [], []
+    for r in rows.toLocalIterator():
+        if len(part) == block:
+            stored.append(cut(hits(part)))
+            part = []
+        part.append(r)
+    return reduce(DataFrame.unionByName, [*stored, hits(part)])
+
+
+def bm25_pool(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, pairs: DataFrame | None = None, p: Bm25 = Bm25(), block: int = 2048) -> DataFrame:
+    """(query_id, doc_id, score): the best ``k`` documents of each query, as ``bm25_scores`` scores them, ties by doc_id, and those
+    of ``pairs`` (query_id, doc_id; some ``k`` a query) that share a term with their query.
 
     Two passes over the corpus, neither of which shuffles its words: one for document frequencies, one that scores batches of
-    documents against a block of queries and keeps each batch's best ``k``. Blocks have a bounded number of queries.
+    documents against a block of queries, of which each task keeps its best ``k``. Blocks have a bounded number of queries, and
+    so of terms and of ``pairs``.
     """
     freq = cut(frequencies(docs, text))
     total = freq.filter(F.col("term").isNull()).select("df", "words").collect()
@@ -109,32 +150,34 @@ def bm25_top_k(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, quer
     q = queries.select(F.col(query_id).alias("q"), F.col(query).alias("t")).filter(F.col("t").isNotNull())
     source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     kinds = dict(q.dtypes)["q"], dict(source.dtypes)["d"]
-    adl = words / n if n else 1.0
-    terms_of = idf_of(freq, max(n, 1), p).join(F.broadcast(q.select(F.explode(lower_words("t")).alias("term")).distinct()), "term")
-    weight = {r.term: r.idf for r in terms_of.select("term", "idf").toLocalIterator()}
-    blocks, rows = [], []
-    for r in q.toLocalIterator():
-        rows.append((r.q, Counter(_lower_words(r.t))))
-        if len(rows) == block:
-            blocks.append(rows)
-            rows = []
-    out = None
-    for part in [*blocks, rows]:
+    spark, adl, weights = docs.sparkSession, words / n if n else 1.0, idf_of(freq, max(n, 1), p)
+
+    def hits(rows: list) -> DataFrame:
+        counts = [Counter(_lower_words(r.t)) for r in rows]
+        asked = spark.createDataFrame([(w,) for w in sorted(set().union(*counts))], "term string")
+        weight = {r.term: r.idf for r in weights.join(F.broadcast(asked), "term").select("term", "idf").collect()}
         by: dict[str, tuple[list[int], list[float]]] = {}
-        for i, (_, c) in enumerate(part):
+        for i, c in enumerate(counts):
             for w, m in c.items():
                 if w in weight:
                     at, val = by.setdefault(w, ([], []))
                     at.append(i)
                     val.append(m * weight[w] * (p.k1 + 1))
-        sent = docs.sparkSession.sparkContext.broadcast(([i for i, _ in part], {w: (np.array(a), np.array(v)) for w, (a, v) in by.items()}))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, by = sent.value
+        wanted: dict = {}
+        if pairs is not None:
+            number = {r.q: i for i, r in enumerate(rows)}
+            ids = F.broadcast(spark.createDataFrame([(r.q,) for r in rows], f"query_id {kinds[0]}"))
+            for r in pairs.join(ids, "query_id").select("query_id", "doc_id").collect():
+                wanted.setdefault(r.doc_id, []).append(number[r.query_id])
+        sent = spark.sparkContext.broadcast(([r.q for r in rows], {w: (np.array(a), np.array(v)) for w, (a, v) in by.items()}, wanted))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, by, wanted = sent.value
+            best = _Best(len(names), k)
             for pdf in batches:
-                for a in range(0, len(pdf) if ids else 0, 1000):
-                    some = pdf.iloc[a : a + 1000].sort_values("d", kind="stable")
-                    score, hit = np.zeros((len(some), len(ids))), np.zeros((len(some), len(ids)), bool)
+                for a in range(0, len(pdf) if names else 0, 1000):
+                    some = pdf.iloc[a : a + 1000]
+                    score, hit = np.zeros((len(some), len(names))), np.zeros((len(some), len(names)), bool)
                     for j, t in enumerate(some["t"]):
                         w = _lower_words(t)
                         norm = p.k1 * (1 - p.b + p.b * len(w) / adl)
@@ -142,15 +185,21 @@ def bm25_top_k(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, quer
                             at, val = by[term]
                             score[j, at] += val * (tf / (tf + norm))
                             hit[j, at] = True
-                    keep = np.where(hit, np.round(score, 6), -np.inf)
-                    top = np.argsort(-keep, axis=0, kind="stable")[:k]
-                    doc, qi = top.ravel(), np.tile(np.arange(len(ids)), len(top))
-                    ok = hit[doc, qi]
-                    yield pd.DataFrame({"query_id": np.array(ids, object)[qi[ok]], "doc_id": some["d"].to_numpy()[doc[ok]], "score": score[doc[ok], qi[ok]]})
+                    score = np.where(hit, score, -np.inf)
+                    best.add(score.T, some["d"].to_numpy())
+                    if wanted:
+                        own = [(i, j) for j, d in enumerate(some["d"].tolist()) for i in wanted.get(d, ()) if hit[j, i]]
+                        yield pd.DataFrame({"query_id": [names[i] for i, _ in own], "doc_id": [some["d"].iloc[j] for _, j in own], "score": [score[j, i] for i, j in own]})
+            yield best.rows(names)
+
+        return source.mapInPandas(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+    return _in_blocks(q, block, hits)
+
 
-        hits = source.mapInPandas(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    return top_k(out, k)
+def bm25_top_k(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int, p: Bm25 = Bm25(), block: int = 2048) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best ``k`` documents of each query, as ``bm25_scores`` scores them; ties by doc_id."""
+    return top_k(bm25_pool(docs, doc_id, text, queries, query_id, query, k, None, p, block), k)
 
 
 def top_k(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -163,40 +212,31 @@ def dense_top_k(corpus: DataFrame, doc_id: str, vec: str, queries: DataFrame, qu
                 block: int = 4096) -> DataFrame:
     """(query_id, doc_id, score, rank): exact inner products; ties by doc_id.
 
-    The query set is a stated one, sent in blocks of ``block`` vectors; the corpus passes in Arrow batches and each batch
-    keeps k rows a query, of which the window merges those of all tasks. Null vectors match nothing.
+    The query set is a stated one, sent in blocks of ``block`` vectors; the corpus passes once a block, and each task keeps k rows
+    a query, of which the window merges those of all tasks. Null vectors match nothing.
     """
     q = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v"))
     source = corpus.filter(F.col(vec).isNotNull()).select(F.col(doc_id).alias("d"), F.col(vec).cast("array<double>").alias("v"))
     kinds = dict(q.dtypes)["q"], dict(source.dtypes)["d"]
-    blocks, rows = [], []
-    for r in q.toLocalIterator():
-        rows.append((r.q, r.v))
-        if len(rows) == block:
-            blocks.append(rows)
-            rows = []
-    out = None
-    for part in [*blocks, rows]:
-        sent = corpus.sparkSession.sparkContext.broadcast(([i for i, _ in part], np.array([v for _, v in part])))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, m = sent.value
+
+    def hits(rows: list) -> DataFrame:
+        sent = corpus.sparkSession.sparkContext.broadcast(([r.q for r in rows], np.array([r.v for r in rows])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, m = sent.value
+            best = _Best(len(names), k)
             for pdf in batches:
-                if not len(ids) or pdf.empty:
-                    continue
-                docs = pdf["d"].to_numpy()
-                s = np.round(m @ np.vstack(pdf["v"].to_numpy()).T, 6)
-                order = np.argsort(docs, kind="stable")
-                s, docs = s[:, order], docs[order]
-                top = np.argsort(-s, axis=1, kind="stable")[:, : k + exclude_self]
-                got = pd.DataFrame({"query_id": np.repeat(np.array(ids, object), top.shape[1]), "doc_id": docs[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
-                if exclude_self:
-                    got = got[got["query_id"] != got["doc_id"]]
-                yield got if least is None else got[got["score"] >= least]
-
-        hits = source.mapInPandas(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    return top_k(out, k)
+                for a in range(0, len(pdf) if names else 0, 5000):
+                    docs = pdf["d"].to_numpy()[a : a + 5000]
+                    s = np.round(m @ np.vstack(pdf["v"].to_numpy()[a : a + 5000]).T, 6)
+                    if exclude_self:
+                        s[np.array(names, object)[:, None] == docs.astype(object)[None, :]] = -np.inf
+                    best.add(s if least is None else np.where(s >= least, s, -np.inf), docs)
+            yield best.rows(names)
+
+        return source.mapInPandas(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+    return top_k(_in_blocks(q, block, hits), k)
 
 
 def source_filtered(hits: DataFrame, sources: DataFrame, wanted: Column, k: int) -> DataFrame:
@@ -206,9 +246,13 @@ def source_filtered(hits: DataFrame, sources: DataFrame, wanted: Column, k: int)
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, alpha: float = 0.5, pool: int = 200) -> DataFrame:
     """(query_id, doc_id, dense_score, bm25_score, fused_score, rank): of the best ``pool`` of either list, alpha * dense +
-    (1 - alpha) * bm25 / best bm25 of the query. A document outside dense's best has dense score 0, its bm25 score is real."""
+    (1 - alpha) * bm25 / best bm25 of the query. A document outside dense's best has dense score 0, its bm25 score is real.
+
+    ``sparse`` needs the best ``pool`` of each query and the scores of dense's pairs (``bm25_pool``), not all scores. A document's
+    granularity or source is filtered on the fused list, after pooling (``source_filtered``)."""
     d = top_k(dense.select("query_id", "doc_id", "score"), pool).select("query_id", "doc_id", F.col("score").alias("dense_score"))
     best = sparse.groupBy("query_id").agg(F.max("score").alias("best"))
+    sparse = sparse.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     s = top_k(sparse.select("query_id", "doc_id", "score"), pool).select("query_id", "doc_id", F.lit(1).alias("in_pool"))
     both = d.join(s, ["query_id", "doc_id"], "full").join(sparse.select("query_id", "doc_id", F.col("score").alias("bm25")), ["query_id", "doc_id"], "left").join(best, "query_id", "left")
     both = both.select("query_id", "doc_id", F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"), F.coalesce("bm25", F.lit(0.0)).alias("bm25_score"), "best")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import cut
+from ..runtime import cut, numbered_rows
 
 
 def shuffle_key(key: Column, seed: int = 42) -> Column:
@@ -102,8 +102,4 @@ def whole_prefix(groups: DataFrame, group: str, order: list[str], limit: int) ->
 
 def batches(df: DataFrame, order: list[str], size: int = 50) -> DataFrame:
     """Rows with batch_no, ``size`` rows each in ``order``; ranks run within ranges of the order plus what lies before."""
-    ranked = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    counts = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_before") - 1
-    return ranked.join(F.broadcast(before), "_p").withColumn("batch_no", F.floor(rank / size).cast("bigint")).drop("_p", "_before")
+    return numbered_rows(df, order, "_i").withColumn("batch_no", F.floor(F.col("_i") / size).cast("bigint")).drop("_i")

@@ -61,7 +61,8 @@ WITH {_CONTEXTS} SELECT h AS parent_ctx_hash, string_agg(id, '|' ORDER BY id) AS
   count(*) FILTER (action = 'ANSWER')::INTEGER AS answers, count(*) FILTER (action = 'ASK')::INTEGER AS asks FROM y GROUP BY 1""")
 def ctx_links(spark, d):
     """Contexts with the samples linked to them and their distribution of actions."""
-    c = _contexts(spark, d)
+    s = samples(spark, d).withColumn("ctx", context_text_of("docs"))
+    c = C.with_links(_contexts(spark, d), C.context_links(s, F.col("ctx"), F.col("id")))
     n = lambda a: F.coalesce(F.try_element_at("action_distribution", F.lit(a)), F.lit(0))
     return c.select(
         "parent_ctx_hash", F.array_join("linked_sample_ids", "|").alias("ids"), F.array_join("linked_actions", "|", "").alias("actions"), "num_linked", n("ANSWER").alias("answers"), n("ASK").alias("asks")
@@ -215,8 +216,8 @@ def hybrid_top5(spark, d):
     are often ties of the last digit shown, so all are lifted a little before they are rounded."""
     e, items = table(spark, d, "embeddings"), table(spark, d, "eval_items")
     known = items.join(e.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
-    dense = R.dense_top_k(e, "vec_id", "embedding", known, "item_id", "embedding", 200)
-    sparse = cut(R.bm25_scores(table(spark, d, "documents"), "doc_id", "text", known, "item_id", "query"))
+    dense = cut(R.dense_top_k(e, "vec_id", "embedding", known, "item_id", "embedding", 200))
+    sparse = cut(R.bm25_pool(table(spark, d, "documents"), "doc_id", "text", known, "item_id", "query", 200, dense.select("query_id", "doc_id")))
     return R.fuse(dense, sparse, 5).select("query_id", "doc_id", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("dense_score", "bm25_score", "fused_score")))
 
 

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,12 +88,14 @@ def broadcast_if_small(df: DataFrame, limit_rows: int) -> DataFrame:
 def lookup(left: DataFrame, key: str, right: DataFrame, hot_rows: int = 200_000, rows: int | None = None) -> DataFrame:
     """Left join on ``key``, of which ``right`` has at most one row per value, without gathering a hot key in one task.
 
-    The keys of more than ``hot_rows`` rows of ``left`` (there are at most rows / hot_rows of them, found by a count that is
-    combined before its shuffle) take their row of ``right`` by broadcast; only the others are shuffled. Null keys match
-    nothing. ``left`` should be cheap to read again. ``rows`` is a known bound of its rows;
+    The keys of more than ``hot_rows`` rows of ``left``, and of more than a 4,096th of all rows, take their row of ``right`` by
+    broadcast; there are fewer than 4,096 of them, found by a count that is combined before its shuffle. Only the others are
+    shuffled, of which none fills more than that share of a task's work. Null keys match nothing. ``left`` should be cheap to read again. ``rows`` is a known bound of its rows;
     without it they are counted first, as no key of a small table can be hot.
     """
-    if (left.count() if rows is None else rows) <= hot_rows:
+    rows = left.count() if rows is None else rows
+    hot_rows = max(hot_rows, rows // 4096)
+    if rows <= hot_rows:
         return left.join(right, key, "left")
     hot = left.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
     values = [r[0] for r in hot.collect()]
@@ -103,8 +106,20 @@ def lookup(left: DataFrame, key: str, right: DataFrame, hot_rows: int = 200_000,
     return left.join(known, key).unionByName(left.join(few, key, "left_anti").join(right, key, "left"))
 
 
-def widened(df: DataFrame) -> DataFrame:
-    """A scanned table over as many partitions as there are cores. A file of one row group is one task, however many cores
-    wait; a table of fewer splits than cores is small, so moving it costs little. Larger tables stay as they were read."""
+def widened(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
+    """A scanned table of at most ``most_bytes`` over as many partitions as there are cores, as a file of one row group is one
+    task, however many cores wait. Larger tables stay as they were read, whatever the size of the cluster."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > most_bytes:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def numbered_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df``, stored, with ``name``, each row's place in ``order`` from 0 without gaps. Ranges of the order are ranked apart, and
+    only their sizes meet in one task."""
+    ranked = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_before") - 1
+    return ranked.join(F.broadcast(before), "_p").withColumn(name, place).drop("_p", "_before")
