@@ -87,6 +87,9 @@ def text_conflict(rows: DataFrame, key: str, texts: str, embed, most: int = 4) -
     return rows.join(c, key, "left").withColumn("con", F.coalesce("con", F.lit(0.0)))
 
 
+# The actions' reasons and the thresholds above are fixed values.
+
+
 def _ladder(*rules: tuple[Column, str, str]) -> Column:
     out = None
     for when, action, reason in rules:

@@ -21,6 +21,18 @@ STOP_NAMES = (
     "he she it they his her its their him them this that these those i we you who which what where when how by the a an was were been being "
     "have has had do does did will would could should may might shall can need dare ought"
 ).split()
+#: Phrases that name nothing in particular. Fixed values.
+GENERIC_NAMES = (
+    "the season", "the year", "the time", "the game", "the team", "the show", "the film", "one", "two", "three", "the series", "the episode", "the album", "the song", "the book",
+)
+#: Types of entities that become nodes. Fixed values.
+NAMED_TYPES = ("PERSON", "ORG", "GPE", "LOC", "WORK_OF_ART", "EVENT", "LAW", "PRODUCT", "NORP", "FAC", "LANGUAGE")
+#: Verbs that make no relation outside multi-hop sources. Fixed values.
+WEAK_VERBS = (
+    "be have do get make go come say know think see look want give use find tell ask seem feel try leave call keep let put become show"
+).split()
+#: Sources whose chunks are linked by paths. Fixed value.
+MULTI_HOP = ("hotpotqa",)
 #: Categories of entity types. Fixed values.
 CATEGORY = {
     "PERSON": "Person", "ORG": "Organization", "GPE": "Location", "LOC": "Location", "FAC": "Location", "WORK_OF_ART": "Work", "LAW": "Work", "PRODUCT": "Work",
@@ -47,8 +59,14 @@ class GraphConfig:
 
 
 def valid_name(n: Column) -> Column:
-    """At least three characters, no stop word, not all digits and marks."""
-    return F.coalesce((F.char_length(n) >= 3) & ~F.lower(n).isin(*STOP_NAMES) & ~is_numeric(n), F.lit(False))
+    """At least three characters, no stop word, no generic phrase, not all digits and marks."""
+    return F.coalesce((F.char_length(n) >= 3) & ~F.lower(n).isin(*STOP_NAMES, *GENERIC_NAMES) & ~is_numeric(n), F.lit(False))
+
+
+def is_weak(verb: Column) -> Column:
+    """A weak verb, in its base form or with an ending in s or ed."""
+    v = F.lower(verb)
+    return v.isin(*WEAK_VERBS) | F.regexp_replace(v, "(s|es|d|ed)$", "").isin(*WEAK_VERBS) | F.regexp_replace(v, "(es|ed)$", "").isin(*WEAK_VERBS)
 
 
 def category(ent_type: Column) -> Column:
@@ -86,6 +104,13 @@ def cooccurrence(m: DataFrame, block: int = 64) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
+def chunk_triples(triples: DataFrame, most: int = GraphConfig.max_triples) -> DataFrame:
+    """(kb_id, rank, s, r, o): of each chunk its first ``most`` distinct triples. Copies are dropped, and the limit applied, before
+    the shuffle."""
+    once = triples.groupBy("kb_id", "s", "r", "o").agg(F.min("ord").alias("ord"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("kb_id").orderBy("ord", "s", "r", "o"))).filter(F.col("rank") <= most).select("kb_id", "rank", "s", "r", "o")
+
+
 def upsert_edges(triples: DataFrame) -> DataFrame:
     """Edges of triples (s, r, o, conf, source, kb_id, ord): of one ordered pair, the first relation, the greatest weight, the
     number of triples, and the distinct sources and chunks. Loops are dropped."""
@@ -96,6 +121,60 @@ def upsert_edges(triples: DataFrame) -> DataFrame:
     )
 
 
+def bridges(m: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kb_id, node, pos): the mentions (kb_id, node, pos) of a chunk that are ``nodes`` (node) of the graph, numbered anew from 0.
+    Made again after nodes were removed, it leaves these out."""
+    kept = m.join(nodes.select("node").distinct(), "node", "left_semi")
+    return kept.select("kb_id", "node", (F.row_number().over(Window.partitionBy("kb_id").orderBy("pos", "node")) - 1).alias("pos"))
+
+
+def pair_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFrame:
+    """(a, b, path) for ``pairs`` (a, b) within ``hops`` (1 to 3) on the undirected graph, of shortest paths the smallest. Only
+    the surroundings of the pairs' ends are walked, from both, and pairs joined by a short path aren't looked for again."""
+    adj = cut(undirected(edges))
+    out, left = [], cut(pairs.select("a", "b").filter("a <> b").distinct())
+    for d in range(1, hops + 1):
+        step = left.join(adj.select(F.col("src").alias("a"), F.col("dst").alias("x")), "a")
+        if d == 1:
+            met = step.filter("x = b").select("a", "b", F.array("a", "b").alias("path"))
+        elif d == 2:
+            met = step.join(adj.select(F.col("src").alias("x"), F.col("dst").alias("b")), ["x", "b"]).select("a", "b", F.array("a", "x", "b").alias("path"))
+        else:
+            ends = adj.select(F.col("src").alias("y"), F.col("dst").alias("b"))
+            met = step.join(adj.select(F.col("src").alias("x"), F.col("dst").alias("y")), "x").join(ends, ["y", "b"]).select("a", "b", F.array("a", "x", "y", "b").alias("path"))
+        out.append(cut(met.groupBy("a", "b").agg(F.min("path").alias("path"))))
+        left = left.join(out[-1], ["a", "b"], "left_anti")
+    return reduce(DataFrame.unionByName, out)
+
+
+def chunk_paths(b: DataFrame, edges: DataFrame, hops: int = 3, first: int = 3, upto: int = 4) -> DataFrame:
+    """(kb_id, path): for each chunk of ``b`` (kb_id, node, pos) the path of the first pair of its nodes, in their order, that has
+    one; of each chunk the ``first`` nodes are paired with those before place ``upto``."""
+    i, j = b.filter(F.col("pos") < first).select("kb_id", F.col("node").alias("a"), F.col("pos").alias("i")), b.filter(F.col("pos") < upto).select("kb_id", F.col("node").alias("b"), F.col("pos").alias("j"))
+    pairs = cut(i.join(j, "kb_id").filter("i < j"))
+    return pairs.join(pair_paths(edges, pairs, hops), ["a", "b"]).groupBy("kb_id").agg(F.min_by("path", F.struct("i", "j")).alias("path"))
+
+
+def path_events(b: DataFrame, sources: DataFrame, edges: DataFrame, links: DataFrame, multi_hop: tuple[str, ...] = MULTI_HOP) -> tuple[DataFrame, DataFrame]:
+    """(events, lacking): what linked samples (links: kb_id, action, ord) say about edges, as (src, dst, action, ord), and the
+    nodes (node) that ABSTAIN samples found no information at.
+
+    A chunk of a multi-hop source (sources: kb_id, source) with two nodes or more speaks of both directions of each step of
+    its path, if it has one; any other chunk of the edges it gave. Without a path, or outside these sources, an ABSTAIN marks the
+    chunk's first node.
+    """
+    n = b.groupBy("kb_id").agg(F.count("*").alias("n"), F.min_by("node", "pos").alias("first"))
+    k = cut(n.join(sources.select("kb_id", F.col("source").isin(*multi_hop).alias("hop")), "kb_id").select("kb_id", "first", (F.coalesce("hop", F.lit(False)) & (F.col("n") > 1)).alias("walks")))
+    paths = cut(chunk_paths(b.join(k.filter("walks").select("kb_id"), "kb_id", "left_semi"), edges))
+    ends = lambda p, q: F.struct(p.alias("src"), q.alias("dst"))
+    steps = F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.array(ends(F.get("path", i), F.get("path", i + 1)), ends(F.get("path", i + 1), F.get("path", i))))
+    walked = paths.select("kb_id", F.inline(F.flatten(steps)))
+    own = edges.select("src", "dst", F.explode("kb_ids").alias("kb_id")).join(k.filter("NOT walks").select("kb_id"), "kb_id").select("kb_id", "src", "dst")
+    events = walked.unionByName(own).join(links, "kb_id").select("src", "dst", "action", "ord")
+    lost = k.join(paths.select("kb_id"), "kb_id", "left_anti").join(links.filter("action = 'ABSTAIN'"), "kb_id")
+    return events, lost.select(F.col("first").alias("node")).distinct()
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
@@ -289,6 +368,17 @@ def reanchor(edges: DataFrame, bad: DataFrame, best: DataFrame, c: GraphConfig =
     return kept.unionByName(new, allowMissingColumns=True), removed
 
 
+def weight_stats(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """One row: mean, median, deviation of a sample, least and greatest weight."""
+    w = F.col(weight)
+    return edges.agg(F.round(F.avg(w), 4).alias("mean"), F.round(F.percentile(w, 0.5), 4).alias("median"), F.round(F.stddev_samp(w), 4).alias("std"), F.min(w).alias("least"), F.max(w).alias("most"))
+
+
+def component_sizes(labels: DataFrame) -> DataFrame:
+    """One row: number of components and nodes of the largest, from (node, component)."""
+    return labels.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, placeholders, edges, mean, least and greatest weight, share of weak relations."""
     n = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("node_id").startswith("?var_")).alias("placeholders"))

@@ -52,13 +52,35 @@ def longest_words(text: Column, k: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(F.transform(w, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x")))), 1, k), lambda s: s["x"])
 
 
+VERB_PATTERN = r"([A-Z][a-z]{2,}) ([a-z]+(?:s|ed)) (?:(in|on|at|of|to|from|by|with|for) )?(?:[a-z]+ ){0,4}([A-Z][a-z]{2,})"
+
+
+def rule_type(name: Column) -> Column:
+    """An entity's type by the ending of its name; a stand-in for a recogniser."""
+    n, out = F.lower(name), F.lit("PERSON")
+    for ends, kind in ENDINGS:
+        out = F.when(F.regexp_like(n, F.lit(f"({ends})$")), kind).otherwise(out)
+    return out
+
+
+#: Endings of names and the types they stand for, the last that fits counts.
+ENDINGS = (("ung|heit|keit|tion|ment|ity", "CARDINAL"), ("land|stadt|burg|ville|ton|feld", "GPE"), ("corp|holdings|gmbh|bank|werke|company", "ORG"), ("ish|isch|ais", "LANGUAGE"))
+
+
 def verb_triples(text: Column) -> Column:
     """ARRAY<STRUCT<s, r, o, conf>>: a capitalised word, a lower-case word ending like a verb, and up to four words on the next
-    capitalised word; a stand-in for a parser."""
-    pattern = r"([A-Z][a-z]{2,}) ([a-z]+(?:s|ed)) (?:[a-z]+ ){0,4}([A-Z][a-z]{2,})"
-    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    part = lambda h, i: F.regexp_extract(h, pattern, i)
-    return F.transform(hits, lambda h: F.struct(F.lower(part(h, 1)).alias("s"), part(h, 2).alias("r"), F.lower(part(h, 3)).alias("o"), F.lit(0.8).alias("conf")))
+    capitalised word; a stand-in for a parser. A preposition after the verb becomes part of the relation, which then counts less."""
+    hits = F.regexp_extract_all(text, F.lit(VERB_PATTERN), 0)
+    part = lambda h, i: F.regexp_extract(h, VERB_PATTERN, i)
+
+    def triple(h: Column) -> Column:
+        prep = part(h, 3)
+        return F.struct(
+            F.lower(part(h, 1)).alias("s"), F.when(prep == "", part(h, 2)).otherwise(F.concat(part(h, 2), F.lit("_"), prep)).alias("r"), F.lower(part(h, 4)).alias("o"),
+            F.when(prep == "", 0.8).otherwise(0.7).alias("conf"),
+        )
+
+    return F.transform(hits, triple)
 
 
 def rule_planner(triples: Column, missing: Column) -> Column:

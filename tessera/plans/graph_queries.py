@@ -9,7 +9,8 @@ from ..functions import parse as P
 from ..functions import text as X
 from ..operators import ftset as B
 from ..operators import graph as G
-from ..operators.providers import Providers, rule_planner
+from ..operators import grounding as N
+from ..operators.providers import ENDINGS, VERB_PATTERN, Providers, rule_planner, rule_type
 from ..operators.similarity import similar_hubs
 from ..runtime import cut
 from . import pipeline
@@ -18,7 +19,7 @@ from .registry import S_SAMPLES, query, s_action, s_key, s_split, s_strip, s_vec
 # ---------------------------------------------------------------- build
 
 #: Names of a chunk: capitalised words of four letters or more, valid, distinct, by first appearance.
-_STOP = ", ".join(f"'{w}'" for w in G.STOP_NAMES)
+_STOP = ", ".join(f"'{w}'" for w in (*G.STOP_NAMES, *G.GENERIC_NAMES))
 _NAMES = f"""
 n AS (SELECT kb_id, {s_key("source")} AS source, list_filter(list_transform(regexp_extract_all(text, '[A-Z][a-z]{{3,}}'), lambda w: lower(w)), lambda w: w NOT IN ({_STOP})) AS w, linked_actions, linked_queries, linked_sample_ids FROM kb),
 m AS (SELECT kb_id, source, node, (row_number() OVER (PARTITION BY kb_id ORDER BY pos) - 1)::INTEGER AS pos FROM (SELECT kb_id, source, node, min(pos) AS pos FROM (SELECT kb_id, source, unnest(w) AS node, unnest(range(1, len(w) + 1)) AS pos FROM n) GROUP BY ALL))"""
@@ -109,6 +110,116 @@ def kg_reinforce(spark, d):
     return r.select("src", "dst", "weight", "q_score", G.final_weight(sem, F.col("q_score")).alias("final_weight"), G.final_weight(sem, F.col("q_score"), 0.95, 0.95).alias("capped_weight"))
 
 
+@query(f"""WITH {_TR}, o AS (SELECT kb_id, s, r, o, min(ord) AS ord FROM tr GROUP BY ALL)
+SELECT kb_id, (row_number() OVER (PARTITION BY kb_id ORDER BY ord, s, r, o))::INTEGER AS rank, s || ' | ' || r || ' | ' || o AS triple FROM o QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY ord, s, r, o) <= 15""")
+def kg_chunk_triples(spark, d):
+    """The first 15 distinct triples of each chunk."""
+    return G.chunk_triples(_triples(spark, d)).select("kb_id", "rank", F.concat_ws(" | ", "s", "r", "o").alias("triple"))
+
+
+_ENDS = "CASE " + " ".join(f"WHEN regexp_matches(node, '({e})$') THEN '{t}'" for e, t in reversed(ENDINGS)) + " ELSE 'PERSON' END"
+_CAT = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.CATEGORY.items()) + " ELSE 'Concept' END"
+
+
+@query(f"WITH {_NAMES}, t AS (SELECT node, {_ENDS} AS type, count(*) AS chunks FROM m GROUP BY ALL) SELECT node, type, {_CAT} AS category, chunks FROM t WHERE type IN ({', '.join(repr(x) for x in G.NAMED_TYPES)})")
+def kg_typed_nodes(spark, d):
+    """Names whose type makes a node, with their category; types by the endings of names."""
+    t = _mentions(spark, d).groupBy("node").agg(F.count("*").alias("chunks")).withColumn("type", rule_type(F.col("node")))
+    return t.filter(F.col("type").isin(*G.NAMED_TYPES)).select("node", "type", G.category(F.col("type")).alias("category"), "chunks")
+
+
+_WEAK = ", ".join(f"'{v}'" for v in G.WEAK_VERBS)
+
+
+@query(f"""WITH h AS (SELECT kb_id, {s_key("source")} IN ('hotpotqa') AS hop, unnest(regexp_extract_all(coalesce(text, ''), '{VERB_PATTERN}')) AS h FROM kb),
+p AS (SELECT kb_id, hop, lower(regexp_extract(h, '{VERB_PATTERN}', 1)) AS s, regexp_extract(h, '{VERB_PATTERN}', 2) AS v, regexp_extract(h, '{VERB_PATTERN}', 3) AS prep, lower(regexp_extract(h, '{VERB_PATTERN}', 4)) AS o FROM h)
+SELECT s, CASE WHEN prep = '' THEN v ELSE v || '_' || prep END AS r, o, CASE WHEN prep = '' THEN 0.8 ELSE 0.7 END::DOUBLE AS conf, count(*) AS n FROM p
+WHERE coalesce(hop, false) OR NOT (v IN ({_WEAK}) OR regexp_replace(v, '(s|es|d|ed)$', '') IN ({_WEAK}) OR regexp_replace(v, '(es|ed)$', '') IN ({_WEAK})) GROUP BY ALL""")
+def kg_verb_triples(spark, d):
+    """Verb triples of all chunks; weak verbs count in multi-hop sources only."""
+    k = table(spark, d, "kb").filter("text IS NOT NULL").select(X.key("source").alias("source"), "kb_id", "text")
+    t = pipeline.chunk_verbs(k, Providers()).groupBy("s", "r", "o", "conf").agg(F.count("*").alias("n"))
+    return t.select("s", "r", "o", "conf", "n")
+
+
+#: Nodes of chunks (br: kb_id, source, node, pos), the pairs looked at (pp) and the first path of each multi-hop chunk (cp).
+_CP = f"""{_UP}, {_NAMES}, u AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
+br AS (SELECT kb_id, source, node, row_number() OVER (PARTITION BY kb_id ORDER BY pos, node) - 1 AS pos FROM m WHERE node IN (SELECT src FROM u)),
+wk AS (SELECT kb_id, any_value(source) = 'hotpotqa' AND count(*) > 1 AS walks, min_by(node, pos) AS first FROM br GROUP BY 1),
+pp AS (SELECT a.kb_id, a.node AS a, b.node AS b, a.pos AS i, b.pos AS j FROM br a JOIN br b ON a.kb_id = b.kb_id AND a.pos < b.pos WHERE a.pos < 3 AND b.pos < 4 AND a.kb_id IN (SELECT kb_id FROM wk WHERE walks)),
+w AS (SELECT DISTINCT a, b, [a, b] AS path FROM pp JOIN u ON u.src = a AND u.dst = b
+  UNION ALL SELECT DISTINCT a, b, [a, x.dst, b] FROM pp JOIN u x ON x.src = a JOIN u y ON y.src = x.dst AND y.dst = b
+  UNION ALL SELECT DISTINCT a, b, [a, x.dst, y.dst, b] FROM pp JOIN u x ON x.src = a JOIN u y ON y.src = x.dst JOIN u z ON z.src = y.dst AND z.dst = b),
+bp AS (SELECT a, b, path FROM w QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1),
+cp AS (SELECT kb_id, path FROM pp JOIN bp USING (a, b) QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY i, j) = 1)"""
+
+
+def _bridges(spark, d, e):
+    return cut(G.bridges(_mentions(spark, d), G.endpoints(e)))
+
+
+def _links(spark, d):
+    k = table(spark, d, "kb").select("kb_id", F.posexplode("linked_actions").alias("i", "action"))
+    return k.select("kb_id", "action", (F.regexp_extract("kb_id", r"(\d+)$", 1).cast("bigint") * 100_000 + F.col("i")).alias("ord"))
+
+
+def _path_events(spark, d, e):
+    sources = table(spark, d, "kb").select("kb_id", X.key("source").alias("source"))
+    return G.path_events(_bridges(spark, d, e), sources, e, _links(spark, d))
+
+
+@query(f"WITH {_CP} SELECT kb_id, array_to_string(path, '>') AS path FROM cp")
+def kg_chunk_paths(spark, d):
+    """The first path within three steps between the leading nodes of each multi-hop chunk."""
+    e = cut(G.upsert_edges(_triples(spark, d)))
+    hops = table(spark, d, "kb").filter(X.key("source").isin(*G.MULTI_HOP)).select("kb_id")
+    return G.chunk_paths(_bridges(spark, d, e).join(hops, "kb_id", "left_semi"), e).select("kb_id", F.array_join("path", ">").alias("path"))
+
+
+_STEPS = """stp AS (SELECT kb_id, unnest(list_transform(range(1, len(path)), lambda i: {'src': path[i], 'dst': path[i + 1]}), recursive := true) FROM cp),
+sp AS (SELECT kb_id, src, dst FROM stp UNION ALL SELECT kb_id, dst, src FROM stp UNION ALL SELECT kb_id, src, dst FROM (SELECT src, dst, unnest(kb_ids) AS kb_id FROM ed) JOIN wk USING (kb_id) WHERE NOT coalesce(walks, false)),
+la AS (SELECT kb_id, unnest(list_transform(linked_actions, lambda x, i: {'x': x, 'i': i})) AS a FROM kb),
+pv AS (SELECT src, dst, list(a.x ORDER BY kb_id, a.i) AS l FROM sp JOIN la USING (kb_id) WHERE a.x IN ('ANSWER', 'ASK', 'ABSTAIN') GROUP BY ALL),
+pr AS (SELECT ed.src, ed.dst, round(list_reduce(list_prepend(ed.weight, list_transform(coalesce(l, []), lambda a: CASE a WHEN 'ANSWER' THEN 10.2::DOUBLE WHEN 'ASK' THEN 10.05::DOUBLE ELSE -10.1::DOUBLE END)), lambda w, s: CASE WHEN s > 0 THEN least(0.95, w + s - 10) ELSE greatest(0, w + s + 10) END), 6) AS weight,
+  coalesce(round(list_sum(list_transform(l, lambda a: CASE a WHEN 'ANSWER' THEN 0.3 WHEN 'ASK' THEN 0.1 ELSE 0 END)), 6), 0)::DOUBLE AS q_score FROM ed LEFT JOIN pv ON pv.src = ed.src AND pv.dst = ed.dst)"""
+
+
+@query(f"WITH {_CP}, {_STEPS} SELECT src, dst, weight, q_score FROM pr")
+def kg_path_reinforce(spark, d):
+    """Weights after what linked samples say: along paths in multi-hop chunks, of a chunk's own edges elsewhere."""
+    e = cut(G.upsert_edges(_triples(spark, d)))
+    events, _ = _path_events(spark, d, e)
+    return G.reinforce(e, events).select("src", "dst", "weight", "q_score")
+
+
+@query(f"WITH {_CP} SELECT DISTINCT first AS node FROM wk JOIN (SELECT kb_id, unnest(linked_actions) AS action FROM kb) USING (kb_id) WHERE action = 'ABSTAIN' AND kb_id NOT IN (SELECT kb_id FROM cp)")
+def kg_missing_info(spark, d):
+    """Nodes at which ABSTAIN samples found no information."""
+    e = cut(G.upsert_edges(_triples(spark, d)))
+    return _path_events(spark, d, e)[1]
+
+
+@query(f"WITH {_CP}, {_STEPS}, kept AS (SELECT * FROM pr WHERE weight >= 0.75) SELECT kb_id, node FROM br WHERE node IN (SELECT src FROM kept UNION SELECT dst FROM kept)")
+def kg_bridges(spark, d):
+    """Chunks and their nodes, indexed anew after weak edges and the nodes these leave alone were pruned."""
+    e = cut(G.upsert_edges(_triples(spark, d)))
+    strong = G.prune_weak(G.reinforce(e, _path_events(spark, d, e)[0]), G.GraphConfig(weak=0.75))
+    nodes = G.without_isolated(G.endpoints(e).withColumnRenamed("node", "node_id"), strong)
+    return G.bridges(_mentions(spark, d), nodes.withColumnRenamed("node_id", "node")).select("kb_id", "node")
+
+
+@query(f"WITH {_CP}, {_STEPS} SELECT round(avg(weight), 4) AS mean, round(median(weight), 4) AS median, round(stddev_samp(weight), 4) AS std, min(weight) AS least, max(weight) AS most FROM pr")
+def kg_weights(spark, d):
+    e = cut(G.upsert_edges(_triples(spark, d)))
+    return G.weight_stats(G.reinforce(e, _path_events(spark, d, e)[0]))
+
+
+@query(f"WITH {_UP} SELECT relation, count(*) AS edges, sum(frequency)::BIGINT AS triples FROM ed GROUP BY 1")
+def kg_relations(spark, d):
+    """How often each relation occurs."""
+    return G.upsert_edges(_triples(spark, d)).groupBy("relation").agg(F.count("*").alias("edges"), F.sum("frequency").alias("triples"))
+
+
 # ---------------------------------------------------------------- read
 
 
@@ -132,6 +243,12 @@ def kg_components(spark, d):
     return G.components(G.upsert_edges(_triples(spark, d)).select("src", "dst"))
 
 
+@query(f"""WITH RECURSIVE {_SPARSE}, r(node, reach) AS (SELECT src, src FROM u UNION SELECT r.node, u.dst FROM r JOIN u ON r.reach = u.src), c AS (SELECT component, count(*) AS n FROM (SELECT node, min(reach) AS component FROM r GROUP BY 1) GROUP BY 1)
+SELECT count(*) AS components, max(n) AS largest FROM c""")
+def kg_component_sizes(spark, d):
+    return G.component_sizes(G.components(G.upsert_edges(_triples(spark, d)).select("src", "dst")))
+
+
 _SEEDS = "sd AS (SELECT node AS seed FROM (SELECT src AS node FROM u UNION SELECT dst FROM u))"
 
 
@@ -222,6 +339,60 @@ def kg_stats(spark, d):
     return G.stats(G.endpoints(e).withColumnRenamed("node", "node_id"), e)
 
 
+# ---------------------------------------------------------------- grounding
+
+#: Texts matched to nodes (mr: t, node, r), seeds of samples (sd: id, node).
+_SD = f"""{_REINF}, {S_SAMPLES}, u AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), nd AS (SELECT DISTINCT src AS node FROM u),
+tx AS (SELECT query AS t FROM s WHERE query IS NOT NULL UNION SELECT unnest(known) FROM s), {s_vectors("tv", "SELECT t AS k, t FROM tx WHERE t IS NOT NULL")}, {s_vectors("nv", "SELECT node AS k, node AS t FROM nd")},
+mt AS (SELECT tv.k AS t, nv.k AS node, round(sum(tv.x * nv.x), 6) AS sim FROM tv JOIN nv ON tv.b = nv.b GROUP BY ALL),
+mr AS (SELECT t, node, row_number() OVER (PARTITION BY t ORDER BY sim DESC, node) AS r FROM mt WHERE sim >= 0.55),
+sd AS (SELECT id, node FROM s JOIN mr ON mr.t = s.query WHERE r <= 3 UNION SELECT id, node FROM (SELECT id, unnest(known) AS v FROM s) JOIN mr ON mr.t = v WHERE r <= 2)"""
+
+
+def _weighted(spark, d):
+    e = cut(G.upsert_edges(_triples(spark, d)))
+    return cut(_reinforced(spark, d, e))
+
+
+def _seeded(spark, d, edges):
+    return N.seeds(samples(spark, d).select("id", "query", "known"), "id", "query", "known", G.endpoints(edges), Providers().embed)
+
+
+@query(f"WITH {_SD} SELECT t AS text, node, r::INTEGER AS rank FROM mr WHERE r <= 5")
+def node_matches(spark, d):
+    """The five graph nodes nearest to each distinct query and known value, of a similarity of 0.55 or more."""
+    s = samples(spark, d)
+    texts = s.select("query").unionByName(s.select(F.explode("known").alias("query")))
+    m = N.node_matches(texts, "query", G.endpoints(_weighted(spark, d)), Providers().embed)
+    return m.select("text", F.posexplode("nodes").alias("rank", "node")).select("text", "node", (F.col("rank") + 1).alias("rank"))
+
+
+@query(f"WITH {_SD} SELECT id, node FROM sd")
+def ft_seeds(spark, d):
+    """Seed nodes of each sample: three of its query, two of each known value."""
+    return _seeded(spark, d, _weighted(spark, d))
+
+
+_LINES_OF = f"""{_SD}, se AS (SELECT DISTINCT node AS seed FROM sd), h1 AS (SELECT seed, seed AS node FROM se UNION SELECT seed, u.dst FROM se JOIN u ON u.src = seed),
+eg AS (SELECT * FROM h1 UNION SELECT seed, u.dst FROM h1 JOIN u ON u.src = h1.node),
+it AS (SELECT a.seed, rf.src || ' | ' || replace(rf.relation, '_', ' ') || ' | ' || rf.dst AS triple, w2 FROM rf JOIN eg a ON a.node = rf.src JOIN eg b ON b.node = rf.dst AND a.seed = b.seed),
+rk AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY w2 DESC, triple DESC) AS r FROM it),
+st AS (SELECT seed, triple FROM rk WHERE r <= 36 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY r) <= 24)"""
+
+
+@query(f"""WITH {_LINES_OF}, {_VARS.split("WITH ")[-1]}, vl AS (SELECT id, min(src) AS anchor, dst FROM s JOIN sd USING (id) JOIN va ON va.src = sd.node WHERE action = 'ASK' GROUP BY id, dst QUALIFY row_number() OVER (PARTITION BY id ORDER BY dst) <= 3),
+al AS (SELECT id, triple FROM sd JOIN st ON seed = node UNION SELECT id, anchor || ' | requires | ' || dst FROM vl), {s_vectors("qv", "SELECT id AS k, query AS t FROM s WHERE id IN (SELECT id FROM al)")}, {s_vectors("lv", "SELECT DISTINCT triple AS k, triple AS t FROM al")},
+sc AS (SELECT id, triple, round(sum(qv.x * lv.x), 6) AS sim FROM al JOIN qv ON qv.k = id JOIN lv ON lv.k = triple AND lv.b = qv.b GROUP BY ALL)
+SELECT id, triple, (row_number() OVER (PARTITION BY id ORDER BY sim DESC, triple DESC))::INTEGER AS rank, round(sim, 4) AS sim FROM sc WHERE sim >= 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, triple DESC) <= 12""")
+def ft_triples(spark, d):
+    """The graph lines each sample is grounded in. The offline vectors of short lines are seldom as similar to a query as a sentence
+    encoder's, so 0.2 is asked for here instead of 0.35."""
+    e = _weighted(spark, d)
+    _, var = G.placeholders(_asks(spark, d).filter("sample_id IS NOT NULL"))
+    g = N.grounded_lines(samples(spark, d), "id", "query", "action", _seeded(spark, d, e), e, var, Providers().embed, least=0.2)
+    return g.select("id", "triple", "rank", F.round("sim", 4).alias("sim"))
+
+
 # ---------------------------------------------------------------- supervised samples
 
 _USER = "list_filter(messages, lambda m: m.role = 'user')[1].content"
@@ -274,11 +445,11 @@ def ft_rule_planner(spark, d):
 
 
 @query(f"""WITH {_FT}, u AS (SELECT ft_id, {_BLOCK("query")} AS q FROM ft_samples), x AS (SELECT ft.*, u.q, list_filter(string_split_regex(u.q, '\\s+'), lambda w: w <> '') AS w,
-  list_filter(list_transform(list_filter(triples, lambda t: contains(split_part(t, ' | ', 2), 'requires') AND contains(split_part(t, ' | ', 3), '?unknown')), lambda t: trim(split_part(t, ' | ', 1))), lambda t: NOT starts_with(t, '?')) AS gg FROM ft JOIN u USING (ft_id))
+  list_filter(list_transform(list_filter(triples, lambda t: contains(split_part(t, ' | ', 2), 'requires') AND starts_with(split_part(t, ' | ', 3), '?unknown')), lambda t: trim(split_part(t, ' | ', 1))), lambda t: NOT starts_with(t, '?')) AS gg FROM ft JOIN u USING (ft_id))
 SELECT ft_id, array_to_string(CASE WHEN len(gaps) > 0 THEN gaps WHEN len(gg) > 0 AND action <> 'ANSWER' THEN ['details about ''' || gg[1] || '''']
   WHEN action = 'ASK' THEN [CASE WHEN starts_with(lower(q), 'what') AND len(w) > 1 THEN '''' || w[2] || ''' information' WHEN contains(lower(q), 'who') THEN '''who'' referent for this query' WHEN contains(lower(q), 'which') THEN '''which'' referent for this query' WHEN contains(lower(q), 'where') THEN '''where'' referent for this query' WHEN contains(lower(q), 'when') THEN '''when'' referent for this query' WHEN contains(lower(q), 'how') THEN '''how'' referent for this query'
     ELSE 'context for: ''' || trim(regexp_replace(substr(q, 1, 40), '\\?+$', '')) || '''' END]
-  WHEN action = 'ABSTAIN' THEN ['information about ''' || CASE WHEN len(known) > 0 THEN known[1] ELSE w[1] END || ''''] ELSE [] END, '|') AS missing FROM x""")
+  WHEN action = 'ABSTAIN' THEN ['information about ''' || CASE WHEN len(known) > 0 THEN known[1] ELSE w[1] END || ''' absent from knowledge base'] ELSE [] END, '|') AS missing FROM x""")
 def ft_effective_missing(spark, d):
     """What each sample lacks, by the first tier that says something."""
     return _ft(spark, d).select("ft_id", F.array_join(B.effective_missing(F.col("q"), F.col("known"), F.col("gaps"), F.col("triples"), F.col("action")), "|").alias("missing"))

@@ -23,8 +23,13 @@ SYSTEM = "Decide the next step from the query, what is known, the graph lines an
 
 def build_graph(kb: DataFrame, p: Providers = Providers()) -> DataFrame:
     """Edges of a knowledge base (kb_id, text, source) by the providers' triples, falling back to nothing where they see none."""
+    return G.upsert_edges(chunk_verbs(kb, p))
+
+
+def chunk_verbs(kb: DataFrame, p: Providers = Providers()) -> DataFrame:
+    """(kb_id, source, s, r, o, conf, ord): the providers' triples of each chunk, without weak verbs outside multi-hop sources."""
     t = kb.select("kb_id", "source", F.posexplode(p.triples(F.col("text"))).alias("i", "t")).select("kb_id", "source", "t.*", F.concat("kb_id", F.lit("/"), F.lpad(F.col("i").cast("string"), 6, "0")).alias("ord"))
-    return G.upsert_edges(t)
+    return t.filter(F.coalesce(F.col("source").isin(*G.MULTI_HOP), F.lit(False)) | ~G.is_weak(F.regexp_extract("r", "^[^_]+", 0)))
 
 
 def build_ft(spark: SparkSession, sf_dir: str, p: Providers = Providers()) -> DataFrame:

@@ -166,7 +166,7 @@ def test_ft_rules(spark):
     assert val(spark, B.validity(arr("k"), arr(), F.lit("ANSWER"), arr())) == "answer_empty_graph"
     assert val(spark, B.validity(arr("k"), arr("x | r | y"), F.lit("ANSWER"), arr())) == "answer_graph_irrelevant"
     assert val(spark, B.validity(arr(), arr(), F.lit("ASK"), arr("m"))) == "zero_signal_ask"
-    assert val(spark, B.question(arr("details about 'x'"), arr("k"), F.lit("q"))) == "Regarding k: could you specify x?"
+    assert val(spark, B.question(arr("details about 'x'"), arr("k"), F.lit("q"))) == "On k: what is x?"
     assert val(spark, B.question(arr(), arr(), F.lit(""))) == "Could you say more about this topic?"
     assert val(spark, B.specific_by(arr(0.4, kind="double"), F.lit("abcd"))) and not val(spark, B.specific_by(arr(0.5, kind="double"), F.lit("abcd")))
     turn = val(spark, B.assistant_turn(F.lit("q"), F.lit("ASK"), arr("k"), arr("m"), arr("a | is | b"), F.lit("COMPLETE")))
