@@ -484,5 +484,5 @@ def ft_split_stats(spark, d):
 
 @query()
 def routed_answers(spark, d):
-    """Every evaluation query through BM25 retrieval, gate and agents; the planner isn't called yet."""
+    """Every evaluation query through hybrid retrieval, gate, planner and agents."""
     return pipeline.route(spark, d).select("item_id", "decision", "reason", "reply")
