@@ -71,11 +71,18 @@ def reply_action(c: Column | str) -> Column:
     """The action of an ``ACTION:`` line; ABSTAIN if none of the three is named there."""
     a = F.upper(key_line(c, "ACTION", ""))
     out = F.lit("ABSTAIN")
-    for name in ("ABSTAIN", "ASK", "ANSWER"):
-        out = F.when(a.contains(name), name).otherwise(out)
+    for known in ("ABSTAIN", "ASK", "ANSWER"):
+        out = F.when(a.contains(known), known).otherwise(out)
     return out
 
 
+def action_line(c: Column | str, name: str) -> Column:
+    """The last of the three actions that stands alone after ``NAME:``; ABSTAIN if none does."""
+    lines = F.transform(F.split(F.coalesce(_c(c), F.lit("")), "\n"), lambda s: strip(s))
+    said = F.transform(F.filter(lines, lambda s: s.startswith(f"{name}:")), lambda s: strip(F.substring(s, len(name) + 2, 1_000_000_000)))
+    return F.coalesce(F.try_element_at(F.filter(said, lambda s: s.isin("ANSWER", "ASK", "ABSTAIN")), F.lit(-1)), F.lit("ABSTAIN"))
+
+
 def answerability(c: Column | str) -> Column:
     """ANSWERABLE, NEEDS_CLARIFICATION or NOT_ANSWERABLE: the last line that names a label counts; the last is the default."""
     lines = F.split(F.coalesce(_c(c), F.lit("")), "\n")

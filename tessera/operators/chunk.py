@@ -78,6 +78,26 @@ def contexts(samples: DataFrame, text: Column, order: Column) -> DataFrame:
     return g.select("parent_ctx_hash", "f.ctx", "f.source", "f.ord", F.map_from_entries("d").alias("action_distribution"), "num_linked")
 
 
+def source_meta(source: Column, dialogue_id: Column, docs: Column, chunk_idx: Column, total: Column) -> Column:
+    """What an entry tells of its origin, by the key of its source: a dialogue, a url, a file with the place of the chunk, or the
+    titles of its documents; what a source doesn't tell is null."""
+    first, one = (lambda c: F.coalesce(F.get(docs, F.lit(0))[c], F.lit(""))), (lambda name, c, kind: F.when(source == name, c).cast(kind))
+    return F.struct(
+        one("quac", F.coalesce(dialogue_id, F.lit("")), "string").alias("dialogue_id"), one("sharc", first("url"), "string").alias("url"), one("contractnli", first("doc_id"), "string").alias("doc_id"),
+        one("contractnli", first("file_name"), "string").alias("file_name"), one("contractnli", chunk_idx, "int").alias("chunk_idx"), one("contractnli", total, "int").alias("total_chunks"),
+        one("hotpotqa", F.transform(docs, lambda d: F.coalesce(d["doc_id"], F.lit(""))), "array<string>").alias("supporting_titles"),
+    )
+
+
+def context_key(source: Column, own: Column, dialogue_id: Column, utterance_id: Column, docs: Column) -> Column:
+    """What the rows of one context share, by the key of their source."""
+    unknown = F.lit("unknown")
+    return (
+        F.when(source == "quac", F.coalesce(dialogue_id, unknown)).when(source == "sharc", F.coalesce(utterance_id, own)).when(source == "hotpotqa", own)
+        .when(source == "contractnli", F.coalesce(F.get(docs, F.lit(0))["doc_id"], unknown)).otherwise(unknown)
+    )
+
+
 def _linked_rows(samples: DataFrame, text: Column, order: Column) -> DataFrame:
     s = samples.select(text.alias("ctx"), F.col("source"), order.alias("ord"), "id", "action", "query").filter(ws_count("ctx") > 0)
     return s.withColumn("parent_ctx_hash", fingerprint("ctx"))
@@ -112,8 +132,8 @@ def multi_kb(ctx: DataFrame, c: Chunking = Chunking(), least_words: int = 5) ->
     """Coarse sentence chunks and fine single sentences of at least ``least_words`` words, deduplicated together; of equal
     texts within a context the coarse one stays."""
     piece = lambda kind, arr: F.transform(arr, lambda t, i: F.struct(F.lit(kind).alias("granularity"), t.alias("text"), i.alias("pos")))
-    fine = F.filter(sentences("ctx"), lambda s: ws_count(s) >= least_words)
-    rows = ctx.withColumn("p", F.explode(F.concat(piece("coarse", sentence_chunks(F.col("ctx"), c)), piece("fine", fine)))).select("*", "p.*").drop("p", "ctx")
+    fine = F.filter(piece("fine", sentences("ctx")), lambda s: ws_count(s["text"]) >= least_words)  # numbered among all sentences
+    rows = ctx.withColumn("p", F.explode(F.concat(piece("coarse", sentence_chunks(F.col("ctx"), c)), fine))).select("*", "p.*").drop("p", "ctx")
     rows = rows.withColumn("hash", fingerprint("text"))
     once = first_by(rows, ["hash"], "ord", "parent_ctx_hash", "granularity", "pos")
     return once.select(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import lower_words
+from ..functions.parse import action_line, key_line, lower_words
 from ..functions.text import strip, ws_words
 
 # The word lists and weights of the signals.
@@ -157,3 +157,11 @@ def incompleteness(known: Column, missing: Column) -> Column:
     """|missing| / (|known| + |missing|); 0 where both are empty."""
     n = F.greatest(F.size(known), F.lit(0)) + F.greatest(F.size(missing), F.lit(0))
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.size(missing), F.lit(0)) / n)
+
+
+def reflected(action: Column, response: Column, reply: Column) -> Column:
+    """STRUCT<action, response, changed> after a second look, whose ``reply`` has lines VERIFIED_ACTION and VERIFIED_RESPONSE: another
+    action counts, with its response; the same one changes nothing. A reply without an action says ABSTAIN."""
+    other = action_line(reply, "VERIFIED_ACTION")
+    changed = other != action
+    return F.struct(F.when(changed, other).otherwise(action).alias("action"), F.when(changed, F.coalesce(key_line(reply, "VERIFIED_RESPONSE"), reply)).otherwise(response).alias("response"), changed.alias("changed"))

@@ -66,7 +66,7 @@ def valid_name(n: Column) -> Column:
 def is_weak(verb: Column) -> Column:
     """A weak verb, in its base form or with an ending in s or ed."""
     v = F.lower(verb)
-    return v.isin(*WEAK_VERBS) | F.regexp_replace(v, "(s|es|d|ed)$", "").isin(*WEAK_VERBS) | F.regexp_replace(v, "(es|ed)$", "").isin(*WEAK_VERBS)
+    return reduce(lambda a, b: a | b, (F.regexp_replace(v, f"{e}$", "").isin(*WEAK_VERBS) for e in ("", "s", "d", "es", "ed")))
 
 
 def category(ent_type: Column) -> Column:

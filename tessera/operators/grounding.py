@@ -19,8 +19,8 @@ Embed = Callable[[Column], Column]
 def nearest(left: DataFrame, key: str, vec: str, right: DataFrame, right_id: str, right_vec: str, k: int, least: float, block: int = 4096) -> DataFrame:
     """(key, match, sim, rank): for each row of ``left`` the ``k`` rows of ``right`` with the greatest inner product of at least
     ``least``; ties by match. ``left`` has one row a key and stays where it lies; ``right``, the smaller side, goes out in blocks
-    of bounded size. Null vectors match nothing."""
-    r = right.filter(F.col(right_vec).isNotNull()).select(F.col(right_id).alias("i"), F.col(right_vec).cast("array<double>").alias("v"))
+    of bounded size. Null vectors and null ids of ``right`` match nothing."""
+    r = right.filter(F.col(right_vec).isNotNull() & F.col(right_id).isNotNull()).select(F.col(right_id).alias("i"), F.col(right_vec).cast("array<double>").alias("v"))
     source = left.filter(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
     kinds = dict(source.dtypes)["k"], dict(r.dtypes)["i"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,3 +105,67 @@ def whole_prefix(groups: DataFrame, group: str, order: list[str], limit: int) ->
 def batches(df: DataFrame, order: list[str], size: int = 50) -> DataFrame:
     """Rows with batch_no, ``size`` rows each in ``order``; ranks run within ranges of the order plus what lies before."""
     return numbered_rows(df, order, "_i").withColumn("batch_no", F.floor(F.col("_i") / size).cast("bigint")).drop("_i")
+
+
+@dataclass(frozen=True)
+class Trim:
+    """What a trimmed corpus takes: so many single rows of some sources, so many rows of one source whose dialogues fill up what its
+    single rows leave, and dialogues of one source up to a cap, as far as the actions' budgets last."""
+
+    singles: dict[str, int]
+    mixed: tuple[str, int]
+    filler: tuple[str, int]
+    budgets: dict[str, int]
+
+
+def budgeted_trim(rows: DataFrame, t: Trim, turn: str = "turn_id", seed: int = 42) -> DataFrame:
+    """(id, part) of the rows taken from ``rows`` (id, source, action, dialogue_id, multi_turn, turn), dialogues always whole.
+
+    In shuffled order: rows without dialogue up to their source's number; the mixed source's rows, then its dialogues until its
+    number is reached; at last the filler's dialogues, passing over those whose dominant action has no budget left, until its cap
+    or all budgets are used up. Every row taken lowers its action's budget.
+
+    The last step depends on every choice before it, so it is a fold. Of each dominant action only the first dialogues, as many as
+    its budget, can be taken, as each lowers it by one at least; so the fold sees no more than the budgets together.
+    """
+    h = shuffle_key(F.col("id"), seed)
+    data = cut(rows.select("id", "source", "action", "dialogue_id", turn, (F.coalesce("multi_turn", F.lit(False)) & F.col("dialogue_id").isNotNull()).alias("_m")))
+    single, multi = data.filter("NOT _m"), data.filter("_m")
+    quota = F.lit(0)
+    for name, n in {**t.singles, t.mixed[0]: t.mixed[1]}.items():
+        quota = F.when(F.col("source") == name, n).otherwise(quota)
+    first = single.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy(h, "id"))).filter(F.col("_r") <= quota)
+    first = cut(first.select("id", "source", "action", F.lit("single").alias("part")))
+
+    sizes = multi.groupBy("dialogue_id").agg(F.min("source").alias("source"), F.count("*").alias("n"), *(F.count_if(F.col("action") == a).alias(f"n_{a}") for a in t.budgets))
+    dominant = rollup(multi, "dialogue_id", F.coalesce(F.col(turn), F.lit(0)), "action").select("dialogue_id", "dominant")
+    d = cut(sizes.join(dominant, "dialogue_id").withColumn("_h", shuffle_key(F.col("dialogue_id"), seed)))
+    rest = t.mixed[1] - first.filter(F.col("source") == t.mixed[0]).count()
+    near = d.filter(F.col("source") == t.mixed[0]).orderBy("_h", "dialogue_id").limit(max(rest, 0))  # each has a row at least
+    so_far = F.sum("n").over(Window.orderBy("_h", "dialogue_id")) - F.col("n")
+    second = cut(near.withColumn("_before", so_far).filter(F.col("_before") < rest).select("dialogue_id"))
+    second = cut(multi.join(second, "dialogue_id", "left_semi").select("id", "source", "action", F.lit("mixed").alias("part")))
+
+    used = {r.action: r.n for r in first.unionByName(second).filter(F.col("action").isin(*t.budgets)).groupBy("action").agg(F.count("*").alias("n")).collect()}
+    left = {a: max(0, b - used.get(a, 0)) for a, b in t.budgets.items()}
+    most = F.lit(0)
+    for a, b in left.items():
+        most = F.when(F.col("dominant") == a, b).otherwise(most)
+    pool = d.filter(F.col("source") == t.filler[0]).withColumn("_r", F.row_number().over(Window.partitionBy("dominant").orderBy("_h", "dialogue_id"))).filter(F.col("_r") <= most)
+    entry = F.struct("_h", "dialogue_id", "dominant", "n", *(F.col(f"n_{a}") for a in left))
+    state = F.struct(F.lit(0).cast("bigint").alias("added"), *(F.lit(b).cast("bigint").alias(f"b_{a}") for a, b in left.items()), F.array().cast("array<string>").alias("got"))
+
+    def step(s: Column, x: Column) -> Column:
+        own, total = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+        for a in left:
+            own, total = F.when(x["dominant"] == a, s[f"b_{a}"]).otherwise(own), total + s[f"b_{a}"]
+        take = (own > 0) & (total > 0) & (s["added"] < t.filler[1])
+        return F.struct(
+            F.when(take, s["added"] + x["n"]).otherwise(s["added"]).alias("added"),
+            *(F.when(take, F.greatest(F.lit(0).cast("bigint"), s[f"b_{a}"] - x[f"n_{a}"])).otherwise(s[f"b_{a}"]).alias(f"b_{a}") for a in left),
+            F.when(take, F.array_append(s["got"], x["dialogue_id"])).otherwise(s["got"]).alias("got"),
+        )
+
+    took = pool.agg(F.array_sort(F.collect_list(entry)).alias("l")).select(F.explode(F.aggregate("l", state, step)["got"]).alias("dialogue_id"))
+    third = multi.join(took, "dialogue_id", "left_semi").select("id", F.lit("filler").alias("part"))
+    return first.select("id", "part").unionByName(second.select("id", "part")).unionByName(third)

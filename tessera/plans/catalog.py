@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, table_queries, text_queries  # noqa: F401
+from . import graph_queries, rule_queries, table_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

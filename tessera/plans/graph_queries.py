@@ -134,7 +134,7 @@ _WEAK = ", ".join(f"'{v}'" for v in G.WEAK_VERBS)
 @query(f"""WITH h AS (SELECT kb_id, {s_key("source")} IN ('hotpotqa') AS hop, unnest(regexp_extract_all(coalesce(text, ''), '{VERB_PATTERN}')) AS h FROM kb),
 p AS (SELECT kb_id, hop, lower(regexp_extract(h, '{VERB_PATTERN}', 1)) AS s, regexp_extract(h, '{VERB_PATTERN}', 2) AS v, regexp_extract(h, '{VERB_PATTERN}', 3) AS prep, lower(regexp_extract(h, '{VERB_PATTERN}', 4)) AS o FROM h)
 SELECT s, CASE WHEN prep = '' THEN v ELSE v || '_' || prep END AS r, o, CASE WHEN prep = '' THEN 0.8 ELSE 0.7 END::DOUBLE AS conf, count(*) AS n FROM p
-WHERE coalesce(hop, false) OR NOT (v IN ({_WEAK}) OR regexp_replace(v, '(s|es|d|ed)$', '') IN ({_WEAK}) OR regexp_replace(v, '(es|ed)$', '') IN ({_WEAK})) GROUP BY ALL""")
+WHERE coalesce(hop, false) OR NOT ({" OR ".join(f"regexp_replace(v, '{e}$', '') IN ({_WEAK})" for e in ("", "s", "d", "es", "ed"))}) GROUP BY ALL""")
 def kg_verb_triples(spark, d):
     """Verb triples of all chunks; weak verbs count in multi-hop sources only."""
     k = table(spark, d, "kb").filter("text IS NOT NULL").select(X.key("source").alias("source"), "kb_id", "text")

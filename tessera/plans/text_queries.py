@@ -120,7 +120,17 @@ def fine_sentences(spark, d):
     return once.select("hash", "parent_ctx_hash", F.col("pos").alias("sent_idx"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_CONTEXTS}, f0 AS (SELECT h, min(ctx) AS ctx, min(id) AS ord FROM y GROUP BY 1), d AS (SELECT h, ord, list_transform({s_sentences("ctx")}, lambda s: {{'s': s, 'n': len({s_words("s")})}}) AS s FROM f0),
+f AS (
+  SELECT h, ord, s, 0 AS i, []::VARCHAR[] AS done, []::STRUCT(s VARCHAR, n BIGINT)[] AS now FROM d WHERE len(s) > 0
+  UNION ALL
+  SELECT h, ord, s, i + 1, CASE WHEN fill THEN list_append(done, array_to_string(list_transform(now, lambda x: x.s), ' ')) ELSE done END, list_append(CASE WHEN fill THEN now[greatest(len(now) - 1, 1):] ELSE now END, s[i + 1])
+  FROM (SELECT *, coalesce(list_sum(list_transform(now, lambda x: x.n)), 0) + s[i + 1].n > 350 AND len(now) > 0 AS fill FROM f WHERE i < len(s))),
+c AS (SELECT h, ord, list_append(done, array_to_string(list_transform(now, lambda x: x.s), ' ')) AS parts FROM f WHERE i = len(s)),
+r AS (SELECT 'coarse' AS granularity, h, ord, unnest(parts) AS text, unnest(range(0, len(parts))) AS pos FROM c UNION ALL SELECT 'fine', h, ord, text, pos FROM (SELECT h, ord, unnest(list_transform(s, lambda x: x.s)) AS text, unnest(range(0, len(s))) AS pos, unnest(list_transform(s, lambda x: x.n)) AS n FROM d) WHERE n >= 5)
+SELECT 'mg_' || substr(md5(text), 1, 12) AS mg_id, granularity, h AS parent_ctx_hash, CASE WHEN granularity = 'coarse' THEN pos::INTEGER END AS chunk_idx, CASE WHEN granularity = 'fine' THEN pos::INTEGER END AS sent_idx, len({s_words("text")}) AS word_count FROM r
+QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY ord, h, granularity, pos) = 1""")
 def multi_kb(spark, d):
     """Coarse and fine entries together; of equal texts of a context the coarse one stays."""
     return C.multi_kb(_contexts(spark, d)).select("mg_id", "granularity", "parent_ctx_hash", "chunk_idx", "sent_idx", "word_count")

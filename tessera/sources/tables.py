@@ -35,14 +35,22 @@ def write_by(df: DataFrame, path: str, column: str, fmt: str = "parquet") -> Non
 
 
 def write_array(df: DataFrame, path: str) -> None:
-    """One JSON array per file, for exports; lines of a part are joined in its task."""
+    """One JSON array per file, for exports: a line an entry, with a comma before all but the part's first, so that a part is never
+    held in memory."""
 
     def run(batches):
         import pandas as pd
 
-        rows = [line for pdf in batches for line in pdf["j"]]
-        if rows:
-            yield pd.DataFrame({"value": ["[\n" + ",\n".join(rows) + "\n]"]})
+        first = True
+        for pdf in batches:
+            if len(pdf):
+                lines = "," + pdf["j"]
+                if first:
+                    lines.iloc[0] = "[" + pdf["j"].iloc[0]
+                yield pd.DataFrame({"value": lines})
+                first = False
+        if not first:
+            yield pd.DataFrame({"value": ["]"]})
 
     df.select(F.to_json(F.struct("*")).alias("j")).mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
@@ -54,6 +62,17 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+def vectors(spark: SparkSession, texts: DataFrame, key: str, text: str, embed, path: str) -> DataFrame:
+    """(key, embedding) of ``texts``, from ``path``; made and stored there first if it isn't there."""
+    return read_or_build(spark, path, lambda: texts.select(key, embed(F.col(text)).alias("embedding")))
+
+
+def compact(spark: SparkSession, path: str, into: str, files: int = 8) -> DataFrame:
+    """What a stream or a resumed fill has appended to ``path``, as one table of few files."""
+    spark.read.parquet(path).coalesce(files).write.mode("overwrite").parquet(into)
+    return spark.read.parquet(into)
+
+
 def first_of(spark: SparkSession, *paths: str) -> DataFrame:
     """The first stored table that is there."""
     for p in paths:
@@ -68,10 +87,10 @@ def save_graph(tables: dict[str, DataFrame], path: str, phase: str) -> None:
 
 
 def load_graph(spark: SparkSession, path: str, *phases: str) -> dict[str, DataFrame]:
-    """The tables of the first phase that was saved."""
+    """The tables (nodes, edges, bridges) of the first phase that was saved."""
     for phase in phases:
         if exists(spark, f"{path}/{phase}/edges"):
-            return {n: spark.read.parquet(f"{path}/{phase}/{n}") for n in ("nodes", "edges") if exists(spark, f"{path}/{phase}/{n}")}
+            return {n: spark.read.parquet(f"{path}/{phase}/{n}") for n in ("nodes", "edges", "bridges") if exists(spark, f"{path}/{phase}/{n}")}
     raise FileNotFoundError(f"none of {phases} in {path}")
 
 
