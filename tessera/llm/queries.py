@@ -15,7 +15,7 @@ from .format_copies import class_counts, class_members
 from .grouped_split import deal, origin_key, tied_groups
 from .leaks import find_leaks
 from .mixture import draw_mixture, mixture_plan
-from .reading import labelled, levels, train
+from .reading import labelled, levels, train, word_ranks
 from .split_items import is_oversized, split_oversized
 from .split_overlap import chunk_overlap, near_links, near_pairs
 from .tokens import encode, token_totals
@@ -172,7 +172,7 @@ def p7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reading(spark: SparkSession, sf_dir: str):
     names = D.source_names(spark, sf_dir)
     docs = D.table(spark, sf_dir, "documents").withColumn("_s", D.source_label("source", names))
-    return docs, train(labelled(docs, D.table(spark, sf_dir, "reading_labels"), "_s"))
+    return docs, train(labelled(docs, D.table(spark, sf_dir, "reading_labels"), "_s"), word_ranks(docs, "text"))
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from tessera.functions.text import WS
 from tessera.llm import bpe
 from tessera.llm.leaks import Seeds, find_leaks, words_of
-from tessera.llm.reading import Boosting, features, fit, grade_cuts, labelled, levels, train
+from tessera.llm.reading import FEATURES, Boosting, Lexicon, features, fit, grade_cuts, labelled, levels, train, word_ranks
 from tessera.llm.split_items import Limits, split_oversized, split_spans, split_text
 from tessera.llm.tokens import encode, token_totals
 
@@ -184,7 +184,9 @@ def test_reading_levels(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
     labels = [(i, 1 + i % 5, "r1") for i in range(0, 300, 2)] + [(2, 3, "r2"), (2, 3, "r2"), (4, None, "r1"), (6, 9, "r3"), (7777, 1, "r1"), (None, 1, None)]
     lab = spark.createDataFrame(labels, "doc_id bigint, level int, rater string")
-    model = train(labelled(d, lab, "source"), Boosting(trees=30))
+    ranks = word_ranks(d, "text", 10)
+    assert ranks["the"] == 0 and len(ranks) == 10
+    model = train(labelled(d, lab, "source"), ranks, Boosting(trees=30))
     got = {r.doc_id: r.level for r in levels(d, model).collect()}
     assert len(got) == 303 and got[900] is None and got[901] is None and got[902] is None
     some = {r.doc_id: r.level for r in levels(d, model, 3).collect()}
@@ -192,7 +194,8 @@ def test_reading_levels(spark):
     ends = [i for i in range(300) if i % 5 in (0, 4)]
     assert sum(got[i] == 1 + i % 5 for i in ends) / len(ends) > 0.9
     assert set(model.report) == {"s0", "s1", "s2"}
-    none = train(labelled(d, lab.limit(0), "source"))
+    assert word_ranks(d.limit(0), "text") == {}
+    none = train(labelled(d, lab.limit(0), "source"), {})
     assert {r.level for r in levels(d, none).collect() if r.level is not None} == {3}
     assert levels(d.limit(0), model).count() == 0
 
@@ -206,4 +209,19 @@ def test_boosting_fits_and_is_deterministic():
     a, b = fit(x, y).predict(x), fit(x, y).predict(x)
     assert (a == b).all() and float(np.mean((a - y) ** 2)) < 0.05
     assert list(grade_cuts(np.array([1.0, 2.0, 3.0, 4.0, 5.0]), np.array([1.0, 2, 3, 4, 5]))) == [1.5, 2.5, 3.5, 4.5]
-    assert len(features("Ein Satz. Noch einer!")) == len(features(""))
+
+
+def test_features():
+    texts = ["One two three. One, two; (four) 5!", "", "…", "日本語。日本語、です。", "a" * 300, "x.y v1.2 end", "same same. same same"]
+    rows = features(texts, Lexicon({"one": 0, "two": 1}))
+    assert rows.shape == (len(texts), len(FEATURES)) and not rows[1].any() and not rows[2].any() and np.isfinite(rows).all()
+    f = dict(zip(FEATURES, rows[0]))
+    assert f["sent_len"] == 3 and f["sent_len_sd"] == 0 and f["clause_len_p90"] == 3 and f["clauses"] == 2 and f["first_variety"] == 0.5
+    assert f["top0"] == f["top1"] == 2 / 6 and f["commas"] == f["colons"] == f["numbers"] == 1 / 6 and f["brackets"] == 2 / 6 and f["unranked"] == 2 / 6
+    assert f["hapax"] == 2 / 6 and f["overlap_next"] == 2 / 3 and f["word_len_p50"] == 3 and f["type_len"] == 15 / 4
+    last = dict(zip(FEATURES, rows[6]))
+    assert last["repeated"] == 1 and last["overlap_next"] == 1 and last["hapax"] == 0
+    # The same alone as among others, and after numbering has begun anew.
+    small = Lexicon({"one": 0, "two": 1})
+    small.MOST = 2
+    assert all((features([t], small)[0] == r).all() for t, r in zip(texts, rows)) and features([], small).shape == (0, len(FEATURES))
