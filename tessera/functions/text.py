@@ -1,14 +1,24 @@
-"""Column expressions on text: all run inside the JVM."""
+"""Column expressions on text, which run inside the JVM, and the same notion of words for code that runs in Python."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space as the body of a character class, for Java and Python patterns alike.
 WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Anything that is neither a letter nor a digit.
-NOT_ALNUM = r"[^\p{L}\p{N}]+"
+#: Runs of what is neither a letter nor a digit; nothing is given back, which is faster and makes no difference.
+NOT_ALNUM = r"[^\p{L}\p{N}]++"
+
+
+_WS_WORD = re.compile(rf"[^{WS}]+")
+
+
+def split_words(t: str) -> list[str]:
+    """White-space words of a string. Python's own split is much faster, but takes four control characters for white space too."""
+    return _WS_WORD.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
 
 
 def _c(c: Column | str) -> Column:
@@ -39,7 +49,7 @@ def alnum_words(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_c(c), rf"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
 
 
 def ws_words(c: Column | str) -> Column:
@@ -48,8 +58,8 @@ def ws_words(c: Column | str) -> Column:
 
 
 def ws_count(c: Column | str) -> Column:
-    """Number of white-space words; 0 for null."""
-    return F.coalesce(F.regexp_count(_c(c), F.lit(rf"[^{WS}]+")), F.lit(0))
+    """Number of white-space words; 0 for null. Java's own class is the same white space, and much faster than a negated list."""
+    return F.coalesce(F.regexp_count(_c(c), F.lit(r"(?U)\S+")), F.lit(0))
 
 
 def squash(c: Column | str) -> Column:

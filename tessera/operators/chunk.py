@@ -99,7 +99,7 @@ def context_key(source: Column, own: Column, dialogue_id: Column, utterance_id:
 
 
 def _linked_rows(samples: DataFrame, text: Column, order: Column) -> DataFrame:
-    s = samples.select(text.alias("ctx"), F.col("source"), order.alias("ord"), "id", "action", "query").filter(ws_count("ctx") > 0)
+    s = samples.select(text.alias("ctx"), F.col("source"), order.alias("ord"), "id", "action", "query").filter(F.regexp_like("ctx", F.lit(r"(?U)\S")))
     return s.withColumn("parent_ctx_hash", fingerprint("ctx"))
 
 

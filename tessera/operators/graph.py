@@ -5,9 +5,11 @@ Tables: nodes (node_id, ...), edges (src, dst, relation, weight, frequency, sour
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -268,11 +270,35 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFra
     return reduce(DataFrame.unionByName, levels)
 
 
-def components(edges: DataFrame, most_rounds: int = 300, hot_rows: int = 200_000) -> DataFrame:
+def _label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of the edges (src, node) of one task, by union and find."""
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        top = x
+        while (p := up.setdefault(top, top)) != top:
+            top = p
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for pdf in batches:
+        for a, b in zip(pdf["src"], pdf["node"]):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]}, dtype=object)
+
+
+def components(edges: DataFrame, most_rounds: int = 300, hot_rows: int = 200_000, few: int = 50_000) -> DataFrame:
     """(node, component): weakly connected components, named by their least node. Each round a node takes the least label among
     its neighbours' and that label's own label, so that labels run ahead along chains; rounds end when nothing changes. Labels
-    of hubs, and of components that many nodes have, are looked up by broadcast; each round's table goes with the next."""
+    of hubs, and of components that many nodes have, are looked up by broadcast; each round's table goes with the next. A graph of at
+    most ``few`` directed edges is labelled by one task, as rounds would only move next to nothing."""
     adj, n_edges = cut_counted(undirected(edges).select(F.col("src"), F.col("dst").alias("node")))
+    if n_edges <= few:
+        return adj.coalesce(1).mapInPandas(_label, "node string, component string")
     labels, n_nodes = cut_counted(adj.groupBy("src").agg(F.min("node").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
     for _ in range(most_rounds):
         near = lookup(adj, "node", labels, hot_rows, n_edges).groupBy("src").agg(F.min("component").alias("m"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.parse import lower_words
+from ..functions.text import split_words
 from . import gate, graph, retrieve
 
 DIM = 384
@@ -29,7 +30,7 @@ def hashed_vectors(texts: pd.Series) -> pd.Series:
     out = []
     for t in texts:
         v = np.zeros(DIM)
-        for w in (t or "").lower().split():
+        for w in split_words((t or "").lower()):
             v[_bucket(w)] += 1.0
         n = float(np.linalg.norm(v))
         out.append((v / n if n else v).astype(np.float32))

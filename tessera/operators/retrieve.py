@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.parse import lower_words
-from ..functions.text import WS
+from ..functions.text import split_words
 from ..runtime import cut
 
 
@@ -61,11 +60,8 @@ def bm25_scores(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, que
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-_WORD = re.compile(f"[^{WS}]+")
-
-
 def _lower_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return split_words(text.lower()) if text else []
 
 
 def frequencies(docs: DataFrame, text: str, most: int = 500_000) -> DataFrame:

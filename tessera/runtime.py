@@ -117,7 +117,8 @@ def widened(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
 
 def numbered_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df``, stored, with ``name``, each row's place in ``order`` from 0 without gaps. Ranges of the order are ranked apart, and
-    only their sizes meet in one task."""
+    only their sizes meet in one task. ``df`` is stored first unless it is a stored table, as ranges are found by reading it."""
+    df = df if hasattr(df, "_tessera_path") else cut(df)
     ranked = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
