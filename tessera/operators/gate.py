@@ -165,3 +165,14 @@ def reflected(action: Column, response: Column, reply: Column) -> Column:
     other = action_line(reply, "VERIFIED_ACTION")
     changed = other != action
     return F.struct(F.when(changed, other).otherwise(action).alias("action"), F.when(changed, F.coalesce(key_line(reply, "VERIFIED_RESPONSE"), reply)).otherwise(response).alias("response"), changed.alias("changed"))
+
+
+def prompt(query: Column, texts: Column, history: Column | None = None, cap: int = 800) -> Column:
+    """The text a generator is asked: the conversation so far (ARRAY<STRUCT<query, action, response>>) where there is one, the
+    query, and each hit's first ``cap`` characters under its number."""
+    parts = F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(F.coalesce(t, F.lit("")), 1, cap)))
+    ask = F.concat(F.lit("Query: "), F.coalesce(query, F.lit("")), F.lit("\nContext:\n"), F.array_join(parts, "\n"))
+    if history is None:
+        return ask
+    said = F.transform(history, lambda h: F.concat(F.lit("User: "), F.coalesce(h["query"], F.lit("")), F.lit("\nReply ("), F.coalesce(h["action"], F.lit("")), F.lit("): "), F.coalesce(h["response"], F.lit(""))))
+    return F.when(F.size(history) > 0, F.concat(F.lit("So far:\n"), F.array_join(said, "\n"), F.lit("\n\n"), ask)).otherwise(ask)

@@ -275,10 +275,10 @@ def decompose(query: Column | str) -> Column:
     return F.when(F.size(parts) > 1, parts).otherwise(F.array(q))
 
 
-def fan_out(hits: DataFrame, k: int) -> DataFrame:
+def fan_out(hits: DataFrame, k: int, least: int = 1) -> DataFrame:
     """(query_id, doc_id, score, rank) from (query_id, sub, n_sub, doc_id, score, rank): each sub-query gives its best k // n_sub,
-    at least one; a document that several give stays where it came first."""
-    taken = hits.filter(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(k) / F.col("n_sub"))))
+    ``least`` at least (agents ask for two); a document that several give stays where it came first."""
+    taken = hits.filter(F.col("rank") <= F.greatest(F.lit(least), F.floor(F.lit(k) / F.col("n_sub"))))
     first = taken.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("sub", "rank"))).filter("_r = 1")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("sub", "rank"))).select("query_id", "doc_id", "score", "rank")
 

@@ -129,8 +129,7 @@ def route(spark: SparkSession, sf_dir: str, p: Providers = Providers(), k: int =
     x = x.withColumns({"decision": F.when(planned, P.decision(p.plan(F.col("triples"), F.col("missing")), "ABSTAIN")).otherwise(F.col("g.action")),
                        "reason": F.when(planned, "planned").otherwise(F.col("g.reason"))})
     best = F.get(C.compress(F.col("query"), F.slice("texts", 1, 1), 2), F.lit(0))
-    prompt = F.concat(F.lit("Query: "), "query", F.lit("\nContext:\n"), F.array_join(F.transform("texts", lambda t: F.substring(t, 1, 800)), "\n"))
-    answer = p.generate(prompt) if p.generate else best
+    answer = p.generate(D.prompt(F.col("query"), F.col("texts"))) if p.generate else best
     about = F.coalesce(D.anchor(F.col("triples"), F.col("known")), F.get("missing", F.lit(0)))
     reply = (
         F.when(F.col("decision") == "ANSWER", answer)

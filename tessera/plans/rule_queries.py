@@ -18,7 +18,8 @@ from ..operators import metrics as E
 from ..operators import sampling as S
 from ..operators.providers import Providers
 from ..sources import tables as T
-from . import graph_queries, text_queries  # noqa: F401  their queries and SQL are used below
+from . import graph_queries, table_queries, text_queries  # noqa: F401  their queries and SQL are used below
+from .table_queries import conditional_rows
 from .registry import QUERIES, S_SAMPLES, SQL, query, s_action, s_key, s_sentences, s_strip, s_vectors, s_words, samples, table
 
 # ---------------------------------------------------------------- builders of the raw sources
@@ -33,13 +34,17 @@ SELECT query, docs[1] AS text, act AS action, CASE act WHEN 'ABSTAIN' THEN '{R.c
   CASE WHEN act = 'ANSWER' THEN 'easy' ELSE 'medium' END AS difficulty, CASE WHEN act = 'ANSWER' THEN 'COMPLETE' ELSE 'INSUFFICIENT_VARIABLES' END AS mode FROM a""".replace("docs[1] AS text", "coalesce(docs[1], '') AS text"))
 def ingest_dialogues(spark, d):
     """Every sample told as an article of the nested source, and built again from it."""
+    u = _dialogues(spark, d)
+    return u.select("query", F.col("context.documents")[0]["text"].alias("text"), "action", "response", "metadata.dialogue_id", F.col("metadata.followup_flag").alias("followup"),
+                    F.col("state.difficulty").alias("difficulty"), F.col("state.failure_mode").alias("mode"))
+
+
+def _dialogues(spark, d):
     answer = F.when(F.col("action") != "ABSTAIN", F.col("response"))
     answers = F.when(answer.isNotNull(), F.array(F.struct(answer.alias("text")))).otherwise(F.array().cast("array<struct<text:string>>"))
     qa = F.struct(F.col("query").alias("question"), F.when(F.col("action") == "ASK", "y").when(F.col("turn_id") % 2 == 0, "m").alias("followup"), F.lit("x").alias("yesno"), answers.alias("answers"))
     para = F.struct(F.col("dialogue_id").alias("id"), F.get("docs", F.lit(0)).alias("context"), F.array(qa).alias("qas"))
-    u = I.dialogues(samples(spark, d).select(F.array(F.struct(F.array(para).alias("paragraphs"))).alias("data")))
-    return u.select("query", F.col("context.documents")[0]["text"].alias("text"), "action", "response", "metadata.dialogue_id", F.col("metadata.followup_flag").alias("followup"),
-                    F.col("state.difficulty").alias("difficulty"), F.col("state.failure_mode").alias("mode"))
+    return I.dialogues(samples(spark, d).select(F.array(F.struct(F.array(para).alias("paragraphs"))).alias("data")))
 
 
 @query(f"""WITH {S_SAMPLES}, t AS (SELECT id, query, response, difficulty, list_transform(docs, lambda t, i: 'T' || (i % 3)) AS titles, list_transform(docs, lambda t, i: i % 2) AS ids, list_transform(docs, lambda t: {s_sentences("t")}) AS sents FROM s),
@@ -47,13 +52,17 @@ f AS (SELECT *, list_transform(titles, lambda t, i: sents[list_max(list_transfor
 SELECT query, coalesce(response, '') AS response, md5(array_to_string(list_filter(facts, lambda x: x IS NOT NULL), '|')) AS facts, CASE WHEN difficulty IN ('easy', 'medium', 'hard') THEN difficulty ELSE 'medium' END AS difficulty, len(titles)::INTEGER AS n_facts FROM f WHERE titles IS NOT NULL""")
 def ingest_multihop(spark, d):
     """Every sample told as a question over titled paragraphs, some titles twice and some sentence numbers beyond the end."""
+    u = _multihop(spark, d)
+    return u.select("query", F.coalesce("response", F.lit("")).alias("response"), F.md5(F.array_join(F.transform("context.documents", lambda x: x["text"]), "|")).alias("facts"), F.col("state.difficulty").alias("difficulty"),
+                    F.col("metadata.num_supporting_facts").alias("n_facts"))
+
+
+def _multihop(spark, d):
     s = samples(spark, d).filter(F.col("docs").isNotNull())
     titles, ids = F.transform("docs", lambda t, i: F.concat(F.lit("T"), ((i + 1) % 3).cast("string"))), F.transform("docs", lambda t, i: ((i + 1) % 2).cast("int"))
     raw = s.select(F.col("query").alias("question"), F.col("response").alias("answer"), F.lit("bridge").alias("type"), F.col("difficulty").alias("level"), F.struct(titles.alias("title"), ids.alias("sent_id")).alias("supporting_facts"),
                    F.struct(titles.alias("title"), F.transform("docs", lambda t: P.sentences(t)).alias("sentences")).alias("context"))
-    u = I.multi_hop(raw)
-    return u.select("query", F.coalesce("response", F.lit("")).alias("response"), F.md5(F.array_join(F.transform("context.documents", lambda x: x["text"]), "|")).alias("facts"), F.col("state.difficulty").alias("difficulty"),
-                    F.col("metadata.num_supporting_facts").alias("n_facts"))
+    return I.multi_hop(raw)
 
 
 @query(f"""WITH k AS (SELECT kb_id, text, coalesce(num_linked, 0) AS n FROM kb WHERE text IS NOT NULL), a AS (SELECT kb_id, text, unnest([{{'l': 'l1', 'c': ['Entailment', 'Contradiction', 'NotMentioned'][n % 3 + 1], 's': [0, 1, 7]}}, {{'l': 'l2', 'c': 'NotMentioned', 's': []}}]) AS z FROM k),
@@ -62,15 +71,19 @@ SELECT kb_id, l AS label_id, 'h ' || l AS query, action, CASE c WHEN 'Entailment
   array_to_string(list_transform(list_filter(s, lambda i: i < 2), lambda i: {s_strip("substr(text, [1, 9][i + 1], [12, 32][i + 1])")}), '|') AS spans, {_HARD("score")} AS difficulty, len(s)::INTEGER AS num_spans, len(s) > 1 AS reasoning FROM m""")
 def ingest_contracts(spark, d):
     """Every knowledge-base text told as an annotated contract; one span number is beyond the end."""
+    doc1 = F.col("context.documents")[0]
+    return _contracts(spark, d).select(doc1["doc_id"].alias("kb_id"), "metadata.label_id", "query", "action", "response", F.array_join(doc1["spans"], "|").alias("spans"), F.col("state.difficulty").alias("difficulty"), "metadata.num_spans",
+                                       F.col("metadata.requires_reasoning").alias("reasoning"))
+
+
+def _contracts(spark, d):
     ann = "struct<choice:string,spans:array<int>>"
     choice = F.element_at(F.array(F.lit("Entailment"), F.lit("Contradiction"), F.lit("NotMentioned")), (F.coalesce("num_linked", F.lit(0)) % 3 + 1).cast("int"))
     notes = F.create_map(F.lit("l1"), F.struct(choice, F.array(*map(F.lit, (0, 1, 7)))).cast(ann), F.lit("l2"), F.struct(F.lit("NotMentioned"), F.array().cast("array<int>")).cast(ann))
     label = lambda n: F.struct(F.lit(f"h {n}").alias("hypothesis"), F.lit(f"s {n}").alias("short_description"))
     doc = F.struct(F.col("kb_id").alias("id"), F.col("kb_id").alias("file_name"), "text", F.expr("array(array(0, 12), array(8, 40))").alias("spans"), F.array(F.struct(notes.alias("annotations"))).alias("annotation_sets"))
     raw = table(spark, d, "kb").filter("text IS NOT NULL").select(F.create_map(F.lit("l1"), label("l1"), F.lit("l2"), label("l2")).alias("labels"), F.array(doc).alias("documents"))
-    doc1 = F.col("context.documents")[0]
-    return I.contracts(raw).select(doc1["doc_id"].alias("kb_id"), "metadata.label_id", "query", "action", "response", F.array_join(doc1["spans"], "|").alias("spans"), F.col("state.difficulty").alias("difficulty"), "metadata.num_spans",
-                                   F.col("metadata.requires_reasoning").alias("reasoning"))
+    return I.contracts(raw)
 
 
 @query(f"""WITH {S_SAMPLES}, r AS (SELECT id, dialogue_id, [x.url FOR x IN u.documents] AS urls, [x.doc_id FOR x IN u.documents] AS ids, [x.file_name FOR x IN u.documents] AS files, source, utt FROM s JOIN
@@ -88,6 +101,14 @@ def source_meta(spark, d):
     return u.select("id", m.alias("m"), ctx.alias("ctx_key")).select("id", "m.dialogue_id", "m.url", "m.doc_id", "m.file_name", F.array_join("m.supporting_titles", "|").alias("titles"), "ctx_key")
 
 
+@query(" UNION ALL ".join(f"SELECT '{n}' AS source, action, count(*) AS n FROM ({SQL[q]}) GROUP BY action" for n, q in (("quac", "ingest_dialogues"), ("sharc", "ingest_conditional"), ("hotpotqa", "ingest_multihop"), ("contract_nli", "ingest_contracts"))).replace(
+    f"SELECT 'hotpotqa' AS source, action, count(*) AS n FROM ({SQL['ingest_multihop']}) GROUP BY action", f"SELECT 'hotpotqa', 'ANSWER', count(*) FROM ({SQL['ingest_multihop']})"))
+def merged_sources(spark, d):
+    """Samples of all four builders together, by source and action."""
+    parts = (_dialogues(spark, d), I.conditional(conditional_rows(spark, d), order="raw_id"), _multihop(spark, d), _contracts(spark, d))
+    return I.merge(*parts).groupBy("metadata.source", "action").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- reports
 
 
@@ -242,6 +263,39 @@ def reflection_rate(spark, d):
     return E.accuracy_by(r, "gt").join(rate, "gt").select("gt", "n", "changed", "accuracy")
 
 
+_USER = "list_filter(messages, lambda m: m.role = 'user')[1].content"
+
+
+@query(f"""WITH s AS (SELECT ft_id, list_filter(messages, lambda m: m.role = 'assistant')[1].content AS c FROM ft_samples), l AS (SELECT ft_id, coalesce(trim(string_split(coalesce({s_strip("c")}, ''), chr(10))[1]), '') AS l FROM s)
+SELECT ft_id, CASE WHEN l = '' THEN 'Could you say more about this?' WHEN right(l, 1) = '?' THEN l ELSE regexp_replace(l, '[.!\\s]+$', '') || '?' END AS question FROM l""")
+def repaired_questions(spark, d):
+    """The first line of each reply, made a question."""
+    return table(spark, d, "ft_samples").select("ft_id", D.as_question(B.content_of(F.col("messages"), "assistant")).alias("question"))
+
+
+@query(f"""WITH {S_SAMPLES}, x AS (SELECT id, list_filter(coalesce(known, []), lambda v: v IS NOT NULL) AS k, list_filter(coalesce(missing, []), lambda v: v IS NOT NULL) AS m, coalesce(query, '') AS q FROM s),
+g AS (SELECT *, CASE WHEN len(m) > 0 THEN regexp_replace(regexp_replace('Details about ' || m[1], '^(details about|context for:|information about)\\s*', '', 'i'), '^[''" ]+|[''" ]+$', '', 'g') END AS gap, nullif(string_split_regex({s_strip("q")}, '\\s+')[1], '') AS w FROM x)
+SELECT id, CASE WHEN len(m) = 0 THEN 'Could you say more about ' || coalesce(k[1], w, 'this topic') || '?' WHEN len(k) = 0 THEN 'What is ' || gap || '?' WHEN lower(k[1]) = lower(gap) THEN 'Could you say more about ' || k[1] || '?' ELSE 'On ' || k[1] || ': what is ' || gap || '?' END AS question FROM g""")
+def asked_back(spark, d):
+    """The question back for each sample's first gap."""
+    clean = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda v: v.isNotNull())
+    gaps = F.transform(clean("missing"), lambda m: F.concat(F.lit("Details about "), m))
+    return samples(spark, d).select("id", B.question(gaps, clean("known"), F.col("query")).alias("question"))
+
+
+@query(f"WITH {S_SAMPLES}, p AS (SELECT id, array_to_string(list_transform(docs, lambda t, i: '[' || i || '] ' || substr(coalesce(t, ''), 1, 800)), chr(10)) AS c, query, action, response FROM s WHERE docs IS NOT NULL) SELECT id, md5('So far:' || chr(10) || 'User: ' || coalesce(query, '') || chr(10) || 'Reply (' || coalesce(action, '') || '): ' || coalesce(response, '') || chr(10) || chr(10) || 'Query: ' || coalesce(query, '') || chr(10) || 'Context:' || chr(10) || c) AS prompt FROM p")
+def answer_prompts(spark, d):
+    """Prompts of the generator with a history of one turn, the sample's own."""
+    own = F.array(F.struct("query", "action", "response"))
+    return samples(spark, d).filter(F.col("docs").isNotNull()).select("id", F.md5(D.prompt(F.col("query"), F.col("docs"), own)).alias("prompt"))
+
+
+@query("""WITH m AS (SELECT ft_id, array_to_string(list_transform(messages, lambda m: '[' || m.role || '] ' || coalesce(m.content, '')), chr(10)) AS t FROM ft_samples) SELECT ft_id, md5(regexp_extract(t, '(?s)^\\s*(?:\\S+\\s*){0,60}')) AS chat FROM m""")
+def chat_texts(spark, d):
+    """Each sample's messages as one text, cut after 60 words."""
+    return table(spark, d, "ft_samples").select("ft_id", F.md5(B.chat_text(F.col("messages"), 60)).alias("chat"))
+
+
 # ---------------------------------------------------------------- sinks and readers
 
 
@@ -291,3 +345,17 @@ def stored_vectors(spark, d):
     return e.select("kb_id", F.size("e").cast("bigint").alias("buckets"), F.round(F.array_max("e").cast("double") + 1e-9, 4).alias("most"))
 
 
+@query(SQL["overall_metrics"])
+def written_metrics(spark, d):
+    """The one row of metrics, written as JSON and read back."""
+    m, path = QUERIES["overall_metrics"](spark, d), _folder(spark)
+    T.write_lines(m, path)
+    return T.read_document(spark, path, ", ".join(f"{n} {k}" for n, k in m.dtypes))
+
+
+@query(SQL["kg_triple_edges"])
+def stored_graph(spark, d):
+    """A graph saved under one phase, and loaded where a later phase is looked for first."""
+    e, path = QUERIES["kg_triple_edges"](spark, d), _folder(spark)
+    T.save_graph({"nodes": e.select(F.col("src").alias("node")).distinct(), "edges": e, "bridges": e.select("kb_ids")}, path, "first")
+    return T.load_graph(spark, path, "second", "first")["edges"]

@@ -21,29 +21,32 @@ LEVELS = ["easy", "medium", "hard", "very_hard"]
 
 
 @query("""
-WITH v AS (SELECT payload::JSON AS j FROM raw_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
-r AS (SELECT j ->> '$.utterance_id' AS u, j ->> '$.question' AS q, j ->> '$.answer' AS answer, coalesce(j ->> '$.snippet', '') AS snippet,
+WITH v AS (SELECT raw_id, payload::JSON AS j FROM raw_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+r AS (SELECT raw_id, j ->> '$.utterance_id' AS u, j ->> '$.question' AS q, j ->> '$.answer' AS answer, coalesce(j ->> '$.snippet', '') AS snippet,
   regexp_replace(coalesce(j ->> '$.scenario', ''), '^\\s+|\\s+$', '', 'g') AS sc, coalesce(json_array_length(j, '$.evidence'), 0)::INTEGER AS ev, coalesce(json_array_length(j, '$.history'), 0)::INTEGER AS hi
   FROM v WHERE coalesce(json_type(j, '$.evidence'), 'ARRAY') IN ('ARRAY', 'NULL') AND coalesce(json_type(j, '$.history'), 'ARRAY') IN ('ARRAY', 'NULL')),
 l AS (SELECT *, CASE WHEN answer IN ('Yes', 'No') THEN 'ANSWER' WHEN answer = 'Follow-on' THEN 'ASK' ELSE 'ABSTAIN' END AS action FROM r),
 m AS (SELECT *, CASE action WHEN 'ASK' THEN ev WHEN 'ABSTAIN' THEN 1 ELSE 0 END AS mis FROM l)
-SELECT u AS utterance_id, q AS query, action, snippet || CASE WHEN sc <> '' THEN chr(10) || chr(10) || 'User Scenario: ' || sc ELSE '' END AS text, mis AS num_missing, hi > 0 AS multi_turn, ev > 1 AS reasoning,
+SELECT printf('sharc_%06d', row_number() OVER (ORDER BY raw_id) - 1) AS id, u AS utterance_id, q AS query, action, snippet || CASE WHEN sc <> '' THEN chr(10) || chr(10) || 'User Scenario: ' || sc ELSE '' END AS text, mis AS num_missing, hi > 0 AS multi_turn, ev > 1 AS reasoning,
   CASE WHEN mis + ev + hi = 0 THEN 'easy' WHEN mis + ev + hi <= 2 THEN 'medium' WHEN mis + ev + hi <= 4 THEN 'hard' ELSE 'very_hard' END AS difficulty,
   CASE WHEN action = 'ASK' OR mis > 0 THEN 'INSUFFICIENT_VARIABLES' ELSE 'COMPLETE' END AS failure_mode,
   CASE action WHEN 'ANSWER' THEN 'complete' WHEN 'ABSTAIN' THEN 'incomplete' ELSE 'partial' END AS completeness
 FROM m""")
 def ingest_conditional(spark, d):
     """Raw payloads of the rule-based source as unified samples; payloads that are no JSON object are left out."""
-    raw = table(spark, d, "raw_records").select("raw_id", F.from_json("payload", schemas.CONDITIONAL).alias("j"), F.try_parse_json("payload").alias("v"))
-    raw = raw.filter(F.schema_of_variant("v").startswith("OBJECT")).select("raw_id", "j.*")
-    s = I.conditional(raw, order="raw_id")
+    s = I.conditional(conditional_rows(spark, d), order="raw_id")
     return s.select(
-        F.col("metadata.utterance_id").alias("utterance_id"), "query", "action", F.col("context.documents")[0]["text"].alias("text"), F.col("metadata.num_missing_variables").alias("num_missing"),
+        "id", F.col("metadata.utterance_id").alias("utterance_id"), "query", "action", F.col("context.documents")[0]["text"].alias("text"), F.col("metadata.num_missing_variables").alias("num_missing"),
         F.col("metadata.multi_turn").alias("multi_turn"), F.col("metadata.requires_reasoning").alias("reasoning"), F.col("state.difficulty").alias("difficulty"),
         F.col("state.failure_mode").alias("failure_mode"), F.col("state.completeness").alias("completeness"),
     )
 
 
+def conditional_rows(spark, d):
+    raw = table(spark, d, "raw_records").select("raw_id", F.from_json("payload", schemas.CONDITIONAL).alias("j"), F.try_parse_json("payload").alias("v"))
+    return raw.filter(F.schema_of_variant("v").startswith("OBJECT")).select("raw_id", "j.*")
+
+
 @query("""
 SELECT ft_id, CASE WHEN num_missing + num_triples = 0 THEN 'easy' WHEN num_missing + num_triples <= 2 THEN 'medium' WHEN num_missing + num_triples <= 4 THEN 'hard' ELSE 'very_hard' END AS level,
   CASE WHEN action = 'ASK' OR num_missing > 0 THEN 'INSUFFICIENT_VARIABLES' ELSE 'COMPLETE' END AS mode, CASE action WHEN 'ANSWER' THEN 'complete' WHEN 'ABSTAIN' THEN 'incomplete' ELSE 'partial' END AS complete
@@ -283,6 +286,15 @@ def dialogue_history(spark, d):
     return H.history(s).select("id", H.history_text(F.col("history")).alias("history"))
 
 
+@query(_STATE + """, o AS (SELECT id, t, query, action, response, row_number() OVER (PARTITION BY id ORDER BY t DESC, query DESC NULLS LAST, action DESC NULLS LAST, response DESC NULLS LAST) AS r FROM e),
+f AS (SELECT id, string_agg('Turn ' || t || ' | ' || coalesce(action, '') || ' | Q: ' || coalesce(substr(query, 1, 80), '') || ' | A: ' || coalesce(substr(response, 1, 120), ''), chr(10) ORDER BY r DESC) AS h FROM o WHERE r <= 3 GROUP BY 1)
+SELECT b.id, coalesce(f.h, '') AS history FROM b LEFT JOIN f USING (id)""")
+def history_last3(spark, d):
+    """The last three earlier turns."""
+    s = samples(spark, d).filter("dialogue_id IS NOT NULL").withColumns({"action": F.coalesce("action", F.lit("")), "query": F.coalesce("query", F.lit(""))})
+    return H.history(s, last=3).select("id", H.history_text(F.col("history")).alias("history"))
+
+
 # ---------------------------------------------------------------- samples and splits
 
 _ORDER = "md5('42|' || id)"

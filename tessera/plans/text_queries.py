@@ -415,9 +415,13 @@ def text_scores(spark, d):
     return samples(spark, d).select("id", F.round(E.token_f1(q, r), 4).alias("f1"), E.exact_match(q, r).alias("em"))
 
 
-@query()
+@query(f"""WITH {S_SAMPLES}, t AS (SELECT id, {_lower("query")} AS a, {_lower("response")} AS b FROM s),
+l AS (SELECT id, len(a) AS n, len(b) AS m, list_reduce(a, lambda row, w: list_prepend(0, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k + 1], row[k] + (b[k] = w)::BIGINT))))),
+  list_transform(range(0, len(b) + 1), lambda x: 0::BIGINT))[-1] AS c FROM t WHERE len(a) > 0 AND len(b) > 0)
+SELECT id, round(coalesce(2.0 * c / (n + m), 0) + 1e-9, 4) AS rouge_l FROM t LEFT JOIN l USING (id)""")
 def rouge_scores(spark, d):
-    return samples(spark, d).select("id", F.round(E.rouge_l(F.col("query"), F.col("response")), 4).alias("rouge_l"))
+    """F of the longest common subsequence of query and response."""
+    return samples(spark, d).select("id", F.round(E.rouge_l(F.col("query"), F.col("response")) + 1e-9, 4).alias("rouge_l"))
 
 
 @query(f"WITH {S_SAMPLES} SELECT count(*) FILTER (action = 'ASK') AS asks, round(count(*) FILTER (action = 'ASK' AND regexp_matches(response, '\\?\\s*$')) / nullif(count(*) FILTER (action = 'ASK'), 0), 4) AS question_rate FROM s")
