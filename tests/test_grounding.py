@@ -15,7 +15,7 @@ from tessera.operators import graph as G
 from tessera.operators import grounding as N
 from tessera.operators import sampling as S
 from tessera.operators.providers import Providers, embed
-from tessera.operators.retrieve import _Best
+from tessera.operators.retrieve import _Best, fan_out
 from tessera.runtime import cut_counted, lookup, numbered_rows, widened
 from tessera.sources import tables as T
 
@@ -194,6 +194,14 @@ def test_reflection(spark):
     assert val(spark, P.action_line(F.lit("ACTION: ASK\nACTION: none"), "ACTION")) == "ASK"
 
 
+def test_prompts_and_agents_share(spark):
+    h = F.array(F.struct(F.lit("q1").alias("query"), F.lit("ASK").alias("action"), F.lit(None).cast("string").alias("response")))
+    assert val(spark, D.prompt(F.lit("q"), F.array(F.lit("abcdef"), F.lit(None)), h, 3)) == "So far:\nUser: q1\nReply (ASK): \n\nQuery: q\nContext:\n[1] abc\n[2] "
+    assert val(spark, D.prompt(F.lit(None).cast("string"), F.array().cast("array<string>"), F.slice(h, 1, 0))) == "Query: \nContext:\n"
+    hits = spark.createDataFrame([("q", s, 4, f"d{s}{r}", 1.0, r) for s in range(4) for r in (1, 2, 3)], "query_id string, sub int, n_sub int, doc_id string, score double, rank int")
+    assert fan_out(hits, 4).count() == 4 and fan_out(hits, 4, least=2).count() == 8
+
+
 def test_specificity(spark):
     v = spark.createDataFrame([("further details",), ("harbour fee",), ("abc",), (None,), ("harbour fee",)], "v string")
     assert {r.value: r.specific for r in B.specificity(v, "v", Providers().embed).collect()} == {"further details": False, "harbour fee": True, "abc": False}

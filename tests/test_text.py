@@ -13,11 +13,16 @@ def test_white_space(spark):
         want = [w for w in __import__("re").split(f"[{X.WS}]+", t or "") if w]
         assert one(spark, X.ws_words("t"), t) == want
         assert one(spark, X.ws_count("t"), t) == len(want)
+        assert X.split_words(t or "") == want
+    every = "x".join(map(chr, (*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2030), 0x205F, 0x3000, 0xFEFF)))
+    want = [w for w in __import__("re").split(f"[{X.WS}]+", every) if w]
+    assert one(spark, X.ws_count("t"), every) == len(want) == len(X.split_words(every)) and one(spark, X.ws_words("t"), every) == want
     assert one(spark, X.strip("t"), "\n  a b　") == "a b"
     assert one(spark, X.squash("t"), " a \n b ") == "a b"
 
 
 def test_keys_and_labels(spark):
+    assert one(spark, X.key("t"), "--A, b!! \u00a0 c--") == "abc" and one(spark, X.alnum_words("t"), "--A, b!! \u00a0 c_d--") == ["a", "b", "c", "d"]
     assert one(spark, X.key("t"), "Contract-NLI \n2²") == "contractnli2²"
     assert one(spark, X.key("t"), None) is None
     assert [one(spark, X.is_blank("t"), t) for t in (None, "", "?!\n", "a")] == [True, True, True, False]
