@@ -328,6 +328,25 @@ def kg_placeholders(spark, d):
     return edges.select("src", "dst", "relation", "weight", "frequency")
 
 
+@query(f"""WITH {_CO}, x AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e), dg AS (SELECT node, count(*) AS degree FROM x GROUP BY 1), nm AS (SELECT *, regexp_matches(node, '^[b-df-hj-np-tv-z][aeiou][b-df-hj-np-tv-z][aeiou]') AS named, (SELECT avg(degree) FROM dg) AS mean FROM dg),
+nz AS (SELECT node FROM nm WHERE (length(node) <= 4 OR degree > 3 * mean) AND NOT named){_VARS[len(_NAMES):]}, lq AS (SELECT kb_id, unnest(list_zip(linked_sample_ids, linked_actions, linked_queries)) AS z FROM kb),
+bd AS (SELECT '?var_' || z[1] AS dst, min(z[3]) AS q FROM lq JOIN f USING (kb_id) WHERE z[2] = 'ASK' AND z[1] IS NOT NULL AND anchor IN (SELECT node FROM m GROUP BY 1 HAVING count(*) = 1) GROUP BY 1), nd AS (SELECT DISTINCT node FROM x WHERE node NOT IN (SELECT node FROM nz)),
+{s_vectors("bq", "SELECT dst AS k, q AS t FROM bd WHERE q IS NOT NULL")}, {s_vectors("nq", "SELECT node AS k, node AS t FROM nd")}, sm AS (SELECT bq.k AS dst, nq.k AS node, round(sum(bq.x * nq.x), 6) AS sim FROM bq JOIN nq ON bq.b = nq.b GROUP BY ALL)
+SELECT src, dst, 0.9::DOUBLE AS weight FROM va WHERE dst NOT IN (SELECT dst FROM bd) UNION ALL SELECT node, dst, 0.8 FROM (SELECT * FROM sm WHERE sim >= 0.25 QUALIFY row_number() OVER (PARTITION BY dst ORDER BY sim DESC, node) = 1)""")
+def kg_reanchored(spark, d):
+    """Placeholders whose anchor one chunk only mentions, moved to the node nearest to their query that is no noise, or gone."""
+    e, asks = _edges(spark, d), cut(_asks(spark, d).filter("sample_id IS NOT NULL"))
+    named = lambda c: F.regexp_like(c, F.lit("^[b-df-hj-np-tv-z][aeiou][b-df-hj-np-tv-z][aeiou]"))
+    noise = cut(G.noise_nodes(e, G.endpoints(e).withColumn("named", named("node"))).select("node"))
+    rare = _mentions(spark, d).groupBy(F.col("node").alias("anchor")).count().filter(F.col("count") == 1)
+    bad = asks.join(rare, "anchor", "left_semi").groupBy(F.concat(F.lit("?var_"), "sample_id").alias("node")).agg(F.min("query").alias("q"))
+    bad = cut(bad.withColumn("v", F.when(F.col("q").isNotNull(), Providers().embed(F.col("q")))))
+    left = G.endpoints(e).join(noise, "node", "left_anti").withColumn("v", Providers().embed(F.col("node")))
+    best = N.nearest(bad, "node", "v", left, "node", "v", 1, 0.25).select(F.col("key").alias("node"), F.col("match").alias("anchor"), "sim")
+    moved, _ = G.reanchor(G.placeholders(asks)[1], bad.select("node"), best, G.GraphConfig(reanchor=0.25))
+    return moved.select("src", "dst", "weight")
+
+
 @query()
 def kg_similar_hubs(spark, d):
     return similar_hubs(G.degrees(_edges(spark, d)))
