@@ -17,11 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS
+from ..functions.text import split_words
 
 #: Words (runs of letters), numbers, ends of sentences, and marks inside them, in one pass over a text.
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[.!?…]+(?=\s|$)|[。！？]+|\n\s*\n|[,;:()\[\]—–]")
-_WS_WORD = re.compile(rf"[^{WS}]+")
 _VOWELS = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûëïœæ]+")
 #: Codes of tokens that are no words.
 _END, _COMMA, _COLON, _BRACKET, _NUMBER = -1, -2, -3, -4, -5
@@ -215,11 +214,6 @@ def word_ranks(docs: DataFrame, text: str, ranked: int = RANKED, most: int = 500
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _ws_words(t: str) -> int:
-    """White-space words. Python's own split takes four control characters for white space that aren't."""
-    return len(_WS_WORD.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
-
-
 @dataclass(frozen=True)
 class Boosting:
     trees: int = 120
@@ -384,7 +378,7 @@ def levels(docs: DataFrame, model: ReadingModel, least_words: int = 0) -> DataFr
         lexicon = Lexicon(m.ranks)
         for pdf in batches:
             if least_words:
-                pdf = pdf[[bool(t) and _ws_words(t) >= least_words for t in pdf["text"]]]
+                pdf = pdf[[bool(t) and len(split_words(t)) >= least_words for t in pdf["text"]]]
             for k in range(0, len(pdf), _SLICE):
                 some = pdf.iloc[k : k + _SLICE]
                 x = features([t or "" for t in some["text"]], lexicon)
