@@ -196,11 +196,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree")).withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
-def chunk_similarities(edges: DataFrame, kb: DataFrame, embed) -> DataFrame:
-    """(src, dst, sim) of each edge, as the text of its ends and relation, with each of its chunks' texts (kb: kb_id, text)."""
+def chunk_similarities(edges: DataFrame, kb: DataFrame, embed, m: DataFrame | None = None) -> DataFrame:
+    """(src, dst, sim) of each edge, as the text of its ends and relation, with each of its chunks' texts (kb: kb_id, text). With
+    mentions ``m`` (kb_id, node), an edge without chunks is compared with the chunks that mention either end."""
     text = F.concat_ws(" ", "src", F.replace(F.coalesce("relation", F.lit("related to")), F.lit("_"), F.lit(" ")), "dst")
-    e = edges.select("src", "dst", "kb_ids", embed(text).alias("_e")).select("src", "dst", "_e", F.explode("kb_ids").alias("kb_id"))
-    k = kb.filter("text IS NOT NULL").join(edges.select(F.explode("kb_ids").alias("kb_id")).distinct(), "kb_id", "left_semi").select("kb_id", embed(F.col("text")).alias("_k"))
+    of = edges.select("src", "dst", F.explode("kb_ids").alias("kb_id"))
+    if m is not None:
+        bare = edges.filter(F.coalesce(F.size("kb_ids"), F.lit(0)) <= 0).select("src", "dst", F.explode(F.array("src", "dst")).alias("node"))
+        of = of.unionByName(bare.join(m.select("node", "kb_id"), "node").select("src", "dst", "kb_id").distinct())
+    e = of.join(edges.select("src", "dst", embed(text).alias("_e")), ["src", "dst"])
+    k = kb.filter("text IS NOT NULL").join(of.select("kb_id").distinct(), "kb_id", "left_semi").select("kb_id", embed(F.col("text")).alias("_k"))
     return e.join(k, "kb_id").select("src", "dst", dot(F.col("_e"), F.col("_k")).alias("sim"))
 
 

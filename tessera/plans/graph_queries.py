@@ -474,6 +474,29 @@ def ft_effective_missing(spark, d):
     return _ft(spark, d).select("ft_id", F.array_join(B.effective_missing(F.col("q"), F.col("known"), F.col("gaps"), F.col("triples"), F.col("action")), "|").alias("missing"))
 
 
+_W = B.Wording()
+_NL = "chr(10)"
+
+
+@query(f"""WITH {_FT}, u AS (SELECT ft_id, coalesce({s_strip(f"regexp_extract({_USER}, '(?s)<query>(.*?)</query>', 1)")}, '') AS q FROM ft_samples)
+SELECT ft_id, md5('<query>' || {_NL} || q || {_NL} || '</query>' || {_NL} || {_NL} || '<known_variables>' || {_NL} || CASE WHEN len(known) > 0 THEN array_to_string(known, ', ') ELSE 'none' END || {_NL} || '</known_variables>' || {_NL} || {_NL} || '<graph_context>' || {_NL}
+  || CASE WHEN len(triples) > 0 THEN array_to_string(triples, {_NL}) ELSE '{_W.no_nodes}' END || {_NL} || '</graph_context>' || {_NL} || {_NL} || '<missing_variables>' || {_NL} || CASE WHEN len(gaps) > 0 THEN array_to_string(list_transform(gaps, lambda g: '- ' || g), {_NL}) ELSE 'none' END
+  || {_NL} || '</missing_variables>' || {_NL} || {_NL} || '{_W.task}') AS turn FROM ft JOIN u USING (ft_id)""")
+def ft_user_turns(spark, d):
+    """User turns written from the parts that were parsed out of the samples'."""
+    return _ft(spark, d).select("ft_id", F.md5(B.user_turn(F.col("q"), F.col("known"), F.col("gaps"), F.col("triples"))).alias("turn"))
+
+
+@query(f"""WITH {_FT}, p AS (SELECT ft_id, action, len(triples) AS n, list_filter(list_transform(triples[1:6], lambda t: string_split(t, ' | ')), lambda x: len(x) = 3) AS p FROM ft),
+o AS (SELECT *, list_filter(flatten(list_transform(p, lambda x: [{s_strip("x[1]")}, {s_strip("x[3]")}])), lambda e: NOT starts_with(e, '?') AND length(e) > 2) AS e, list_filter(list_transform(p, lambda x: {s_strip("x[2]")}), lambda r: r NOT IN ('requires', 'related to') AND length(r) > 3) AS r FROM p),
+f AS (SELECT *, list_filter(e, lambda x, i: list_position(e, x) = i)[1:4] AS e4, list_filter(r, lambda x, i: list_position(r, x) = i)[1:3] AS r3 FROM o)
+SELECT ft_id, CASE WHEN n = 0 THEN '{_W.no_graph}' ELSE 'Entities: ' || CASE WHEN len(e4) > 0 THEN array_to_string(e4, ', ') ELSE 'the query''s topic' END || '. Relations: ' || CASE WHEN len(r3) > 0 THEN array_to_string(r3, ', ') ELSE 'various' END || '. '
+  || CASE action WHEN 'ANSWER' THEN '{_W.complete}' WHEN 'ASK' THEN '{_W.partial}' ELSE '{_W.absent}' END END AS summary FROM f""")
+def ft_graph_summaries(spark, d):
+    """What each sample's graph lines amount to."""
+    return _ft(spark, d).select("ft_id", B.graph_summary(F.col("triples"), F.col("action")).alias("summary"))
+
+
 @query()
 def ft_build(spark, d):
     """Supervised samples built from the samples, the graph and running dialogue state, with splits that keep dialogues whole."""

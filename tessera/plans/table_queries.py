@@ -295,6 +295,20 @@ def history_last3(spark, d):
     return H.history(s, last=3).select("id", H.history_text(F.col("history")).alias("history"))
 
 
+#: Responses that say nothing of their own, as the test tables word them.
+DUMMIES = ("Could you provide more details?", "There is too little here to decide.", "The text leaves this open.", "I cannot tell from the material given.")
+_DUMMY = ", ".join(f"'{x}'" for x in DUMMIES)
+
+
+@query(_STATE + f""", w AS (SELECT id, t, query, action, substr(CASE WHEN {s_strip("response")} IN ({_DUMMY}) AND action = 'ASK' AND len(missing) > 0 THEN '[asked for: ' || missing[1] || ']' WHEN {s_strip("response")} IN ({_DUMMY}) AND action = 'ABSTAIN' THEN '[could not answer]' ELSE response END, 1, 120) AS said FROM e),
+f AS (SELECT id, string_agg('Turn ' || t || ' | ' || coalesce(action, '') || ' | Q: ' || coalesce(substr(query, 1, 80), '') || ' | A: ' || coalesce(said, ''), chr(10) ORDER BY t, query NULLS FIRST, action NULLS FIRST, said NULLS FIRST) AS h FROM w GROUP BY 1)
+SELECT b.id, coalesce(f.h, '') AS history FROM b LEFT JOIN f USING (id)""")
+def history_rewritten(spark, d):
+    """Earlier turns, with responses that say nothing replaced by what their action meant."""
+    s = samples(spark, d).filter("dialogue_id IS NOT NULL").withColumns({"action": F.coalesce("action", F.lit("")), "query": F.coalesce("query", F.lit(""))})
+    return H.history(s, dummies=DUMMIES).select("id", H.history_text(F.col("history")).alias("history"))
+
+
 # ---------------------------------------------------------------- samples and splits
 
 _ORDER = "md5('42|' || id)"

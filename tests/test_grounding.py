@@ -106,6 +106,16 @@ def test_steps_by_ranges_equal_steps_in_order(spark, ranges):
     assert {r.weight for r in G.reinforce(e, ev.limit(0), ranges=ranges).collect()} == {0.7, 0.4}
 
 
+def test_edges_without_chunks_take_those_of_their_ends(spark):
+    e = spark.createDataFrame([("town", "sea", None, ["k1"]), ("town", "hill", "has", []), ("x", "y", "r", None)], "src string, dst string, relation string, kb_ids array<string>")
+    kb = spark.createDataFrame([("k1", "town sea"), ("k2", "hill town"), ("k3", None)], "kb_id string, text string")
+    m = spark.createDataFrame([("k1", "town"), ("k2", "town"), ("k2", "hill"), ("k3", "hill")], "kb_id string, node string")
+    assert {(r.src, r.dst) for r in G.chunk_similarities(e, kb, embed).collect()} == {("town", "sea")}
+    got = G.chunk_similarities(e, kb, embed, m).collect()
+    assert sorted((r.src, r.dst) for r in got) == [("town", "hill"), ("town", "hill"), ("town", "sea")]
+    assert {(r.src, r.dst): r.sem_score for r in G.sem_scores(e.withColumn("frequency", F.lit(0)), G.chunk_similarities(e, kb, embed, m)).collect()}[("town", "hill")] > 0.8
+
+
 def test_chunk_triples_and_bridges(spark):
     t = spark.createDataFrame([("k", "a", "r", "b", "2"), ("k", "a", "r", "b", "1"), ("k", "c", "r", "d", "3"), ("j", "x", "r", "y", "1")], "kb_id string, s string, r string, o string, ord string")
     assert {(r.kb_id, r.rank, r.s) for r in G.chunk_triples(t, 1).collect()} == {("k", 1, "a"), ("j", 1, "x")}
