@@ -34,15 +34,24 @@ def _clean(a: Column) -> Column:
 def running_state(df: DataFrame, dialogue: str = "dialogue_id", turn: str = "turn_id", known: str = "known", missing: str = "missing", action: str = "action") -> DataFrame:
     """``df`` with cum_known, cum_resolved and still_missing, each sorted and distinct, of strictly earlier turns.
 
-    A question resolves its first missing value, which is then known. A dialogue's turns meet in one task, as its state is a
-    running one; dialogues are short by nature, whatever their number.
+    A question resolves its first missing value, which is then known. Each value is reduced to the turn it first occurs in, by
+    dialogue and value, before a dialogue's turns meet; so what is gathered is what the result holds, however often values are
+    repeated. Rows without a dialogue have no earlier turns.
     """
-    w = _earlier(dialogue, turn)
-    first = F.when((F.col(action) == "ASK") & (F.size(F.coalesce(missing, F.array().cast(_NONE))) > 0), F.array(F.get(missing, F.lit(0)))).otherwise(F.array().cast(_NONE))
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c).over(w))))
-    out = df.withColumns({"_k": F.concat(_clean(F.col(known)), first), "_r": first, "_m": _clean(F.col(missing))})
-    out = out.withColumns({"cum_known": flat("_k"), "cum_resolved": flat("_r"), "_all": flat("_m")})
-    return out.withColumn("still_missing", F.array_except("_all", "cum_resolved")).drop("_k", "_r", "_m", "_all")
+    none = F.array().cast(_NONE)
+    first = F.when((F.col(action) == "ASK") & (F.size(F.coalesce(missing, none)) > 0), F.array(F.get(missing, F.lit(0)))).otherwise(none)
+    kinds = {"k": F.concat(_clean(F.col(known)), first), "r": first, "m": _clean(F.col(missing))}
+    marked = lambda kind, a: F.transform(a, lambda v: F.struct(F.lit(kind).alias("_kind"), v.alias("_v")))
+    said = F.concat(*(marked(kind, a) for kind, a in kinds.items()))
+    there = df.filter(F.col(dialogue).isNotNull())
+    begun = there.select(dialogue, turn_no(turn).alias("_t"), F.inline(said)).groupBy(dialogue, "_kind", "_v").agg(F.min("_t").alias("_t"))
+    new = begun.groupBy(dialogue, "_t").agg(*(F.collect_list(F.when(F.col("_kind") == k, F.col("_v"))).alias(f"_{k}") for k in kinds))
+    turns = there.select(dialogue, turn_no(turn).alias("_t")).distinct().join(new, [dialogue, "_t"], "left")
+    w = Window.partitionBy(dialogue).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = turns.select(dialogue, "_t", *(F.array_sort(F.flatten(F.collect_list(f"_{k}").over(w))).alias(f"_{k}") for k in kinds))
+    out = df.withColumn("_t", turn_no(turn)).join(earlier, [dialogue, "_t"], "left")
+    known_, resolved, gaps_ = (F.coalesce(f"_{k}", none) for k in kinds)
+    return out.select(*df.columns, known_.alias("cum_known"), resolved.alias("cum_resolved"), F.array_except(gaps_, resolved).alias("still_missing"))
 
 
 def history(df: DataFrame, dialogue: str = "dialogue_id", turn: str = "turn_id", query: str = "query", response: str = "response", action: str = "action", missing: str = "missing",
