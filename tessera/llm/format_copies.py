@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import key
+from ..functions.text import is_blank, key, let
 from ..runtime import cut, lookup
 
 
@@ -52,15 +52,12 @@ def _forms(payloads: pd.Series) -> pd.Series:
 
 def text_form(raw: Column) -> Column:
     """Keys of raw[0] and, in any order, of the rest; null where the key of raw[0] is empty. Null counts as empty."""
-    keys = F.transform(raw, lambda t: F.coalesce(key(t), F.lit("")))
-    first = F.get(keys, F.lit(0))
-    rest = F.array_sort(F.slice(keys, 2, 2_000_000_000))
-    return F.when(first != "", F.concat_ws("\u0001", F.concat(first, F.lit("\u0002")), rest))
+    put = lambda keys: F.concat_ws("\u0001", F.concat(F.get(keys, F.lit(0)), F.lit("\u0002")), F.array_sort(F.slice(keys, 2, 2_000_000_000)))
+    return F.when(~is_blank(F.get(raw, F.lit(0))), let(F.transform(raw, lambda t: F.coalesce(key(t), F.lit(""))), put))
 
 
 def _collapsed(tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Members (tbl, id, rd), stored, and distinct raw records (tbl, rd, rep, n, form, fd); rd and fd are the SHA-256 of the raw
-    record and of its canonical form.
+    """Members (tbl, id, rd), stored, and distinct raw records (tbl, rd, rep, n, form), stored; rd is the SHA-256 of the raw record.
 
     Which delivery of an id counts is decided by digests, and copies are counted by them; a raw text crosses the network
     once, when equal ones are collapsed, and reaches canonical form only if a member has it.
@@ -73,15 +70,19 @@ def _collapsed(tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     members = cut(rows.groupBy("tbl", "id").agg(F.max(F.struct("v", "rd")).alias("r")).select("tbl", "id", F.col("r.rd").alias("rd")))
     counts = members.groupBy("tbl", "rd").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     survivors = rows.groupBy("tbl", "rd").agg(F.first("raw").alias("raw")).join(counts, ["tbl", "rd"])
-    texts = survivors.filter("tbl <> 'raw_records'").withColumn("form", text_form(F.col("raw")))
+    texts = survivors.filter((F.col("tbl") != "raw_records") & ~is_blank(F.get("raw", F.lit(0)))).withColumn("form", text_form(F.col("raw")))
     payloads = survivors.filter("tbl = 'raw_records'").withColumn("form", F.pandas_udf(_forms, "string")(F.get("raw", F.lit(0))))
-    formed = texts.unionByName(payloads).filter(F.col("form").isNotNull())
-    return members, formed.select("tbl", "rd", "rep", "n", "form", F.unhex(F.sha2("form", 256)).alias("fd"))
+    formed = cut(texts.unionByName(payloads).select("tbl", "rd", "rep", "n", "form"))
+    return members, formed.filter(F.col("form").isNotNull())
+
+
+def _digest(form: str = "form") -> Column:
+    return F.sha2(form, 256)
 
 
 def _classes(formed: DataFrame) -> DataFrame:
-    """Grouped on the full canonical text; fd stands for it afterwards."""
-    return formed.groupBy("tbl", "form").agg(F.first("fd").alias("fd"), F.min("rep").alias("first_id"), F.sum("n").alias("copies"), F.count("*").alias("variants")).drop("form")
+    """Grouped on the full canonical text."""
+    return formed.groupBy("tbl", "form").agg(F.min("rep").alias("first_id"), F.sum("n").alias("copies"), F.count("*").alias("variants"))
 
 
 def class_counts(tables: list[DataFrame]) -> DataFrame:
@@ -93,7 +94,7 @@ def class_counts(tables: list[DataFrame]) -> DataFrame:
     canonical form (blank, broken, null) are no class; rows without id are left out. All groupings combine before they
     shuffle, so a record that makes up a third of all rows costs a row per task.
     """
-    return _classes(_collapsed(tables)[1]).drop("fd")
+    return _classes(_collapsed(tables)[1]).drop("form")
 
 
 def class_members(tables: list[DataFrame], hot_rows: int = 200_000) -> DataFrame:
@@ -103,9 +104,8 @@ def class_members(tables: list[DataFrame], hot_rows: int = 200_000) -> DataFrame
     joins of narrow rows; a digest with a great many members is looked up by broadcast.
     """
     members, formed = _collapsed(tables)
-    formed = cut(formed)
-    classes = _classes(formed).filter("copies > 1").select(F.concat("tbl", F.hex("fd")).alias("_f"), "first_id")
-    forms = formed.select(F.concat("tbl", F.hex("fd")).alias("_f"), F.concat("tbl", F.hex("rd")).alias("_k"))
+    classes = _classes(formed).filter("copies > 1").select(F.concat("tbl", _digest()).alias("_f"), "first_id")
+    forms = formed.select(F.concat("tbl", _digest()).alias("_f"), F.concat("tbl", F.hex("rd")).alias("_k"))
     firsts = lookup(forms, "_f", classes, hot_rows).filter(F.col("first_id").isNotNull()).select("_k", "first_id")
     named = lookup(members.select("tbl", "id", F.concat("tbl", F.hex("rd")).alias("_k")), "_k", firsts, hot_rows)
     return named.filter(F.col("first_id").isNotNull() & (F.col("first_id") != F.col("id"))).select("tbl", "first_id", F.col("id").alias("other_id"))
