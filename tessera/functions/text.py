@@ -48,8 +48,8 @@ def alnum_words(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends. The end is looked for from the first blank of a run only, so long runs cost no more."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def ws_words(c: Column | str) -> Column:

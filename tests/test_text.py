@@ -18,6 +18,8 @@ def test_white_space(spark):
     want = [w for w in __import__("re").split(f"[{X.WS}]+", every) if w]
     assert one(spark, X.ws_count("t"), every) == len(want) == len(X.split_words(every)) and one(spark, X.ws_words("t"), every) == want
     assert one(spark, X.strip("t"), "\n  a b　") == "a b"
+    long = " " * 300_000
+    assert one(spark, X.strip("t"), f"{long}a{long}b{long}") == f"a{long}b" and one(spark, X.strip("t"), long) == ""
     assert one(spark, X.squash("t"), " a \n b ") == "a b"
 
 
