@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -327,15 +328,54 @@ def ego(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return out
 
 
-def seed_triples(edges: DataFrame, seeds: DataFrame, weight: str = "weight", hops: int = 2, look: int = 36, most: int = 24) -> DataFrame:
+def _lines_near(lines: DataFrame, seeds: DataFrame, hops: int, look: int, most: int) -> DataFrame:
+    """What ``seed_triples`` gives, of a graph whose ``lines`` (src, dst, triple), in their order, go out to the tasks of the seeds."""
+    number: dict[str, int] = {}
+    src, dst, triples = [], [], []
+    for r in lines.select("src", "dst", "triple").toLocalIterator():
+        src.append(number.setdefault(r.src, len(number)))
+        dst.append(number.setdefault(r.dst, len(number)))
+        triples.append(r.triple)
+    sc, kind = lines.sparkSession.sparkContext, dict(lines.dtypes)["src"]
+    sent = sc.broadcast((number, np.array(src, np.int32), np.array(dst, np.int32), triples))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, src, dst, triples = sent.value
+        for pdf in batches:
+            out = []
+            for seed in pdf["seed"]:
+                if seed not in number:
+                    continue
+                near = np.zeros(len(number), bool)
+                near[number[seed]] = True
+                for _ in range(hops):
+                    ahead, back = dst[near[src]], src[near[dst]]
+                    near[ahead] = near[back] = True
+                at = np.flatnonzero(near[src] & near[dst])[:look]
+                once = list(dict.fromkeys(triples[i] for i in at))[:most]
+                out += [(seed, t, i + 1) for i, t in enumerate(once)]
+            yield pd.DataFrame(out, columns=["seed", "triple", "rank"])
+
+    s = seeds.select(F.col("node").alias("seed")).distinct().repartition(sc.defaultParallelism)
+    return s.mapInPandas(run, f"seed {kind}, triple string, rank int")
+
+
+def seed_triples(edges: DataFrame, seeds: DataFrame, weight: str = "weight", hops: int = 2, look: int = 36, most: int = 24, few: int = 200_000) -> DataFrame:
     """(seed, triple, rank): edges with both ends in a seed's surroundings, heaviest first (ties: later text first), the
-    distinct ones among the first ``look``, at most ``most``."""
+    distinct ones among the first ``look``, at most ``most``.
+
+    Near a hub each seed's surroundings are most of the graph. They are never stored for a graph of at most ``few`` edges, which
+    goes out to the tasks as numbers and lines instead. Those of a larger graph are shuffled: as stored, pairs of seeds and
+    nodes take a hundredth of their size in memory, so the optimizer would take them for small enough to broadcast."""
+    text = F.concat_ws(" | ", "src", F.replace(F.coalesce("relation", F.lit("related to")), F.lit("_"), F.lit(" ")), "dst")
+    lines, n = cut_counted(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.col(weight).alias("_w"), text.alias("triple")))
+    if n <= few:
+        return _lines_near(lines.orderBy(F.desc("_w"), F.desc("triple")), seeds, hops, look, most)
     e = cut(ego(edges, seeds, hops))
     a, b = e.select("seed", F.col("node").alias("src")), e.select("seed", F.col("node").alias("dst"))
-    inside = edges.join(a, "src").join(b, ["seed", "dst"])
-    text = F.concat_ws(" | ", "src", F.replace(F.coalesce("relation", F.lit("related to")), F.lit("_"), F.lit(" ")), "dst")
-    w = Window.partitionBy("seed").orderBy(F.desc(weight), F.desc("triple"))
-    ranked = inside.withColumn("triple", text).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= look)
+    inside = lines.join(a.hint("merge"), "src").join(b.hint("merge"), ["seed", "dst"])
+    w = Window.partitionBy("seed").orderBy(F.desc("_w"), F.desc("triple"))
+    ranked = inside.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= look)
     once = ranked.groupBy("seed", "triple").agg(F.min("rank").alias("rank"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("rank"))).filter(F.col("rank") <= most)
 

@@ -16,7 +16,7 @@ from ..operators import grounding as N
 from ..operators import retrieve as R
 from ..operators import sampling as S
 from ..operators.providers import Providers
-from ..runtime import cut, numbered_rows
+from ..runtime import broadcast_if_small, cut, numbered_rows
 from .registry import samples, table
 
 SYSTEM = "Decide the next step from the query, what is known, the graph lines and what is missing. Put one decision inside decision tags and give your reason."
@@ -109,7 +109,7 @@ def route(spark: SparkSession, sf_dir: str, p: Providers = Providers(), k: int =
     sparse = cut(R.bm25_pool(docs, "doc_id", "text", subs, "sid", "q", pool, dense.select("query_id", "doc_id")))
     hits = R.fuse(dense, sparse, k).select(F.col("query_id").alias("sid"), "doc_id", F.col("fused_score").alias("score"), "rank")
     fan = R.fan_out(hits.join(subs.select("sid", F.col("item_id").alias("query_id"), "sub", "n_sub"), "sid"), k)
-    ranked = fan.join(docs, "doc_id").join(items.select(F.col("item_id").alias("query_id"), "query"), "query_id")
+    ranked = docs.join(broadcast_if_small(cut(fan), 200_000), "doc_id").join(items.select(F.col("item_id").alias("query_id"), "query"), "query_id")
     top = R.rerank(ranked, p.rerank(F.col("query"), F.col("text")), k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("rerank_score").alias("score"), "text"))).alias("h"))
     x = items.join(top.withColumnRenamed("query_id", "item_id"), "item_id", "left").withColumns({
         "scores": F.coalesce("h.score", F.array().cast("array<double>")), "texts": F.coalesce("h.text", none)})

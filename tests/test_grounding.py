@@ -63,6 +63,36 @@ def test_grounded_lines(spark):
     assert not any(i == "s3" and "?var" in t for i, t in got)
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_seed_triples_equal_brute_force(spark, few):
+    rnd = random.Random(5)
+    names = [f"n{i}" for i in range(14)]
+    rows = [(a, rnd.choice(["has", "lies_at", None]), b, rnd.choice([0.2, 0.9, None])) for a, b in itertools.product(names, names) if rnd.random() < 0.12]
+    rows += [rows[0], ("lone", "is", "lone", 0.1), (None, "is", "n1", 0.9), ("n1", "is", None, 0.9)]
+    full = [(a, r, b, w) for a, r, b, w in rows if a and b]
+    adj = {n: {b for a, _, b, _ in full if a == n} | {a for a, _, b, _ in full if b == n} for n in [*names, "lone"]}
+    want = {}
+    for s in [*names, "lone"]:
+        near = {s} | adj[s] | {y for x in adj[s] for y in adj[x]}
+        inside = [(-2.0 if w is None else w, f"{a} | {(r or 'related to').replace('_', ' ')} | {b}") for a, r, b, w in full if a in near and b in near]
+        want |= {(s, i + 1): t for i, t in enumerate(list(dict.fromkeys(t for _, t in sorted(inside, reverse=True)[:6]))[:4])}
+    e = spark.createDataFrame(rows, "src string, relation string, dst string, weight double")
+    seeds = spark.createDataFrame([(n,) for n in [*names, "lone", "n1", "nowhere", None]], "node string")
+    assert {(r.seed, r["rank"]): r.triple for r in G.seed_triples(e, seeds, look=6, most=4, few=few).collect()} == want
+    assert G.seed_triples(e.limit(0), seeds, few=few).isEmpty() and G.seed_triples(e, seeds.limit(0), few=few).isEmpty()
+
+
+def test_surroundings_of_a_hub_are_neither_stored_nor_broadcast(spark, monkeypatch):
+    rows = [(f"leaf{i}", "near", "hub", float(i)) for i in range(300)]
+    e = spark.createDataFrame(rows, "src string, relation string, dst string, weight double")
+    seeds = e.filter("weight < 20").select(F.col("src").alias("node"))
+    plan = G.seed_triples(e, seeds, few=299)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    monkeypatch.setattr(G, "ego", None)
+    got = G.seed_triples(e, seeds).collect()
+    assert len(got) == 480 and {r.triple for r in got if r["rank"] == 1} == {"leaf299 | near | hub"}
+
+
 def test_pair_paths_equal_brute_force(spark):
     rnd = random.Random(3)
     names = [f"n{i}" for i in range(9)]
